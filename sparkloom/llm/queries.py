@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontam, simhash, winnow
 from .common import table
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item: doc_id, item_id, n_tokens, similarity."""
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprints(table(spark, sf_dir, "documents")).drop("marks", "edited_marks")
+
+
 def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_simhash_neardup,)}
+QUERIES = {f.__name__: f for f in (op4_decontaminate, op7_fingerprint, op8_simhash_neardup)}
 ORACLES: dict[str, str] = {}
