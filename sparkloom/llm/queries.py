@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, mixing, sharding, simhash, winnow
+from . import decontam, langid, mixing, secrets, sharding, simhash, winnow
 from .common import table
 
 
@@ -17,6 +18,22 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES).drop("text")
 
 
+def _fold(n: int) -> Column:
+    """The fold of a document, crc32 of its id as text mod n; null ids are in fold 0."""
+    return F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)), F.lit(n))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(_fold(4) != 2))
+    return langid.identify(docs.select("doc_id", (_fold(4) == 2).alias("held_out"), "text"), model).drop("text")
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", secrets.scan_column(F.col("text")).alias("s")).select("doc_id", "s.*")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item: doc_id, item_id, n_tokens, similarity."""
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -35,7 +52,7 @@ def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shard, op4_decontaminate, op7_fingerprint, op8_simhash_neardup, op9_mix)}
+QUERIES = {f.__name__: f for f in (op1_shard, op2_language, op3_secrets, op4_decontaminate, op7_fingerprint, op8_simhash_neardup, op9_mix)}
 
 ORACLES: dict[str, str] = {
     "op1_shard": f"""
