@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, secrets, sharding, simhash, winnow
+from . import decontam, langid, mixing, quality, secrets, sharding, simhash, winnow
 from .common import table
 
 
 SHARD_BYTES = 16 << 20
 MAX_REPEATS = 2.0
+KEEP_FROM = 0.3
 
 
 def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,20 @@ def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shard, op2_language, op3_secrets, op4_decontaminate, op7_fingerprint, op8_simhash_neardup, op9_mix)}
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Network | float:
+    """Learnt from the labels outside fold 0 of 5."""
+    labels = table(spark, sf_dir, "labels").where(_fold(5) != 0)
+    return quality.fit(docs, labels)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    score = quality.score_column(quality_model(spark, docs, sf_dir), F.col("text"), spark)
+    scored = docs.select("doc_id", (_fold(5) == 0).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= KEEP_FROM).cast("int"))
+
+
+QUERIES = {f.__name__: f for f in (op1_shard, op2_language, op3_secrets, op4_decontaminate, op7_fingerprint, op8_simhash_neardup, op9_mix, op10_quality)}
 
 ORACLES: dict[str, str] = {
     "op1_shard": f"""
