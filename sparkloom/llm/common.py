@@ -48,6 +48,11 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, row_key: Column,
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
+def sized_broadcast(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df (cheap to count, narrow) with a broadcast hint if it has at most `most` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def words_of(text: Column) -> Column:
     """Runs of anything but ASCII white space; an empty array for null or blank text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")

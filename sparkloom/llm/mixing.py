@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sized_broadcast, stored
 
 #: Steps of the bisection.
 STEPS = 40
@@ -84,7 +84,7 @@ def _plan(sized: DataFrame, how: dict) -> DataFrame:
     blocks = blocks.withColumn("_ahead", F.coalesce(ahead, F.lit(0)))
     last = stored(blocks.join(plan.select("_src", "_rest"), "_src").where("_ahead <= _rest and _rest < _ahead + _sum").select("_src", "_block", (F.col("_rest") - F.col("_ahead")).alias("_room")), "last")
     # the block in which the budget ends, document by document; equal keys go together
-    inside = sized.withColumn("_block", F.substring("_key", 1, BLOCK_DIGITS)).join(_sized_broadcast(last), ["_src", "_block"])
+    inside = sized.withColumn("_block", F.substring("_key", 1, BLOCK_DIGITS)).join(sized_broadcast(last), ["_src", "_block"])
     keys = inside.groupBy("_src", "_room", "_key").agg(F.sum("_n").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy("_src").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0))
     cut = keys.withColumn("_upto", upto).where("_upto <= _room").groupBy("_src").agg(F.max("_key").alias("_in"))
@@ -92,17 +92,13 @@ def _plan(sized: DataFrame, how: dict) -> DataFrame:
     return stored(plan.join(last, "_src", "left").join(cut, "_src", "left").select("_src", "_full", (F.col("_budget") / F.col("_tokens")).alias("_epochs"), F.coalesce("_in", "_block").alias("_cut"), F.sum("_budget").over(Window.partitionBy()).alias("_all")), "plan")
 
 
-def _sized_broadcast(df: DataFrame, most: int = 100_000) -> DataFrame:
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def _copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, block_tokens: int, how: dict) -> DataFrame:
     src = F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(source_col)))
     keyed = docs.withColumns({"_src": src, "_key": order_key(F.col(id_col), seed), "_n": tokens_of(F.col(text_col))})
     sized = stored(keyed.select("_src", "_key", "_n"), "sized")
     plan = _plan(sized, how)
     n = F.col("_full") + F.when(F.col("_key") <= F.col("_cut"), 1).otherwise(0)
-    read = keyed.join(_sized_broadcast(plan), "_src").withColumn("_copies", n.cast("int")).where("_copies > 0")
+    read = keyed.join(sized_broadcast(plan), "_src").withColumn("_copies", n.cast("int")).where("_copies > 0")
     read = read.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     place = (F.col("epoch") + F.conv(F.substring("_key", 1, PLACE_DIGITS), 16, 10).cast("double") / float(16**PLACE_DIGITS)) / F.col("_epochs")
     blocks = F.ceil(F.col("_all") / block_tokens)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, secrets, sharding, simhash, winnow
+from . import decontam, langid, mixing, quality, secrets, sharding, simhash, warc, winnow, wrapper
 from .common import table
 
 
@@ -40,6 +40,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(table(spark, sf_dir, "documents")).drop("marks", "edited_marks")
 
@@ -66,7 +74,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= KEEP_FROM).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shard, op2_language, op3_secrets, op4_decontaminate, op7_fingerprint, op8_simhash_neardup, op9_mix, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_shard, op2_language, op3_secrets, op4_decontaminate, op5_main_text, op6_warc, op7_fingerprint, op8_simhash_neardup, op9_mix, op10_quality)}
 
 ORACLES: dict[str, str] = {
     "op1_shard": f"""
@@ -80,6 +88,16 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, depth AS shard_depth,
                CAST(bytes AS BIGINT) AS shard_bytes, bytes > {SHARD_BYTES} AS oversize
         FROM d JOIN leaves ON prefix = h >> (60 - depth)""",
+    "op6_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        h AS (SELECT page_id, strlen(html) AS n, sha1(html) AS x FROM p),
+        k AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY x) > 1 THEN max(page_id) OVER (PARTITION BY x) END AS leader FROM h)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+               list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST(((('0x' || substr(x, CAST(i // 4 * 5 + 1 AS INTEGER), 5))::INTEGER >> CAST(15 - i % 4 * 5 AS INTEGER)) & 31) + 1 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN leader IS NULL OR page_id IS NOT DISTINCT FROM leader THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM leader THEN leader END AS refers_to
+        FROM k""",
     "op9_mix": f"""
         WITH d AS (SELECT doc_id, source, coalesce('=' || source, '-') AS src, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k,
                           greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS n FROM documents),
