@@ -29,8 +29,8 @@ from .common import stored
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
-#: Words whose scores a worker keeps.
-KEPT = 400_000
+#: Characters of texts that are scored together.
+AT_ONCE = 1 << 20
 
 
 def words_in(text: str | None) -> list[str]:
@@ -43,38 +43,70 @@ def grams_of(word: str, order: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies: words and grams map a string to a vector over langs."""
-
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[int, dict[str, np.ndarray]], none: dict[int, np.ndarray]):
-        self.langs, self.words, self.grams, self.none = langs, words, grams, none
-        self.known: dict[str, np.ndarray] = {}
-
-    def of_word(self, word: str) -> np.ndarray:
-        if (v := self.words.get(word)) is not None or (v := self.known.get(word)) is not None:
-            return v
-        marked, total, n = f"<{word}>", np.zeros(len(self.langs)), 0
+    """Log frequencies over langs: of words, and of n-grams less what an n-gram that was never seen has."""
+
+    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[int, dict[str, np.ndarray]]):
+        self.langs = langs
+        self.words = {w: i for i, w in enumerate(words)}
+        self.word_rows = np.array(list(words.values())).reshape(len(words), len(langs))
+        self.grams: dict[int, dict[str, int]] = {}
+        rows: list[np.ndarray] = []
+        for order in ORDERS:
+            self.grams[order] = {g: len(rows) + i for i, g in enumerate(grams.get(order, {}))}
+            rows += grams.get(order, {}).values()
+        self.gram_rows = np.array(rows).reshape(len(rows), len(langs))
+
+    def backed_off(self, word: str) -> list[int]:
+        """At each position of a word, the longest n-gram that is known."""
+        marked, found = f"<{word}>", []
+        four, three, two, one = (self.grams[o] for o in ORDERS)
         for i in range(len(marked)):
-            for order in ORDERS:
-                v = self.grams[order].get(marked[i : i + order]) if i + order <= len(marked) else None
-                if v is not None:
-                    total = total + v - self.none[order]
-                    n += 1
-                    break
-        # a word counts as one observation, however many n-grams tell of it
-        v = total / max(1, n)
-        if len(self.known) >= KEPT:
-            self.known.clear()
-        self.known[word] = v
-        return v
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_in(text)
-        if not words or not self.langs:
-            return UNKNOWN, 0.0
-        counts = Counter(words)
-        total = np.array(list(counts.values()), dtype=float) @ np.array([self.of_word(w) for w in counts])
-        best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
+            if (r := four.get(marked[i : i + 4])) is None and (r := three.get(marked[i : i + 3])) is None and (r := two.get(marked[i : i + 2])) is None:
+                r = one.get(marked[i])
+            if r is not None:
+                found.append(r)
+        return found
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """A row of scores per word."""
+        out = np.zeros((len(words), len(self.langs)))
+        at = [self.words.get(w, -1) for w in words]
+        known = np.array(at, dtype=np.intp)
+        out[known >= 0] = self.word_rows[known[known >= 0]]
+        new, parts, sizes = [], [], []
+        for i, r in enumerate(at):
+            if r < 0 and (found := self.backed_off(words[i])):
+                new.append(i)
+                parts += found
+                sizes.append(len(found))
+        if new:
+            # a word counts as one observation, however many n-grams tell of it
+            n = np.array(sizes)
+            out[new] = np.add.reduceat(self.gram_rows[parts], np.r_[0, np.cumsum(n)[:-1]], axis=0) / n[:, None]
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(lang, score) of each text; words that several texts share are scored once."""
+        index: dict[str, int] = {}
+        owners: list[int] = []
+        ids: list[int] = []
+        times: list[int] = []
+        for i, t in enumerate(texts):
+            counts = Counter(words_in(t))
+            owners += [i] * len(counts)
+            times += counts.values()
+            ids += [index.setdefault(w, len(index)) for w in counts]
+        if not ids or not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        scores = self.of_words(list(index))
+        starts = np.flatnonzero(np.r_[True, np.diff(owners) > 0])
+        totals = np.add.reduceat(scores[ids] * np.array(times)[:, None], starts, axis=0)
+        best = totals.argmax(axis=1)
+        share = 1 / np.exp(totals - totals.max(axis=1)[:, None]).sum(axis=1)
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        for s, b, p in zip(starts, best, share):
+            out[owners[s]] = (self.langs[b], float(p))
+        return out
 
 
 def _frequent(counts: DataFrame, most: int) -> list:
@@ -126,20 +158,24 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         none[order] = np.log(0.5 / (totals + 0.5 * max(1, len(t))))
         for k, v in t.items():
             t[k] = np.log((v + 0.5) / (totals + 0.5 * len(t)))
-    words_table = {k: v - none[0] for k, v in tables[0].items()}
-    return Model(langs, words_table, {o: tables[o] for o in ORDERS}, none)
+    less = {o: {k: v - none[o] for k, v in t.items()} for o, t in tables.items()}
+    return Model(langs, less.pop(0), less)
 
 
 def predict_column(model: Model, text: Column, spark) -> Column:
     """struct(lang_pred, score)."""
-    shared = spark.sparkContext.broadcast((model.langs, model.words, model.grams, model.none))
-    held: list[Model] = []
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(texts: pd.Series) -> pd.DataFrame:
-        if not held:
-            held.append(Model(*shared.value))
-        return pd.DataFrame([held[0].predict(t) for t in texts], columns=["lang_pred", "score"])
+        rows, part, held = [], [], 0
+        for i, t in enumerate(texts):
+            part.append(t)
+            held += len(t or "")
+            if held >= AT_ONCE or i == len(texts) - 1:
+                rows += shared.value.predict(part)
+                part, held = [], 0
+        return pd.DataFrame(rows, columns=["lang_pred", "score"])
 
     return predicted(text)
 
