@@ -207,12 +207,14 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def classes(hashed: DataFrame, max_bits: int = 3, **search: int) -> DataFrame:
-    """(fp, root, component_id) for each distinct fp of hashed (_id, fp); component_id is the smallest id reached."""
+    """(fp, root, component_id, kept) for each distinct fp of hashed (_id, fp): component_id is the smallest id reached,
+    kept marks the one fp of a component (the smallest of several) that has it."""
     fps = stored(hashed.groupBy("fp").agg(F.min("_id").alias("first_id")), "fingerprints")
     roots = components(near_links(fps, max_bits, **search))
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return stored(salted_lookup(rooted.drop("first_id"), best, "root", F.col("fp")), "classes")
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("b"))
+    found = salted_lookup(rooted.drop("first_id"), best, "root", F.col("fp"))
+    return stored(found.select("fp", "root", F.col("b.first_id").alias("component_id"), (F.col("fp") == F.col("b.fp")).alias("kept")), "classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
@@ -225,6 +227,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
     """docs with one row of each class, that of its smallest id; all columns are kept."""
     hashed = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), fingerprint_column(F.col(text_col)).alias("fp")), "hashed")
-    found = classes(hashed.select("_id", "fp"), max_bits).select("fp", F.col("component_id").alias("_first"), F.col("root").alias("_root"))
-    kept = salted_lookup(hashed, found, "fp", F.col("_id")).where(F.col("_id").eqNullSafe(F.col("_first")))
-    return kept.dropDuplicates(["_root"]).select("_row.*")
+    kept = classes(hashed.select("_id", "fp"), max_bits).where("kept").select(F.struct(F.col("component_id").alias("_id"), "fp").alias("_key"))
+    # one shuffle of the rows: join and removal of repeats use the same key, of which no value is frequent but for repeats
+    return hashed.withColumn("_key", F.struct("_id", "fp")).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
