@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that name keys ignore, in the wide and the narrow form.
@@ -70,14 +70,17 @@ def without_page_markers(c: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike(PAGE_NUMBER)), "\n")
 
 
-def is_formula(c: Column) -> Column:
-    """A relation with something on both sides, or a sum, integral or root over three characters."""
-    s = without_space(without_page_markers(c))
+def _formula(s: Column) -> Column:
     left, right = F.regexp_replace(s, f"(?s){RELATION}.*$", ""), F.regexp_replace(s, f"(?s)^.*?{RELATION}", "")
     signs = s.rlike("[∫∑Σ√]") & (F.regexp_count(s, F.lit(WORD_CHAR)) >= 3)
     return F.when(s.rlike(RELATION), left.rlike(WORD_CHAR) & right.rlike(WORD_CHAR)).otherwise(signs)
 
 
+def is_formula(c: Column) -> Column:
+    """A relation with something on both sides, or a sum, integral or root over three characters."""
+    return _formula(without_space(without_page_markers(c)))
+
+
 def is_glyph_noise(c: Column) -> Column:
     s = without_space(without_page_markers(c))
     n = F.regexp_count(s, F.lit(PRIVATE))
@@ -97,33 +100,43 @@ def is_bare_quiz(c: Column, marker: str = "(?:单选题|多选题|判断题|选
 AXES = ("x", "y", "z", "r", "t", "o", "θ", "φ", "ϕ", "ρ", "ψ")
 
 
-def is_axis_fragment(c: Column) -> Column:
-    """Nothing but axis names, or nothing but signs."""
-    body = without_page_markers(c)
+def _axis_fragment(body: Column, formula: Column) -> Column:
     tokens = F.transform(F.regexp_extract_all(body, F.lit(r"[A-Za-z]+|[Α-ω]+|[㐀-鿿]+"), F.lit(0)), F.lower)
     n, kinds = F.size(tokens), F.size(F.array_distinct(tokens))
     axes = (n >= 2) & F.forall(tokens, lambda t: t.isin(*AXES)) & ((n <= 3) | (kinds <= F.greatest(F.lit(2), F.floor(n / 2))))
     signs = (n == 0) & body.rlike(r"[^\p{L}\p{N}_\s]")
-    return (body != "") & ~body.rlike(r"[㐀-鿿]{2,}|[A-Za-z]{3,}|[Α-ω]{2,}") & ~is_formula(body) & (axes | signs)
+    return (body != "") & ~body.rlike(r"[㐀-鿿]{2,}|[A-Za-z]{3,}|[Α-ω]{2,}") & ~formula & (axes | signs)
 
 
-def disposition(c: Column) -> Column:
-    """struct(status, ceiling) of a text unit; the first gate that applies decides."""
-    s = without_space(without_page_markers(c))
-    gates = [
+def is_axis_fragment(c: Column) -> Column:
+    """Nothing but axis names, or nothing but signs."""
+    return _axis_fragment(without_page_markers(c), is_formula(c))
+
+
+def gates(df: DataFrame, text: str) -> DataFrame:
+    """df with status and ceiling of a text unit (the first gate that applies decides), formula and math_score. What
+    the gates share is computed once, in a projection of its own."""
+    c = F.col(text)
+    df = df.withColumn("_body", without_page_markers(c))
+    df = df.withColumn("_s", without_space(F.col("_body")))
+    df = df.withColumn("formula", _formula(F.col("_s")))
+    s = F.col("_s")
+    n = F.regexp_count(s, F.lit(PRIVATE))
+    rules = [
         (s == "", "rejected", 0.02),
-        (is_glyph_noise(c), "deferred", 0.1),
-        (is_formula(c), "uncovered", None),
+        ((n >= 4) & (n >= 0.15 * F.length(s)), "deferred", 0.1),
+        (F.col("formula"), "uncovered", None),
         (~s.rlike(WORD_CHAR), "rejected", 0.04),
         (is_bare_quiz(c), "deferred", 0.12),
-        (is_axis_fragment(c), "deferred", 0.1),
-        (F.lit(True), "uncovered", None),
+        (_axis_fragment(F.col("_body"), F.col("formula")), "deferred", 0.1),
     ]
-    out = None
-    for test, status, ceiling in gates:
-        value = F.struct(F.lit(status).alias("status"), F.lit(ceiling).cast("double").alias("ceiling"))
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out
+    gate = F.lit(len(rules))
+    for i, (test, _, _) in reversed(list(enumerate(rules))):
+        gate = F.when(test, i).otherwise(gate)
+    df = df.withColumn("_gate", gate)
+    status = F.get(F.array(*[F.lit(r[1]) for r in rules], F.lit("uncovered")), F.col("_gate"))
+    ceiling = F.get(F.array(*[F.lit(r[2]).cast("double") for r in rules], F.lit(None).cast("double")), F.col("_gate"))
+    return df.withColumns({"status": status, "ceiling": ceiling, "math_score": _math(F.col("_body"), s)}).drop("_body", "_s", "_gate")
 
 
 def unit_role(c: Column, rules: Rules = COURSE) -> Column:
@@ -142,15 +155,18 @@ def importance(c: Column, heading: Column, rules: Rules = COURSE) -> Column:
     return F.round(F.least(score, F.lit(1.0)), 4)
 
 
-def math_score(c: Column) -> Column:
-    """Relations, fractions, powers of ten and signs, weighted; not the length of text."""
-    body = without_page_markers(c)
-    s = without_space(body)
+def _math(body: Column, s: Column) -> Column:
     science = F.regexp_count(body, F.lit(r"(?i)\d(?:\.\d+)?\s*(?:×|x|\*)\s*10\s*(?:\^|[-−])?\s*\d+"))
     signs = F.regexp_count(s, F.lit(r"[∫∑Σ√Δλνπħ×÷^]"))
     return 8 * F.regexp_count(s, F.lit(RELATION)) + 4 * F.regexp_count(s, F.lit("/")) + 3 * science + F.least(signs, F.lit(12))
 
 
+def math_score(c: Column) -> Column:
+    """Relations, fractions, powers of ten and signs, weighted; not the length of text."""
+    body = without_page_markers(c)
+    return _math(body, without_space(body))
+
+
 def is_low_quality(c: Column) -> Column:
     s = without_space(without_page_markers(c))
     n = F.greatest(F.length(s), F.lit(1))
@@ -172,7 +188,8 @@ def infer_heading(c: Column) -> Column:
 
 def unbalanced_brackets(c: Column) -> Column:
     """Whether a typed stack of brackets fails: innermost pairs are removed as often as brackets can nest here."""
-    only = F.regexp_replace(c, r"[^()（）\[\]【】{}《》]", "")
+    some = c.rlike(r"[()（）\[\]【】{}《》]")
+    only = F.when(some, F.regexp_replace(c, r"[^()（）\[\]【】{}《》]", "")).otherwise("")
     pairs = "|".join(f"\\{a}\\{b}" if a in "([{" else f"{a}{b}" for a, b in BRACKETS)
     return F.aggregate(F.sequence(F.lit(0), F.ceil(F.length(only) / 2).cast("int")), only, lambda s, _: F.regexp_replace(s, pairs, "")) != ""
 
@@ -183,10 +200,8 @@ SUFFIXES = ("即使", "但是", "因为", "由于", "通过", "对于", "关于"
 QUANTITY = r"(?i)^[~≈≃]?\s*[+\-−]?\d+(?:\.\d+)?\s*(?:Å|[fpnumμkMGT]?m|Hz|[fpnumμkMGT]?eV|J|K|[fpnumμkMGT]?W|rad|sr|Pa|T|V|A|C|N|s|%)\s*$"
 
 
-def label_issues(c: Column, longest: int = 48, generic: tuple[str, ...] = GENERIC, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
-    """Codes of what makes a label unfit to publish, in the order of the rules; empty if nothing does."""
-    s = strip(c)
-    rules = [
+def _label_rules(s: Column, longest: int, generic: tuple[str, ...], suffixes: tuple[str, ...]) -> list[tuple[Column, str]]:
+    return [
         (F.length(s) < 2, "too_short"),
         (F.length(s) > longest, "too_long"),
         (s.rlike(r"[\n\r]"), "multiline"),
@@ -201,10 +216,23 @@ def label_issues(c: Column, longest: int = 48, generic: tuple[str, ...] = GENERI
         (s.rlike(QUANTITY), "bare_quantity"),
         (s.rlike(r"(?:=|≈|≤|≥|→|⇒)") & ~s.rlike(r"[㐀-鿿]"), "formula_label"),
     ]
-    codes = F.array_compact(F.array(*[F.when(test, F.lit(code)) for test, code in rules]))
+
+
+def label_issues(c: Column, longest: int = 48, generic: tuple[str, ...] = GENERIC, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """Codes of what makes a label unfit to publish, in the order of the rules; empty if nothing does."""
+    s = strip(c)
+    codes = F.array_compact(F.array(*[F.when(test, F.lit(code)) for test, code in _label_rules(s, longest, generic, suffixes)]))
     return F.when(s == "", F.array(F.lit("empty"))).otherwise(codes)
 
 
+def is_publishable(stripped: Column, longest: int = 48, generic: tuple[str, ...] = GENERIC, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """Whether a stripped label has no issue; stops at the first rule that says it has."""
+    bad = stripped == ""
+    for test, _ in _label_rules(stripped, longest, generic, suffixes):
+        bad = bad | test
+    return ~bad
+
+
 def definition_issues(c: Column) -> Column:
     s = F.trim(F.regexp_replace(strip(c), r"\s+", " "))
     rules = [

@@ -121,18 +121,18 @@ def ranked_parents(spark, d):
     return gr.ranked_parents(g, p.unionByName(s), tie="n")
 
 
-@query("""WITH n AS (SELECT p_partkey AS id, p_brand AS b, p_name || p_type AS name, p_type AS definition, CASE p_size % 5 WHEN 0 THEN 'branch_topic' WHEN 1 THEN 'concept' WHEN 2 THEN 'method' WHEN 3 THEN 'step' ELSE 'example' END AS role, CASE WHEN p_size % 7 = 0 THEN 'structural' ELSE 'explicit' END AS origin, p_size / 64.0::DOUBLE AS confidence, lower(regexp_replace(p_name || p_type, '\\s+', '', 'g')) AS k FROM part),
+@query("""WITH n AS (SELECT p_partkey AS id, p_brand || p_type AS b, p_name || p_type AS name, p_type AS definition, CASE p_size % 5 WHEN 0 THEN 'branch_topic' WHEN 1 THEN 'concept' WHEN 2 THEN 'method' WHEN 3 THEN 'step' ELSE 'example' END AS role, CASE WHEN p_size % 7 = 0 THEN 'structural' ELSE 'explicit' END AS origin, p_size / 64.0::DOUBLE AS confidence, lower(regexp_replace(p_name || p_type, '\\s+', '', 'g')) AS k FROM part),
     s AS (SELECT *, list_distinct(list_transform(range(1, length(k)), lambda i: substr(k, CAST(i AS INTEGER), 2))) AS s FROM n),
     j AS (SELECT p.id AS parent_id, c.id AS child_id, round(greatest(0, least(greatest(0, least(1, CASE p.role || '>' || c.role WHEN 'branch_topic>concept' THEN 0.64 WHEN 'branch_topic>method' THEN 0.62 WHEN 'branch_topic>example' THEN 0.5 WHEN 'concept>example' THEN 0.58 WHEN 'method>step' THEN 0.7 WHEN 'method>example' THEN 0.58 ELSE 0.24 END + CASE WHEN p.origin = 'structural' THEN 0.12 ELSE 0 END - CASE WHEN p.role IN ('example', 'step') THEN 0.2 ELSE 0 END))
         + 0.14 + CASE WHEN contains(lower(c.name || ' ' || c.definition), lower(p.name)) THEN 0.16 ELSE 0 END + 0.08 * len(list_intersect(p.s, c.s)) / len(list_distinct(list_concat(p.s, c.s))) + CASE WHEN p.confidence >= c.confidence THEN 0.03 ELSE 0 END, 0.92)), 4) AS score
         FROM s p JOIN s c ON p.b = c.b AND p.id <> c.id WHERE (p.role = 'branch_topic' OR p.origin = 'structural') AND c.role <> 'branch_topic'),
     r AS (SELECT *, row_number() OVER (PARTITION BY child_id ORDER BY score DESC, parent_id) AS rank FROM j WHERE score >= 0.28) SELECT * FROM r WHERE rank <= 4""")
 def suggested_parents(spark, d):
-    """Parents suggested within a branch (a brand; its structural parts are few)."""
+    """Parents suggested within a branch (parts of a brand and type)."""
     p = table(spark, d, "part")
     k = F.col("p_size") % 5
     role = F.when(k == 0, "branch_topic").when(k == 1, "concept").when(k == 2, "method").when(k == 3, "step").otherwise("example")
-    n = p.select(F.col("p_partkey").alias("node_id"), F.col("p_brand").alias("branch_id"), F.concat("p_name", "p_type").alias("name"), F.col("p_type").alias("definition"), role.alias("role"), F.when(F.col("p_size") % 7 == 0, "structural").otherwise("explicit").alias("origin"), F.lit(False).alias("is_root"), (F.col("p_size") / 64.0).alias("confidence"))
+    n = p.select(F.col("p_partkey").alias("node_id"), F.concat("p_brand", "p_type").alias("branch_id"), F.concat("p_name", "p_type").alias("name"), F.col("p_type").alias("definition"), role.alias("role"), F.when(F.col("p_size") % 7 == 0, "structural").otherwise("explicit").alias("origin"), F.lit(False).alias("is_root"), (F.col("p_size") / 64.0).alias("confidence"))
     return gr.suggest_parents(n)
 
 

@@ -122,8 +122,7 @@ def block_keys(spark, d):
         CASE WHEN regexp_matches(text, '^\\d{{1,4}}$') THEN 0 ELSE CAST(8 * len(regexp_extract_all(s, '[=≈≃≅≤≥<>]')) + 4 * len(regexp_extract_all(s, '/')) + 3 * len(regexp_extract_all(text, '(?i)\\d(?:\\.\\d+)?\\s*(?:×|x|\\*)\\s*10\\s*(?:\\^|[-−])?\\s*\\d+')) + least(len(regexp_extract_all(s, '[∫∑Σ√Δλνπħ×÷^]')), 12) AS INTEGER) END AS math FROM x""")
 def block_gates(spark, d):
     """Gate and math score of each block."""
-    t = F.col("text")
-    return blocks(spark, d).withColumn("g", tx.disposition(t)).select("doc_id", "ordinal", "g.status", "g.ceiling", tx.is_formula(t).alias("formula"), tx.math_score(t).cast("int").alias("math"))
+    return tx.gates(blocks(spark, d), "text").select("doc_id", "ordinal", "status", "ceiling", "formula", F.col("math_score").cast("int").alias("math"))
 
 
 @query(f"""WITH {BLOCKS}, h AS (SELECT *, substr(text, 1, 240) AS h FROM blocks)
