@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -378,14 +379,16 @@ def snippet(c: Column, query: str, radius: int = 40) -> Column:
     return head if not query.strip() else F.when(at < 0, head).otherwise(cut)
 
 
+#: HTML escapes.
+ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
+
+
 def highlight(c: Column, query: str) -> Column:
     """HTML-escaped text with every hit marked."""
-    s = c
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
-        s = F.replace(s, F.lit(a), F.lit(b))
-    import re
-
-    return s if not query.strip() else F.regexp_replace(s, f"(?i)({re.escape(query.strip())})", "<mark>$1</mark>")
+    s, q = c, query.strip()
+    for a, b in ESCAPES:
+        s, q = F.replace(s, F.lit(a), F.lit(b)), q.replace(a, b)
+    return s if not q else F.regexp_replace(s, f"(?i)({re.escape(q)})", "<mark>$1</mark>")
 
 
 def _trimmed(x: Column) -> Column:
