@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import words_of
 
+#: Words of a run and runs of a window: passages of RUN + WINDOW - 1 = 5 words leave a mark.
+RUN, WINDOW = 3, 3
 PRIME = 2**31 - 1
 BASE = 1_000_003
 _TOP = 2**32
@@ -46,7 +48,7 @@ def _steps(size: int) -> list[int]:
     return [*out, size - have] if size > have else out
 
 
-def winnow(df: DataFrame, text_col: str, out: str, k: int = 5, w: int = 4) -> DataFrame:
+def winnow(df: DataFrame, text_col: str, out: str, k: int = RUN, w: int = WINDOW) -> DataFrame:
     """df with `out`: array of hash * 2**32 + (2**32 - 1 - position), in order of position."""
     a, g, m, words = f"{out}_a", f"{out}_g", f"{out}_m", f"{out}_w"
     df = df.withColumn(words, words_of(F.col(text_col))).withColumn(a, F.transform(words, lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME))))
@@ -120,7 +122,7 @@ def with_next(df: DataFrame, order: str, value: str, out: str, rows_each: int =
     return marked.withColumn(out, F.lead(value).over(w)).where("_mark = 0").drop("_part", "_first", "_before", "_mark")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, w: int = 4) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = RUN, w: int = WINDOW) -> DataFrame:
     """Per document: marks of its text, of its edited text and of the next document's, digests and likenesses."""
     df = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     df = with_next(df, "_id", "_text", "_next")

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import winnow as wn
@@ -29,16 +30,17 @@ def slow_select(g, w=4):
     return out
 
 
-def test_marks_against_definition(spark):
+@pytest.mark.parametrize(("k", "w"), [(5, 4), (3, 3), (1, 1), (4, 5)])
+def test_marks_against_definition(spark, k, w):
     texts = ["a b c d e f g h i j k l", "x x x x x x x x x x x x x", "one two", "", None, " ".join(str(i * i % 17) for i in range(300)), "a b c d e", "a b c d e f"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
-    rows = wn.winnow(df.withColumn("h", F.transform(wn.words_of(F.col("t")), lambda x: F.xxhash64(x))), "t", "m").select("i", "h", wn.positions(F.col("m")).alias("p"), F.transform("m", lambda x: F.shiftright(x, 32)).alias("v")).collect()
+    rows = wn.winnow(df.withColumn("h", F.transform(wn.words_of(F.col("t")), lambda x: F.xxhash64(x))), "t", "m", k, w).select("i", "h", wn.positions(F.col("m")).alias("p"), F.transform("m", lambda x: F.shiftright(x, 32)).alias("v")).collect()
     for r in rows:
-        a, g = slow_marks(r.h)
-        if 0 < len(a) < 5:
+        a, g = slow_marks(r.h, k)
+        if 0 < len(a) < k:
             assert r.p == [0]
         else:
-            assert list(zip(r.v, r.p)) == slow_select(g), texts[r.i]
+            assert list(zip(r.v, r.p)) == slow_select(g, w), texts[r.i]
 
 
 def test_query_digests(spark):
@@ -56,7 +58,7 @@ def test_query_digests(spark):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         assert marks.setdefault(t, r.fingerprint) == r.fingerprint
         assert (nxt != t) or r.near_next == 1
-        grams = lambda x: {tuple(x[j : j + 5]) for j in range(len(x) - 4)}
+        grams = lambda x: {tuple(x[j : j + wn.RUN]) for j in range(len(x) - wn.RUN + 1)}
         a, b = grams(re.findall(r"\S+", t)), grams(re.findall(r"\S+", edited))
         if len(a) > 300:
             assert abs(r.near_edited - len(a & b) / len(a | b)) < 0.12
