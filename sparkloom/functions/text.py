@@ -460,3 +460,34 @@ def wrap_label(c: Column, width: float = 8.0, lines: int = 2) -> Column:
     every = F.filter(F.array_append(done["lines"], done["now"]), lambda x: x != "")
     cut = F.slice(every, 1, lines)
     return F.when(F.size(every) <= lines, every).otherwise(F.concat(F.slice(every, 1, lines - 1), F.array(F.concat(F.element_at(cut, -1), F.lit("…")))))
+
+
+def latex_canonical(c: Column) -> Column:
+    """Formula text for scoring: LaTeX commands as plain signs, no brackets, spaces or punctuation, lower case."""
+    s = c
+    for pattern, plain in ((r"\\(?:dfrac|tfrac|frac)\{([^{}]*)\}\{([^{}]*)\}", "$1/$2"), (r"\\(?:times|cdot)", "*"), (r"\\leq?", "<="), (r"\\geq?", ">="), (r"\\approx", "≈"), (r"\\(?:left|right|mathrm|mathbf|text|operatorname)", ""), (r"\\([A-Za-z]+)", "$1"), (r"[\s{}()\[\],;.$~]+", "")):
+        s = F.regexp_replace(s, pattern, plain)
+    return F.lower(s)
+
+
+def repaired_definition(c: Column) -> Column:
+    """A definition cut before its first broken place to the last whole sentence, if that has no issue; else null."""
+    cut = F.regexp_replace(c, r"(?s)[□�].*$|(?:应有|可得|写为|表示为|如下)\s*[：:]?\s*$", "")
+    whole = strip(F.regexp_extract(cut, r"(?s)^(.*[。！？.!?])", 1))
+    return F.when(F.size(definition_issues(c)) == 0, c).when((whole != "") & (F.size(definition_issues(whole)) == 0), whole)
+
+
+def swarm_counts(c: Column) -> Column:
+    """struct(completed, failed, rows) of a tagged result; tags inside a result are text."""
+    flat = F.regexp_replace(c, r"(?s)<result>.*?</result>", "")
+    return F.struct(F.regexp_count(flat, F.lit(r'<task[^>]*status="completed"')).alias("completed"), F.regexp_count(flat, F.lit(r'<task[^>]*status="failed"')).alias("failed"), F.regexp_count(flat, F.lit("<task[ >]")).alias("rows"))
+
+
+def context_used(live: Column, manifest: Column, ratio: Column, limit: Column, fallback: Column) -> Column:
+    """Tokens in context: the live figure, the manifest's, the ratio of the limit, or the fallback."""
+    return F.coalesce(live, manifest, F.when(ratio.isNotNull() & limit.isNotNull(), F.round(ratio * limit).cast("long")), fallback)
+
+
+def turn_markdown(blocks: Column) -> Column:
+    """Typed blocks (type, text) of a turn as one text: tools as code, thoughts as quotes."""
+    return F.array_join(F.transform(blocks, lambda b: F.when(b["type"] == "tool", F.concat(F.lit("```\n"), b["text"], F.lit("\n```"))).when(b["type"] == "thinking", F.concat(F.lit("> "), F.replace(b["text"], F.lit("\n"), F.lit("\n> ")))).otherwise(b["text"])), "\n\n")

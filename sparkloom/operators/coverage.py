@@ -173,3 +173,76 @@ def partition_faults(parts: DataFrame, units: DataFrame) -> DataFrame:
     """Units that the parts (id) hold not once: id, times."""
     n = parts.groupBy("id").agg(F.count("*").alias("times"))
     return units.select("id").join(n, "id", "full_outer").select("id", F.coalesce("times", F.lit(0)).alias("times")).where("times <> 1")
+
+
+def supported(candidates: DataFrame, units: str, branch_units: str, least: int = 1, abstract_least: int = 2) -> DataFrame:
+    """Candidates (arrays of units, abstract flag) with enough support inside their branch."""
+    n = F.size(F.array_intersect(units, branch_units))
+    return candidates.withColumn("n_support", n).where(n >= F.when(F.col("abstract"), abstract_least).otherwise(least))
+
+
+def signal_pages(blocks: DataFrame, page: str, text: str, least: int = 12) -> DataFrame:
+    """Pages with a block of enough letters and digits."""
+    return blocks.where(F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")) >= least).select(page).distinct()
+
+
+def coordinate(page: Column, slide: Column) -> Column:
+    return F.coalesce(page, slide)
+
+
+def in_source_order(units: DataFrame, by: str) -> DataFrame:
+    """units (kind, page, slide, idx, id) numbered by place: those without a place last, text before pictures."""
+    at = coordinate(F.col("page"), F.col("slide"))
+    w = Window.partitionBy(by).orderBy(at.asc_nulls_last(), F.col("kind") != "text", "idx", "id")
+    return units.withColumn("place", F.row_number().over(w))
+
+
+def plan_places(members: DataFrame) -> DataFrame:
+    """The first place of each plan's units (plan, at); plans without one come last."""
+    p = members.groupBy("plan").agg(F.min("at").alias("at"))
+    return p.withColumn("place", F.row_number().over(Window.orderBy(F.col("at").asc_nulls_last(), "plan")))
+
+
+def owners(seeds: DataFrame) -> DataFrame:
+    """Each seeded node (node, unit, place) goes to its earliest unit; and how many each unit owns."""
+    o = seeds.groupBy("node").agg(F.min_by("unit", "place").alias("unit"))
+    return o.join(o.groupBy("unit").agg(F.count("*").alias("owned")), "unit")
+
+
+def planning_weight(owned: Column) -> Column:
+    """Nodes that a unit stands for: those it owns, two if none."""
+    return F.greatest(F.coalesce(owned, F.lit(2)), F.lit(1))
+
+
+GROUPED = "branch string, plan long, part int"
+
+
+def consolidated(plans: DataFrame, cap: int, most: int = 8) -> DataFrame:
+    """Contiguous groups of each branch's plans (branch, plan, seq, leaves): of the groupings in which no group has over
+    `cap` leaves, the one with fewest groups, then the most even. At most `most` plans are tried in every way; larger
+    branches are cut greedily."""
+
+    def of_branch(rows: list[dict]) -> list[tuple]:
+        n = len(rows)
+        best: tuple | None = None
+        if n <= most:
+            for mask in range(1 << max(0, n - 1)):
+                parts, part = [], 0
+                for i in range(n):
+                    part += i > 0 and mask >> (i - 1) & 1
+                    parts.append(part)
+                sums = [sum(r["leaves"] for r, p in zip(rows, parts) if p == g) for g in range(part + 1)]
+                if max(sums) <= cap or part == n - 1:
+                    score = (max(sums) > cap, part, sum(s * s for s in sums), mask)
+                    best = min(best, (score, parts)) if best else (score, parts)
+            parts = best[1]
+        else:
+            parts, part, total = [], 0, 0
+            for r in rows:
+                if total and total + r["leaves"] > cap:
+                    part, total = part + 1, 0
+                total += r["leaves"]
+                parts.append(part)
+        return [(r["branch"], r["plan"], p) for r, p in zip(rows, parts)]
+
+    return fold(plans.select("branch", "plan", "seq", "leaves"), ["branch"], ["seq", "plan"], of_branch, GROUPED)

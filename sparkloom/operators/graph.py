@@ -191,3 +191,36 @@ def shared_support(edges: DataFrame, units: DataFrame, most: int = 4) -> DataFra
     j = edges.join(u.select(F.col("id").alias("parent"), F.col("u").alias("a")), "parent", "left").join(u.select(F.col("id").alias("child"), F.col("u").alias("b")), "child", "left")
     both = F.array_sort(F.coalesce(F.array_intersect("a", "b"), F.array().cast("array<bigint>")))
     return j.select("parent", "child", F.size(both).alias("n_shared"), F.array_join(F.slice(both, 1, most), ",").alias("shared"))
+
+
+def heuristic_vote(same_branch: Column, parent_role: Column, child_role: Column, contained: Column) -> Column:
+    """struct(classification, score) without a model: the first rule that applies."""
+
+    def vote(kind: str, score: float) -> Column:
+        return F.struct(F.lit(kind).alias("classification"), F.lit(score).alias("score"))
+
+    return F.when(parent_role == child_role, F.when(contained, vote("ancestor_only", 0.5)).otherwise(vote("sibling", 0.3))).when(same_branch & (parent_role == "branch_topic"), vote("direct_parent", 0.72)).when(same_branch & contained, vote("direct_parent", 0.66)).when(same_branch, vote("uncertain", 0.45)).otherwise(vote("unrelated", 0.1))
+
+
+def with_vote(score: Column, kind: Column, vote: Column) -> Column:
+    """A parent score after a vote: blended if it confirms, damped by its class otherwise."""
+    blended = 0.4 * score + 0.6 * vote
+    return F.round(F.when(kind == "direct_parent", blended).when(kind == "ancestor_only", 0.6 * blended).when(kind.isin("sibling", "cross_link"), 0.35 * blended).otherwise(0.25 * score), 4)
+
+
+def scope_ids(arrays: list[Column]) -> Column:
+    """The ids of several arrays, distinct and in order."""
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*arrays))))
+
+
+def nearest_topic(branches: DataFrame, topics: DataFrame) -> DataFrame:
+    """Per branch (branch, path array from itself to the root) the topic of the nearest branch up that has one."""
+    up = branches.select("branch", F.posexplode("path").alias("d", "above"))
+    return up.join(topics.select(F.col("branch").alias("above"), "topic"), "above").groupBy("branch").agg(F.min_by("topic", "d").alias("topic"))
+
+
+def revision_pages(issues: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pages that issues (issue_id, pages, node_ids) name, or the nodes (id, pages) that they are about."""
+    own = issues.select(F.explode("pages").alias("page"))
+    about = issues.select(F.explode("node_ids").alias("id")).join(nodes, "id").select(F.explode("pages").alias("page"))
+    return own.unionByName(about).distinct()

@@ -177,3 +177,14 @@ def fractions(lines: DataFrame, tokens: DataFrame, near: float = 12, beside: flo
 
 def pixels(width: float, height: float, scale: float) -> int:
     return math.ceil(width * scale) * math.ceil(height * scale)
+
+
+def scripts(tokens: DataFrame, bases: DataFrame, far: float = 4.0) -> DataFrame:
+    """The nearest token that stands as a script beside each base (page, id, left, right, top, bottom): to its right
+    within `far`, its middle above or below the base's middle half. super or sub."""
+    t = tokens.select("page", F.col("text"), F.col("left").alias("tl"), ((F.col("top") + F.col("bottom")) / 2).alias("tm"), F.explode(F.array(F.floor(F.col("left") / far), F.floor(F.col("left") / far) - 1)).alias("cell"))
+    b = bases.withColumn("cell", F.floor(F.col("right") / far))
+    quarter = (F.col("bottom") - F.col("top")) / 4
+    kind = F.when(F.col("tm") < F.col("top") + quarter, "super").when(F.col("tm") > F.col("bottom") - quarter, "sub")
+    j = b.join(t, ["page", "cell"]).withColumn("d", F.col("tl") - F.col("right")).withColumn("kind", kind).where((F.col("d") >= 0) & (F.col("d") <= far) & F.col("kind").isNotNull())
+    return j.groupBy("page", "id", "kind").agg(F.min_by("text", F.struct("d", "text")).alias("script"))

@@ -224,4 +224,15 @@ def source_numbers(ids: Column) -> Column:
 def last_overlaid(items: Column, status: Column) -> Column:
     """An array of structs (status first) whose last element takes a status."""
     n = F.size(items)
-    return F.when(n == 0, items).otherwise(F.concat(F.slice(items, F.lit(1), n - 1), F.array(F.element_at(items, -1).withField("status", status))))
+    return F.when(n == 0, items).otherwise(F.concat(F.slice(items, F.lit(1), n - 1), F.array(F.try_element_at(items, F.lit(-1)).withField("status", status))))
+
+
+def names_by_id(nodes: DataFrame, by: str, order: str) -> DataFrame:
+    """A map of id to name per group; of repeated ids the last."""
+    last = nodes.groupBy(by, "id").agg(F.max_by("name", order).alias("name"))
+    return last.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "name")))).alias("names"))
+
+
+def queued(items: Column, item: Column) -> Column:
+    """An array of interactions (status first) with a new one behind; the open one before it is closed."""
+    return F.array_append(last_overlaid(items, F.when(F.try_element_at(items, F.lit(-1))["status"] == "open", "closed").otherwise(F.try_element_at(items, F.lit(-1))["status"])), item)

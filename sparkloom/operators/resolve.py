@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,3 +202,34 @@ def owner_of(assets: DataFrame, candidates: DataFrame) -> DataFrame:
 def sample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement by a seeded hash, in order of id."""
     return df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))).orderBy("_h", id_col).limit(n).drop("_h").orderBy(id_col)
+
+
+def dct_hash(pixels: Column) -> Column:
+    """Perceptual hash of 32x32 grey values (row by row): the 8x8 lowest cosine terms against their median, 16 hex digits."""
+    k = np.arange(32)
+    basis = np.cos(np.pi / 32 * (k[None, :] + 0.5) * np.arange(8)[:, None])
+
+    def of(s: pd.Series) -> pd.Series:
+        out = []
+        for v in s:
+            g = np.asarray(v, dtype=float).reshape(32, 32)
+            low = (basis @ g @ basis.T).ravel()
+            bits = low > np.median(low[1:])
+            out.append(f"{int(''.join('1' if b else '0' for b in bits), 2):016x}")
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(of, "string")(pixels)
+
+
+def repairable(incoming: DataFrame, known: DataFrame, open_ids: DataFrame, anonymous: int) -> DataFrame:
+    """Nodes (page, n, identity, temp_id) that a repair may use: known ones, ones that fill an open id, and of those
+    without an id the first `anonymous` of a page."""
+    j = incoming.join(known.select("identity", F.lit(1).alias("_k")).distinct(), "identity", "left").join(open_ids.select("temp_id", F.lit(1).alias("_o")).distinct(), "temp_id", "left")
+    free = F.col("_k").isNull() & F.col("_o").isNull() & F.col("temp_id").isNull()
+    r = F.row_number().over(Window.partitionBy("page", free).orderBy("n"))
+    return j.where("true").withColumn("_r", r).where(F.col("_k").isNotNull() | F.col("_o").isNotNull() | (free & (F.col("_r") <= anonymous))).select("page", "n", "identity", "temp_id")
+
+
+def supplemented(nodes: DataFrame, formulas: DataFrame, key: str) -> DataFrame:
+    """nodes and those formulas that no node has."""
+    return nodes.unionByName(formulas.join(nodes, key, "left_anti").select(*nodes.columns))

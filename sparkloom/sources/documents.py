@@ -204,3 +204,22 @@ def near_assets(assets: DataFrame, most: int = 3) -> DataFrame:
         return out
 
     return fold(assets.select("deck", "slide", "idx", "hash"), ["deck"], ["slide", "idx"], of_deck, "deck long, slide int, idx int, action string, canonical int")
+
+
+def concatenated(sources: DataFrame, blocks: DataFrame, by: str) -> DataFrame:
+    """Blocks of several sources (by, idx, name, doc_id) as one document each: in order of source and block, headings
+    prefixed by the source's name."""
+    j = blocks.join(sources.select(by, "idx", "name", "doc_id"), "doc_id")
+    n = F.row_number().over(Window.partitionBy(by).orderBy("idx", "ordinal")) - 1
+    return j.select(by, n.alias("ordinal"), "text", F.concat(F.lit("["), F.col("name"), F.lit("]"), F.coalesce(F.concat(F.lit(" "), F.col("heading")), F.lit(""))).alias("heading"))
+
+
+def upload_totals(uploads: DataFrame, by: str) -> DataFrame:
+    """Per job: files, bytes, pages, digest of the files in order. uploads (idx, content, pages)."""
+    parts = F.array_sort(F.collect_list(F.struct("idx", F.sha2("content", 256).alias("d"))))
+    return uploads.groupBy(by).agg(F.count("*").alias("files"), F.sum(F.length("content")).alias("bytes"), F.sum("pages").alias("pages"), F.sha2(F.array_join(F.transform(parts, lambda x: x["d"]), ""), 256).alias("digest"))
+
+
+def export_json(df: DataFrame, key: str) -> DataFrame:
+    """Each row as JSON under its key, fields in alphabetical order."""
+    return df.select(key, F.to_json(F.struct(*sorted(df.columns))).alias("json"))
