@@ -277,7 +277,7 @@ def stable_ids(spark, d):
 
 
 @query("""WITH a AS (SELECT conv_id AS doc_id, turn AS idx, md5(role) AS digest, CASE role WHEN 'user' THEN '' ELSE text END AS ocr, CASE turn % 3 WHEN 0 THEN 'chart' WHEN 1 THEN 'photo' ELSE 'full_page' END AS kind FROM conversations)
-    SELECT doc_id, idx, CASE WHEN row_number() OVER (PARTITION BY doc_id, digest ORDER BY idx) > 1 THEN 'rejected' ELSE 'uncovered' END AS status, CASE WHEN trim(ocr) <> '' OR kind = 'chart' THEN 0.72 ELSE 0.18 END AS importance, CASE WHEN trim(ocr) <> '' OR kind = 'chart' THEN 'standalone_node' ELSE 'attach_as_media' END AS visual_action FROM a WHERE kind <> 'full_page'""")
+    SELECT doc_id, idx, CASE WHEN row_number() OVER (PARTITION BY doc_id, digest ORDER BY idx) > 1 THEN 'rejected' ELSE 'uncovered' END AS status, CASE WHEN trim(ocr) <> '' OR kind = 'chart' THEN 0.72::DOUBLE ELSE 0.18::DOUBLE END AS importance, CASE WHEN trim(ocr) <> '' OR kind = 'chart' THEN 'standalone_node' ELSE 'attach_as_media' END AS visual_action FROM a WHERE kind <> 'full_page'""")
 def visual_units(spark, d):
     """Units of visual assets; repeats are rejected."""
     c = table(spark, d, "conversations")
@@ -347,7 +347,7 @@ def upserted(spark, d):
 
 
 @query("""WITH h AS (SELECT o_orderkey, md5(o_orderpriority) AS a, md5(o_orderstatus || o_orderkey) AS b FROM orders)
-    SELECT o_orderkey, bit_count(xor(('0x' || substr(a, 1, 8))::BIGINT, ('0x' || substr(b, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr(a, 9, 8))::BIGINT, ('0x' || substr(b, 9, 8))::BIGINT)) AS distance FROM h""")
+    SELECT o_orderkey, CAST(bit_count(xor(('0x' || substr(a, 1, 8))::BIGINT, ('0x' || substr(b, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr(a, 9, 8))::BIGINT, ('0x' || substr(b, 9, 8))::BIGINT)) AS INTEGER) AS distance FROM h""")
 def hash_distances(spark, d):
     """Bits in which two 64-bit hashes differ."""
     o = table(spark, d, "orders")
