@@ -12,8 +12,8 @@ The documents are not shuffled: the benchmark's seeds are broadcast in blocks of
 each block against all documents, and only meetings carry tokens on.
 
 Cases: null, blank and letterless texts and items match nothing. Letters and digits count, in lower case; anything
-else separates tokens. Repeated documents each count; a null id is kept as an id. Empty tables give an empty
-result. Other columns are ignored (or kept, in `clean`).
+else separates tokens. Repeated documents and items count once for their id; a null id is an id. Empty tables give
+an empty result. Other columns are ignored (or kept, in `clean`).
 """
 
 from __future__ import annotations
@@ -44,18 +44,20 @@ def seeds(df: DataFrame, tokens: str, at: str, masks: tuple[str, ...] = MASKS) -
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = 0.8, flank: int = 8, min_tokens: int = 8, seeds_at_once: int = 500_000) -> DataFrame:
     """A row per document and item that overlap: the ids, the most agreeing tokens, and their share of those compared."""
-    bench = stored(items.select(F.col(item_col).alias("_item"), token_hashes(F.col(item_text)).alias("_it")), "items").where("size(_it) > 0")
-    # a seed that an item repeats is kept at each of its positions; equal items at each item
-    index = stored(seeds(bench.where(F.size("_it") >= min_tokens), "_it", "_ip").select("_item", "_ip", "seed", "span"), "seeds")
-    blocks = -(-index.count() // seeds_at_once)
+    bench = items.select(F.col(item_col).alias("_item"), token_hashes(F.col(item_text)).alias("_it")).where("size(_it) > 0")
+    # rows are told apart by id and tokens, since an id may be null or stand for several texts
+    bench = stored(bench.withColumns({"_k1": F.xxhash64("_item", "_it"), "_k2": F.xxhash64(F.lit(1), "_item", "_it")}).dropDuplicates(["_k1", "_k2"]), "items")
+    # a seed that an item repeats is kept at each of its positions; equal texts at each item
+    index = stored(seeds(bench.where(F.size("_it") >= min_tokens), "_it", "_ip").select("_k1", "_k2", "_ip", "seed", "span"), "seeds")
+    blocks = max(1, -(-index.count() // seeds_at_once))
     tokens = docs.select(F.col(id_col).alias("_id"), token_hashes(F.col(text_col)).alias("_dt"))
     placed = seeds(tokens, "_dt", "_dp")
     met = None
-    for b in range(max(1, blocks)):
-        part = F.broadcast(index.where(F.pmod("seed", F.lit(max(1, blocks))) == b).drop("span"))
-        hit = placed.join(part, "seed").select("_id", "_dt", "_dp", "_item", "_ip", "span")
+    for b in range(blocks):
+        part = F.broadcast(index.where(F.pmod("seed", F.lit(blocks)) == b).drop("span"))
+        hit = placed.join(part, "seed").select("_id", "_dt", "_dp", "_k1", "_k2", "_ip", "span")
         met = hit if met is None else met.unionByName(hit)
-    aligned = met.join(bench, "_item").withColumn("_shift", F.col("_dp") - F.col("_ip"))
+    aligned = met.join(bench, ["_k1", "_k2"]).withColumn("_shift", F.col("_dp") - F.col("_ip"))
     low = F.greatest(F.lit(0), F.col("_ip") - flank, -F.col("_shift"))
     high = F.least(F.size("_it"), F.col("_ip") + F.col("span") + flank, F.size("_dt") - F.col("_shift"))
     aligned = aligned.withColumn("_low", low).withColumn("_n", high - low)
@@ -64,8 +66,11 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     short = bench.where(F.size("_it") < min_tokens).select("_item", F.xxhash64("_it").alias("_whole"), F.size("_it").alias("_n"))
     alike = tokens.where((F.size("_dt") > 0) & (F.size("_dt") < min_tokens)).select("_id", F.xxhash64("_dt").alias("_whole"), F.size("_dt").alias("_n"))
     whole = alike.join(short, ["_whole", "_n"]).select("_id", "_item", F.col("_n").alias("_same"), "_n")
-    best = verified.unionByName(whole).groupBy("_id", "_item").agg(F.max(F.struct("_same", (F.col("_same") / F.col("_n")).alias("share"))).alias("b"))
-    return best.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), F.col("b._same").cast("bigint").alias("n_tokens"), F.round("b.share", 6).alias("similarity"))
+    # most agreeing tokens, then fewest compared, as one number
+    best = verified.unionByName(whole).groupBy("_id", "_item").agg(F.max(F.col("_same").cast("long") * 2**32 - F.col("_n")).alias("b"))
+    best = best.withColumn("n_tokens", F.ceil(F.col("b") / 2**32).cast("bigint"))
+    share = F.col("n_tokens") / (F.col("n_tokens") * 2**32 - F.col("b"))
+    return best.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), "n_tokens", F.round(share, 6).alias("similarity"))
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
