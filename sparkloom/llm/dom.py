@@ -11,6 +11,7 @@ TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(.*?)>?\Z", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 
+MAIN = frozenset(("article", "main"))
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math object noembed noframes xmp".split())
@@ -28,6 +29,8 @@ class Node:
     mark: str = ""
     text: str = ""
     children: list[Node] = field(default_factory=list)
+    #: Whether an article or main element is inside.
+    holds_main: bool = False
 
     @property
     def label(self) -> str:
@@ -100,6 +103,9 @@ def parse(source: str) -> Node:
             at = end if stop < 0 else (low.find(">", stop) + 1 or end)
             continue
         stack[-1].children.append(node)
+        if tag in MAIN:
+            for n in stack:
+                n.holds_main = True
         if tag not in VOID:
             stack.append(node)
             opened[tag] = opened.get(tag, 0) + 1

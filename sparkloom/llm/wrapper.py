@@ -30,13 +30,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import salted_lookup, sized_broadcast, stored
-from .dom import Node, parse
+from .dom import MAIN, Node, parse
 
 #: Elements and words in id, class or role that mark a region as no part of the article.
 OUTSIDE = frozenset("nav header footer aside form dialog menu button select".split())
 WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer copyright sidebar aside widget widgets related recommended cookie cookies consent gdpr notice notices alert newsletter subscribe popup modal comment comments disqus respond replies share sharing social toolbar login signup search contentinfo complementary hidden".split())
 COMMENT = frozenset("comment comments disqus respond replies".split())
-MAIN = frozenset(("article", "main"))
 WHOLE = frozenset(("html", "body"))
 DEEPEST = 150
 
@@ -44,14 +43,15 @@ DEEPEST = 150
 def outside(node: Node, inside_main: bool) -> bool:
     if node.tag in WHOLE:
         return False
-    words = set(re.split(r"[^a-z0-9]+", node.mark)) if node.mark else set()
+    # what holds an article is outside only by a whole name: "sidebar", but not "has-sidebar" or a page-wide form
+    words = set(node.mark.split() if node.holds_main else re.split(r"[^a-z0-9]+", node.mark)) if node.mark else set()
     if node.tag in MAIN:
         return bool(words & COMMENT)
     if node.tag == "header" and inside_main:
         return False
     if inside_main:
         words.discard("header")
-    return node.tag in OUTSIDE or bool(words & WORDS)
+    return (node.tag in OUTSIDE and not (node.tag == "form" and node.holds_main)) or bool(words & WORDS)
 
 
 def below(path: str, node: Node) -> str:

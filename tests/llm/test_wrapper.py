@@ -44,6 +44,8 @@ def test_an_article_is_kept_whole():
     assert wr.main_text(p) == "T\na\nx\ny\n1\n2\np q"
     for broken in ("<p>a</", "<p>a<foo", "<p>a<foo x='", "<p>a<!-- b", "<p>a<script>b"):
         assert wr.main_text(broken) == "a", broken
+    wide = "<form id=aspnet><div class='page has-sidebar'><div class=top-menu>m</div><main><p>kept<div class='share-bar'>s</div></main><div class=sidebar><article>card</article></div><aside><article>card</article></aside></div></form>"
+    assert wr.main_text(wide) == "kept"
     assert wr.main_text("1 < 2 & 3") == "1 < 2 & 3" and wr.main_text("") == wr.main_text(None) == ""
     deep = "<div>" * 30000 + "x"
     assert wr.main_text(deep) == "x" and wr.induce([deep] * 6) == {}
