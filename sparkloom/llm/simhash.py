@@ -40,9 +40,13 @@ SMALL = 48
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def lower_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """Unsigned 64-bit SimHash: a bit is set if it is set in over half of the shingle hashes."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    words = lower_words(text)
     n = len(words) - shingle + 1
     if not words:
         return 0
@@ -210,7 +214,12 @@ def classes(hashed: DataFrame, max_bits: int = 3, **search: int) -> DataFrame:
     """(fp, root, component_id, kept) for each distinct fp of hashed (_id, fp): component_id is the smallest id reached,
     kept marks the one fp of a component (the smallest of several) that has it."""
     fps = stored(hashed.groupBy("fp").agg(F.min("_id").alias("first_id")), "fingerprints")
-    roots = components(near_links(fps, max_bits, **search))
+    return classes_of(fps, near_links(fps, max_bits, **search))
+
+
+def classes_of(fps: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes of fps (fp, first_id) that links (a, b) connect."""
+    roots = components(links)
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("b"))
     found = salted_lookup(rooted.drop("first_id"), best, "root", F.col("fp"))
@@ -227,6 +236,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
     """docs with one row of each class, that of its smallest id; all columns are kept."""
     hashed = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), fingerprint_column(F.col(text_col)).alias("fp")), "hashed")
-    kept = classes(hashed.select("_id", "fp"), max_bits).where("kept").select(F.struct(F.col("component_id").alias("_id"), "fp").alias("_key"))
+    return kept_rows(hashed, classes(hashed.select("_id", "fp"), max_bits))
+
+
+def kept_rows(hashed: DataFrame, classed: DataFrame) -> DataFrame:
+    """The rows of hashed (_row, _id, fp) that their classes keep."""
+    kept = classed.where("kept").select(F.struct(F.col("component_id").alias("_id"), "fp").alias("_key"))
     # one shuffle of the rows: join and removal of repeats use the same key, of which no value is frequent but for repeats
     return hashed.withColumn("_key", F.struct("_id", "fp")).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
