@@ -3,7 +3,9 @@
 The base patterns are kept as they are. Beside them, candidate strings (unbroken runs of the characters that keys
 are written in) are read by a window of fixed length per character class. The counts of the window's characters
 are kept up to date as it slides, and with them the Shannon entropy; adjacent windows at or above the class's
-threshold merge into one span. A candidate is suppressed if an allow-list pattern says that such strings are
+threshold merge into one span. A candidate shorter than its class's window is one window of its own length, and the
+threshold is lower by as much as the most entropy that such a length can have. A candidate may follow '=' directly
+and has 20 characters at least. A candidate is suppressed if an allow-list pattern says that such strings are
 public (UUIDs, plain words, file and URL paths, versions and dates, repeats of one short piece); a span that a base
 span holds adds nothing.
 
@@ -27,7 +29,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "entropy")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}", re.ASCII)
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}", re.ASCII)
 #: Per character class: what its candidates are, window, and bits of entropy that a window must reach.
 CLASSES = (
     ("hex", re.compile(r"[0-9a-fA-F]+"), 24, 3.0),
@@ -77,7 +79,8 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
             if members.fullmatch(s):
                 kinds = (any("0" <= c <= "9" for c in s)) + any(c.islower() for c in s) + any(c.isupper() for c in s)
                 if kinds >= 2:
-                    out += [(m.start() + a, m.start() + b) for a, b in windows(s, width, least)]
+                    short = min(width, len(s))
+                    out += [(m.start() + a, m.start() + b) for a, b in windows(s, short, least - math.log2(width / short))]
                 break
     return out
 

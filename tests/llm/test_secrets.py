@@ -68,3 +68,14 @@ def test_odd_rows(spark):
     got = df.select("doc_id", sc.scan_column(F.col("text")).alias("s")).select("doc_id", "s.*").collect()
     assert [r.spans for r in got][:3] == ["", "", "access:1001:1025"] and got[3].spans == "hex:400000:400064"
     assert got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_after_equals_signs_and_short_candidates():
+    rnd = random.Random(11)
+    alnum = "".join(chr(c) for r in ((48, 58), (65, 91), (97, 123)) for c in range(*r))
+    kinds = [("AWS_SECRET_ACCESS_KEY=", alnum + "+/", 40), ("auth=", alnum, 48), ("https://a.example/b?sig=", alnum, 43), ("see ", alnum, 22), ("see glpat-", alnum, 20), ("see ", alnum + "-_", 28), ("id=", "0123456789abcdef", 20)]
+    for before, letters, n in kinds:
+        found = sum(bool(sc.entropy_spans(f"{before}{''.join(rnd.choice(letters) for _ in range(n))} end")) for _ in range(200))
+        assert found >= 190, (before, n, found)
+    for public in ("id=123e4567-e89b-12d3-a456-426614174000", "path=src/main/java/com/app1", "x=aaaaaaaaaa1aaaaaaaaaa", "day=2024-01-01-00-00-00", "name=averyveryverylongplainword"):
+        assert sc.entropy_spans(public) == [], public
