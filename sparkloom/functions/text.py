@@ -195,55 +195,115 @@ def unbalanced_brackets(c: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.ceil(F.length(only) / 2).cast("int")), only, lambda s, _: F.regexp_replace(s, pairs, "")) != ""
 
 
-#: Fixed values.
+#: Labels that say nothing, ends that something must follow, and words that join sentences.
 GENERIC = ("本章", "概述", "总结", "课程内容", "基础知识", "核心内容", "知识点", "案例", "介绍", "补充主题", "视觉知识", "视觉内容", "图片内容", "图示内容", "关键要点")
 SUFFIXES = ("即使", "但是", "因为", "由于", "通过", "对于", "关于", "以及", "的", "了", "不", "而")
-QUANTITY = r"(?i)^[~≈≃]?\s*[+\-−]?\d+(?:\.\d+)?\s*(?:Å|[fpnumμkMGT]?m|Hz|[fpnumμkMGT]?eV|J|K|[fpnumμkMGT]?W|rad|sr|Pa|T|V|A|C|N|s|%)\s*$"
-
-
-def _label_rules(s: Column, longest: int, generic: tuple[str, ...], suffixes: tuple[str, ...]) -> list[tuple[Column, str]]:
-    return [
+CONNECTIVES = ("但是", "然而", "并且", "而且", "因此", "所以", "因为", "如果", "即使", "以及", "其中", "同时")
+CONTROL_MARKERS = ("[上文衔接]", "【上文衔接】", "[continued]", "[continuation]")
+#: Last characters of cut-off labels, and from which length on.
+CUT_OFF = (("描", 8), ("碰", 4))
+#: Patterns of labels that are no names, by issue.
+SENTENCE_STEM = r"^(?:这(?:说明|表明|意味着|证明)|由此(?:可见|说明|表明|得到)|(?:可以|可)(?:看出|得到|说明|表明)|例如(?:对于)?|比如|所以(?:[^然]|$)|因此|故而|于是|由于|因为|若|如果|当|设|则|(?:提出|证明|说明|表明|发现|给出|得到|获得)了)"
+SECTION_ECHO = r"^(?:[*△▲]\s*)?(?:§\s*\d|第\s*(?:\d+|[一二三四五六七八九十百]+)\s*章|[一二三四五六七八九十]+\s*[.、．]|\d{1,2}\s*(?:[、．]|\.(?:[^\d]|$)))"
+BIOGRAPHY = r"(?:^|\d{4}\s*年|年)诺贝尔.{0,18}(?:奖获得者|奖得主)"
+GENERIC_VISUAL = r"^(?:(?:蓝|红|黑|白|彩色|黑白)?框(?:内)?公式|对比示意图|示意图|曲线图|照片|图片|截图)$"
+PHOTO = r"(?:照片|图片|截图|影像)$"
+LAYOUT_VISUAL = r"^(?:并列|左右|上下|左(?:侧|图)|右(?:侧|图)|上(?:方|图)|下(?:方|图)|页面|画面|带标注).*(?:图|公式|照片|图片|截图|视场)$"
+QUANTITY = r"(?i)^[~≈≃]?\s*[+\-−]?\d+(?:\.\d+)?(?:\s*(?:×|x|\*)\s*10(?:\^[+\-]?\d+|[⁺⁻]?[⁰¹²³⁴⁵⁶⁷⁸⁹]+))?\s*(?:Å|[fpnumμkMGT]?m|Hz|[fpnumμkMGT]?eV|J(?:/T)?|K|[fpnumμkMGT]?W|rad|sr|Pa|T|V|A|C|N|s|%)\s*$"
+FORMULA_RELATION = r"(?:~=|≈|≃|==?|>=?|<=?|≥|≤|>>|<<|→|⇒|⇔)"
+REACTION = r"(?:=|≈|≤|≥|→|⇒|⇌|⟶|⟷|--?>)"
+LONE_ATOMS = ("r", "x", "o", "oh", "h", "n", "c", "cl", "br", "i")
+CJK = "[㐀-鿿]"
+
+
+def _only_formula(s: Column) -> Column:
+    """A relation and no CJK character but in subscripts."""
+    return s.rlike(FORMULA_RELATION) & ~F.regexp_replace(s, f"_{CJK}+", "_x").rlike(CJK)
+
+
+def _structure_fragment(s: Column) -> Column:
+    """Four words or more, all made of chemical elements or R and X, of which two at least are single groups."""
+    words = F.regexp_extract_all(s, F.lit("[A-Za-z]+"), F.lit(0))
+    odd = F.exists(words, lambda w: ~w.rlike("^(?:[A-Z][a-z]?)+$") & ~F.lower(w).isin("r", "x"))
+    lone = F.size(F.filter(words, lambda w: F.lower(w).isin(*LONE_ATOMS)))
+    # cheap tests first: most labels have too few blanks
+    return s.rlike("[A-Za-z][^A-Za-z]+[A-Za-z]+[^A-Za-z]+[A-Za-z]+[^A-Za-z]+[A-Za-z]") & ~s.rlike(CJK) & ~s.rlike(REACTION) & ~odd & (lone >= 2)
+
+
+def _label_rules(s: Column, longest: int, generic: tuple[str, ...], suffixes: tuple[str, ...], section: bool, formula: bool) -> list[tuple[Column, str]]:
+    """(test, code) in the order in which codes are told. Tests on the whole label come before searches in it."""
+    marked, cut = F.lit(False), F.lit(False)
+    for m in CONTROL_MARKERS:
+        marked = marked | F.lower(s).contains(m)
+    for c, n in CUT_OFF:
+        cut = cut | (s.endswith(c) & (F.length(s) >= n))
+    rules = [
         (F.length(s) < 2, "too_short"),
-        (F.length(s) > longest, "too_long"),
+        (F.length(s) > (160 if formula else longest), "too_long"),
         (s.rlike(r"[\n\r]"), "multiline"),
         (s.rlike(r"[\p{Cc}\p{Cf}]"), "control_character"),
+        (marked, "control_marker"),
         (normalized_key(s).isin(*[g.lower() for g in generic]), "generic"),
+        (s.endswith("关键要点"), "generic_summary"),
+        (s.rlike(SENTENCE_STEM), "sentence_stem"),
+        (F.lit(False) if section else s.rlike(SECTION_ECHO), "raw_section_echo"),
+        (s.rlike(BIOGRAPHY), "biography_caption"),
+        (s.rlike(GENERIC_VISUAL), "generic_visual"),
+        (s.rlike(PHOTO), "photo_caption"),
+        (s.rlike(LAYOUT_VISUAL), "layout_visual_caption"),
+        (s.isin(*CONNECTIVES), "standalone_connective"),
         (s.startswith("的"), "dangling_prefix"),
         (s.rlike(f"(?:{'|'.join(suffixes)})$"), "dangling_suffix"),
+        (cut, "truncated_trailing_character"),
         (s.rlike(r"[，,；;：:。！？!?]$"), "sentence_fragment"),
         (s.rlike(r"(?:…{1,2}|\.{3,})$"), "ellipsis"),
-        (s.rlike(r"[□�]"), "placeholder_glyph"),
+        (s.rlike(r"[□\ufffd]"), "placeholder_glyph"),
         (unbalanced_brackets(s), "unbalanced_brackets"),
         (s.rlike(QUANTITY), "bare_quantity"),
-        (s.rlike(r"(?:=|≈|≤|≥|→|⇒)") & ~s.rlike(r"[㐀-鿿]"), "formula_label"),
+        (_structure_fragment(s), "spaced_chemical_structure_fragment"),
     ]
+    return rules if formula else [*rules, (_only_formula(s), "formula_label_requires_formula_role")]
 
 
-def label_issues(c: Column, longest: int = 48, generic: tuple[str, ...] = GENERIC, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
-    """Codes of what makes a label unfit to publish, in the order of the rules; empty if nothing does."""
+def label_issues(c: Column, longest: int = 48, generic: tuple[str, ...] = GENERIC, suffixes: tuple[str, ...] = SUFFIXES, section: bool = False, formula: bool = False) -> Column:
+    """Codes of what makes a label unfit to publish, in the order of the rules; empty if nothing does. Roots may have 80
+    characters (longest), section labels and formulas keep their numbering and their relations."""
     s = strip(c)
-    codes = F.array_compact(F.array(*[F.when(test, F.lit(code)) for test, code in _label_rules(s, longest, generic, suffixes)]))
+    codes = F.array_compact(F.array(*[F.when(test, F.lit(code)) for test, code in _label_rules(s, longest, generic, suffixes, section, formula)]))
     return F.when(s == "", F.array(F.lit("empty"))).otherwise(codes)
 
 
 def is_publishable(stripped: Column, longest: int = 48, generic: tuple[str, ...] = GENERIC, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """Whether a stripped label has no issue; stops at the first rule that says it has."""
     bad = stripped == ""
-    for test, _ in _label_rules(stripped, longest, generic, suffixes):
+    for test, _ in _label_rules(stripped, longest, generic, suffixes, False, False):
         bad = bad | test
     return ~bad
 
 
+#: Patterns of broken definitions, by issue.
+DEFINITION_PATTERNS = {
+    "formula_intro_without_body": r"(?:应有|可得|写为|表示为|关系为|公式为|分别为|如下)\s*[：:]?\s*(?:即\s*)?(?:\d{1,3})?\s*$",
+    "dangling_directional_symbol": r"(?:从|由|向|到)\s*[A-Za-zΑ-ω][A-Za-zΑ-ω0-9_₀-₉]*\s*$",
+    "dangling_connective": r"(?:^|[\s，,；;：:])(?:即|因此|所以|其中|分别|如下|以及|并且|而|则)\s*(?:\d{1,3})?\s*$",
+    "dependent_fragment": r"^[㐀-鿿]{2,10}的[。.]?$",
+    "trailing_formula_operator": r"(?:=|≈|≃|≤|≥|<|>|→|←|⇒|⇔|[+\-×÷])\s*$",
+    "glued_state_comparison": r"(?:非)?[㐀-鿿]{1,12}状态\s*[A-Za-z]?\s*[<>]\s*(?:非)?[㐀-鿿]{1,12}状态\s*可(?:达到|达)",
+    "duplicated_predicate_glue": r"可达到.{0,32}可达",
+    "layout_number_glue": r"(?:好|坏)\s*[㐀-鿿A-Za-z-]{2,16}\s*[：:]\s*\d(?:\s|$)",
+    "document_footer_glue": r"第\s*\d+\s*章\s*(?:结束|完)",
+}
+#: A fragment with one of these says something after all.
+PREDICATES = r"(?:是|为|属于|称为|定义为|表现为)"
+
+
 def definition_issues(c: Column) -> Column:
+    """Codes of what makes a definition unfit to publish; none for a blank one."""
     s = F.trim(F.regexp_replace(strip(c), r"\s+", " "))
-    rules = [
-        (s.rlike(r"[□�]"), "placeholder_glyph"),
-        (unbalanced_brackets(s), "unbalanced_brackets"),
-        (s.rlike(r"(?:应有|可得|写为|表示为|关系为|公式为|分别为|如下)\s*[：:]?\s*(?:即\s*)?(?:\d{1,3})?\s*$"), "formula_intro_without_body"),
-        (s.rlike(r"[=+\-−×*/^]\s*$"), "trailing_formula_operator"),
-        (s.rlike(r"(?:，|,|以及|并且|and|or|the|of)$"), "dangling_connective"),
-    ]
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(t, F.lit(k)) for t, k in rules])))
+    tests = {code: s.rlike(pattern) for code, pattern in DEFINITION_PATTERNS.items()}
+    tests["dependent_fragment"] = tests["dependent_fragment"] & ~s.rlike(PREDICATES)
+    tests = {"placeholder_glyph": s.rlike(r"[□\ufffd]"), "unbalanced_brackets": unbalanced_brackets(s), **tests}
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(t, F.lit(code)) for code, t in tests.items()])))
 
 
 def field_action(label: Column, definition: Column) -> Column:
@@ -297,7 +357,9 @@ def anchor_coverage(anchors: Column, a: Column, b: Column) -> Column:
 
 
 #: Fixed values.
-OPPOSITES = (("增加", "减少"), ("上升", "下降"), ("吸收", "释放"), ("正", "负"), ("increase", "decrease"), ("rise", "fall"), ("above", "below"))
+OPPOSITES = (("增加", "减少"), ("增大", "减小"), ("升高", "降低"), ("提高", "降低"), ("高于", "低于"), ("大于", "小于"), ("吸引", "排斥"), ("促进", "抑制"), ("正比", "反比"))
+#: A set for text in English, as a parameter.
+LATIN_OPPOSITES = (("increase", "decrease"), ("rise", "fall"), ("above", "below"))
 
 
 def opposite_terms(a: Column, b: Column, pairs: tuple[tuple[str, str], ...] = OPPOSITES) -> Column:
@@ -312,12 +374,16 @@ def opposite_terms(a: Column, b: Column, pairs: tuple[tuple[str, str], ...] = OP
 
 
 #: Fixed values.
-CAUSAL = ("导致", "引起", "使得", "造成", " causes ", " leads to ")
+CAUSAL = ("导致", "引起", "造成", "使得", "促进", "抑制")
+#: A set for text in English, as a parameter.
+LATIN_CAUSAL = (" causes ", " leads to ")
+#: What ends a sentence with a cause.
+CAUSAL_END = r"[。！？!?；;，,\n]+"
 
 
 def causal_edges(c: Column, markers: tuple[str, ...] = CAUSAL) -> Column:
     """array(struct(cause, effect)): what stands before and after a marker, 24 characters of each at most."""
-    sentences = F.split(F.lower(c), r"[。！？!?；;.\n]")
+    sentences = F.split(F.lower(c), CAUSAL_END)
     found = []
     for m in markers:
         found.append(F.transform(F.filter(sentences, _contains(m)), _edge(m)))
@@ -391,18 +457,38 @@ def highlight(c: Column, query: str) -> Column:
     return s if not q else F.regexp_replace(s, f"(?i)({re.escape(q)})", "<mark>$1</mark>")
 
 
-def _trimmed(x: Column) -> Column:
-    return F.regexp_replace(F.format_string("%.1f", x), r"\.0$", "")
+def _tenths_text(t: Column, trim: bool) -> Column:
+    rest = F.concat(F.lit("."), F.pmod(t, F.lit(10)).cast("string"))
+    return F.concat(F.floor(t / 10).cast("string"), F.when(F.pmod(t, F.lit(10)) == 0, F.lit("")).otherwise(rest) if trim else rest)
 
 
 def format_tokens(n: Column) -> Column:
-    k = n / 1024
-    return F.when(n >= 1024 * 1024, F.concat(_trimmed(n / (1024.0 * 1024)), F.lit("M"))).when(k >= 100, F.concat(F.round(k).cast("int").cast("string"), F.lit("k"))).when(n >= 1024, F.concat(_trimmed(k), F.lit("k"))).otherwise(n.cast("string"))
+    """A number of tokens in units of 1024, halves up; in whole numbers, so that no fraction is lost."""
+    k, m = 1024, 1024 * 1024
+    return (
+        F.when(n >= m, F.concat(_tenths_text(F.floor((20 * n + m) / (2 * m)), True), F.lit("M")))
+        .when(n >= 100 * k, F.concat(F.floor((2 * n + k) / (2 * k)).cast("string"), F.lit("k")))
+        .when(n >= k, F.concat(_tenths_text(F.floor((20 * n + k) / (2 * k)), True), F.lit("k")))
+        .otherwise(n.cast("string"))
+    )
+
+
+def _second_tenths(ms: Column) -> Column:
+    """Tenths of a second by the exact value of the double ms / 1000: what lies just below a half goes down."""
+    x = ms / 1000.0
+    high = F.floor(x * 2.0**20) / 2.0**20
+    above = (high * 1000.0 - ms) + (x - high) * 1000.0  # exact, both products have few bits
+    rest = F.pmod(ms, F.lit(100))
+    return F.floor(ms / 100) + F.when((rest > 50) | ((rest == 50) & (above >= 0)), 1).otherwise(0)
 
 
 def format_duration(ms: Column) -> Column:
-    rest = F.format_string("%.1f", (ms % 60000) / 1000.0)
-    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60000, F.concat(F.format_string("%.1f", ms / 1000.0), F.lit("s"))).otherwise(F.concat(F.floor(ms / 60000).cast("string"), F.lit("m"), rest, F.lit("s")))
+    """Whole milliseconds, seconds with a tenth, or minutes and seconds."""
+    return (
+        F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms")))
+        .when(ms < 60000, F.concat(_tenths_text(_second_tenths(ms), False), F.lit("s")))
+        .otherwise(F.concat(F.floor(ms / 60000).cast("string"), F.lit("m"), _tenths_text(_second_tenths(F.pmod(ms, F.lit(60000))), False), F.lit("s")))
+    )
 
 
 def humanize_cron(c: Column) -> Column:

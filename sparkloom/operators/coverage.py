@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
 from itertools import groupby
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.folds import fold
+from ..plans.storage import numbered, stored
 
 
 def coverage(units: DataFrame, covered: DataFrame, by: list[str]) -> DataFrame:
@@ -39,29 +42,36 @@ def evidence_matches(evidence: DataFrame, units: DataFrame, fields: list[str]) -
     return j.where(test & (flat(F.col("excerpt")) != "")).select(*evidence.columns)
 
 
-def spread_order(n: int) -> list[int]:
-    """0..n-1 in farthest-point order: the start, the end, then the middle of the widest gap, the leftmost of equal ones."""
-    if n <= 2:
-        return list(range(n))
-    order, gaps = [0, n - 1], [(0, n - 1)]
-    while len(order) < n:
-        a, b = max(gaps, key=lambda g: (g[1] - g[0], -g[0]))
-        gaps.remove((a, b))
+def spread_order(n: int, most: int | None = None) -> list[int]:
+    """The first `most` of 0..n-1 in farthest-point order: the start, the end, then the middle of the widest gap, the
+    leftmost of equal ones."""
+    most = n if most is None else min(n, most)
+    order, gaps = [0, n - 1][: min(n, most)], [(1 - n, 0)]
+    while len(order) < most:
+        wide, a = heappop(gaps)
+        b = a - wide
         m = (a + b) // 2
         order.append(m)
-        gaps += [g for g in ((a, m), (m, b)) if g[1] - g[0] > 1]
+        for c, e in ((a, m), (m, b)):
+            if e - c > 1:
+                heappush(gaps, (c - e, c))
     return order
 
 
 def stratified(units: DataFrame, group: str, order: str, k: int) -> DataFrame:
-    """k units, round-robin over groups (in order of their first unit), each in farthest-point order: rank."""
-    w = Window.partitionBy(group).orderBy(order)
-    rows = units.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(group)), "_first": F.min(order).over(Window.partitionBy(group))})
-    sizes = [r[0] for r in rows.select("_n").distinct().collect()]  # distinct group sizes
-    places = [(n, i, turn) for n in sizes for turn, i in enumerate(spread_order(n))]
-    table = units.sparkSession.createDataFrame(places, "_n long, _i int, _turn int")
-    picked = rows.join(table, ["_n", "_i"]).withColumn("rank", F.row_number().over(Window.orderBy("_turn", "_first", group)))
-    return picked.where(F.col("rank") <= k).drop("_i", "_n", "_first", "_turn")
+    """k units, round-robin over groups (in order of their first unit), each in farthest-point order: rank. No group
+    gives more than k, so what is chosen of each has a bound whatever its size."""
+
+    @F.pandas_udf("array<int>")
+    def places(sizes: pd.Series) -> pd.Series:
+        return pd.Series([spread_order(int(n), k) for n in sizes], dtype=object)
+
+    groups = units.groupBy(group).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    turns = groups.select(F.col(group).alias("_g"), "_first", F.posexplode(places("_n")).alias("_turn", "_i"))
+    rows = units.withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
+    met = rows.join(turns, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_at") == F.col("_i")))
+    first = met.orderBy("_turn", "_first", group).limit(k)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy("_turn", "_first", group))).drop("_at", "_g", "_i", "_first", "_turn")
 
 
 def even_positions(n: Column, k: int) -> Column:
@@ -110,7 +120,8 @@ def claims(topics: DataFrame, support: DataFrame, most: int = 8) -> DataFrame:
     """Each unit of support (topic, unit) goes to one topic (topic, confidence, n_support): the surest, then the best
     supported, then the first; of the topics only the first `most` take part."""
     order = [F.desc("confidence"), F.desc("n_support"), F.col("topic")]
-    top = topics.withColumn("place", F.row_number().over(Window.orderBy(*order))).where(F.col("place") <= most)
+    # cut before it is numbered, so that the one task of the window sees `most` rows
+    top = topics.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))
     j = support.join(F.broadcast(top), "topic")
     return j.groupBy("unit").agg(F.min_by("topic", "place").alias("topic"))
 
@@ -158,10 +169,12 @@ def planning_units(units: DataFrame, by: list[str], order: str, text: str, longe
 
 def theme_plan(units: DataFrame, heading: str, most: int = 8, rest: str = "other") -> DataFrame:
     """Groups by heading; beyond `most`, the largest most - 1 and a rest."""
-    g = units.groupBy(F.coalesce(heading, F.lit("")).alias("h")).agg(F.count("*").alias("n"))
-    g = g.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "h"))).withColumn("all", F.count("*").over(Window.partitionBy()))
-    label = F.when((F.col("all") > most) & (F.col("r") > most - 1), rest).otherwise(F.col("h"))
-    return g.groupBy(label.alias("theme")).agg(F.sum("n").alias("units"), F.count("*").alias("headings"))
+    g = stored(units.groupBy(F.coalesce(heading, F.lit("")).alias("h")).agg(F.count("*").alias("n")), "headings")
+    if g.count() <= most:
+        return g.select(F.col("h").alias("theme"), F.col("n").alias("units"), F.lit(1).cast("bigint").alias("headings"))
+    own = g.orderBy(F.desc("n"), "h").limit(most - 1).select("h", F.col("h").alias("own"))
+    named = g.join(F.broadcast(own), "h", "left")
+    return named.groupBy(F.coalesce("own", F.lit(rest)).alias("theme")).agg(F.sum("n").alias("units"), F.count("*").alias("headings"))
 
 
 def grouped_support(candidates: DataFrame, least: int) -> DataFrame:
@@ -200,7 +213,7 @@ def in_source_order(units: DataFrame, by: str) -> DataFrame:
 def plan_places(members: DataFrame) -> DataFrame:
     """The first place of each plan's units (plan, at); plans without one come last."""
     p = members.groupBy("plan").agg(F.min("at").alias("at"))
-    return p.withColumn("place", F.row_number().over(Window.orderBy(F.col("at").asc_nulls_last(), "plan")))
+    return numbered(p, [F.col("at").asc_nulls_last(), F.col("plan")], "place")
 
 
 def owners(seeds: DataFrame) -> DataFrame:

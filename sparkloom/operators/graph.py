@@ -80,7 +80,10 @@ def suggest_parents(nodes: DataFrame, least: float = 0.28, quota: int = 4) -> Da
     j = c.join(p, (F.col("branch_id") == F.col("p_branch_id")) & (F.col("node_id") != F.col("p_node_id")))
     holds = F.lower(F.concat_ws(" ", "name", "definition")).contains(F.lower("p_name"))
     v = role_fit(F.col("p_role"), F.col("role"), F.col("p_origin"), F.col("p_is_root")) + 0.14
-    v = v + F.when(holds, 0.16).otherwise(0.0) + 0.08 * tx.jaccard(F.col("p_b"), F.col("b")) + F.when(F.col("p_confidence") >= F.col("confidence"), 0.03).otherwise(0.0)
+    v = v + F.when(holds, 0.16).otherwise(0.0) + F.when(F.col("p_confidence") >= F.col("confidence"), 0.03).otherwise(0.0)
+    # names add .08 at most: pairs that can't reach `least` go before their sets are compared
+    j = j.withColumn("_v", v).where(F.col("_v") + 0.08 >= least - 1e-4)
+    v = F.col("_v") + 0.08 * tx.jaccard(F.col("p_b"), F.col("b"))
     scored = j.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(v, F.lit(0.92))), 4)).where(F.col("score") >= least)
     return top_per(scored, ["node_id"], [F.desc("score"), F.col("p_node_id")], quota).select(F.col("p_node_id").alias("parent_id"), F.col("node_id").alias("child_id"), "score", F.col("rank"))
 

@@ -17,74 +17,80 @@ def apply_patch(nodes: list[dict], operations: list[dict]) -> tuple[list[dict],
     """nodes (dicts with id, parent_id, in pre-order) after all operations, and the numbers of those without effect.
 
     Operations: add (node), update (target, changes), delete (target, a leaf), move (target, new_parent), position
-    (target, before or after a sibling). A subtree always is a contiguous block. The first operation that can't be
-    applied raises, and the nodes given stay as they were."""
-    tree = [dict(n) for n in nodes]
+    (target, before or after a sibling). The tree is held as lists of children, so an operation touches the siblings
+    it names and no other node. The first operation that can't be applied raises, and the nodes given stay as they
+    were."""
+    by_id = {n["id"]: dict(n) for n in nodes}
+    below: dict[str | None, list[str]] = {}
+    for n in nodes:
+        below.setdefault(n.get("parent_id"), []).append(n["id"])
     idle: list[int] = []
 
-    def at(i: str) -> int:
-        for k, n in enumerate(tree):
-            if n["id"] == i:
-                return k
-        raise PatchError(f"no node {i}")
-
-    def span(i: str) -> tuple[int, int]:
-        first = at(i)
-        inside, last = {i}, first + 1
-        while last < len(tree) and tree[last]["parent_id"] in inside:
-            inside.add(tree[last]["id"])
-            last += 1
-        return first, last
-
-    def put(block: list[dict], where: int) -> None:
-        tree[where:where] = block
-
+    def known(i: str) -> dict:
+        if i not in by_id:
+            raise PatchError(f"no node {i}")
+        return by_id[i]
+
+    def add(n: int, op: dict) -> None:
+        new = dict(op["node"])
+        if new["id"] in by_id:
+            raise PatchError(f"node {new['id']} exists")
+        if new.get("parent_id") is None:
+            raise PatchError("a second root")
+        known(new["parent_id"])
+        by_id[new["id"]] = new
+        below.setdefault(new["parent_id"], []).append(new["id"])
+
+    def update(n: int, op: dict) -> None:
+        node = known(op["target"])
+        if all(node.get(k) == v for k, v in op["changes"].items()):
+            idle.append(n)
+        node.update(op["changes"])
+
+    def delete(n: int, op: dict) -> None:
+        node = known(op["target"])
+        if below.get(node["id"]) or node["parent_id"] is None:
+            raise PatchError(f"{node['id']} is no leaf")
+        below[node["parent_id"]].remove(node["id"])
+        del by_id[node["id"]]
+
+    def move(n: int, op: dict) -> None:
+        node, to = known(op["target"]), op["new_parent"]
+        up = to
+        while up is not None and up != node["id"]:
+            up = by_id[up]["parent_id"] if up in by_id else None
+        if up is not None or node["parent_id"] is None:
+            raise PatchError(f"{node['id']} can't move below {to}")
+        known(to)
+        if node["parent_id"] == to:
+            idle.append(n)
+            return
+        below[node["parent_id"]].remove(node["id"])
+        below.setdefault(to, []).append(node["id"])
+        node["parent_id"] = to
+
+    def position(n: int, op: dict) -> None:
+        node, mate = known(op["target"]), op.get("before") or op.get("after")
+        if known(mate)["parent_id"] != node["parent_id"] or mate == node["id"]:
+            raise PatchError(f"{mate} is no sibling of {node['id']}")
+        siblings = below[node["parent_id"]]
+        rest = [i for i in siblings if i != node["id"]]
+        rest.insert(rest.index(mate) + (0 if op.get("before") else 1), node["id"])
+        if rest == siblings:
+            idle.append(n)
+        below[node["parent_id"]] = rest
+
+    kinds = {"add": add, "update": update, "delete": delete, "move": move, "position": position}
     for n, op in enumerate(operations):
-        kind = op["op"]
-        if kind == "add":
-            new = dict(op["node"])
-            if any(x["id"] == new["id"] for x in tree):
-                raise PatchError(f"node {new['id']} exists")
-            if new.get("parent_id") is None:
-                raise PatchError("a second root")
-            put([new], span(new["parent_id"])[1])
-            continue
-        first, last = span(op["target"])
-        node = tree[first]
-        if kind == "update":
-            if all(node.get(k) == v for k, v in op["changes"].items()):
-                idle.append(n)
-            node.update(op["changes"])
-        elif kind == "delete":
-            if last - first > 1 or node["parent_id"] is None:
-                raise PatchError(f"{node['id']} is no leaf")
-            del tree[first]
-        elif kind == "move":
-            to = op["new_parent"]
-            inside = {x["id"] for x in tree[first:last]}
-            if to in inside or node["parent_id"] is None:
-                raise PatchError(f"{node['id']} can't move below {to}")
-            at(to)
-            if node["parent_id"] == to:
-                idle.append(n)
-                continue
-            block = tree[first:last]
-            del tree[first:last]
-            block[0]["parent_id"] = to
-            put(block, span(to)[1])
-        elif kind == "position":
-            mate = op.get("before") or op.get("after")
-            if tree[at(mate)]["parent_id"] != node["parent_id"] or mate == node["id"]:
-                raise PatchError(f"{mate} is no sibling of {node['id']}")
-            was = [x["id"] for x in tree]
-            block = tree[first:last]
-            del tree[first:last]
-            put(block, at(mate) if op.get("before") else span(mate)[1])
-            if [x["id"] for x in tree] == was:
-                idle.append(n)
-        else:
-            raise PatchError(f"unknown operation {kind}")
-    return tree, idle
+        if op["op"] not in kinds:
+            raise PatchError(f"unknown operation {op['op']}")
+        kinds[op["op"]](n, op)
+    out, todo = [], list(reversed(below.get(None, [])))
+    while todo:
+        i = todo.pop()
+        out.append(by_id[i])
+        todo += reversed(below.get(i, []))
+    return out, idle
 
 
 PATCHED = "tree long, pos int, id string, parent_id string, name string, error string"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -65,17 +67,25 @@ CLUSTERS = "block string, id long, cluster int"
 
 def complete_link(rows: DataFrame, least: float) -> DataFrame:
     """Greedy complete-link clusters of rows (block, id, seq, key): in order of seq a row joins the first cluster all of
-    whose members it resembles, else opens one. The order matters, so a block is one group."""
+    whose members it resembles, else opens one. The order matters, so a block is one group. Only clusters whose opener
+    shares a piece with the row are looked at: `least` is above 0, so others can't take it."""
+    if least <= 0:
+        raise ValueError("least must be above 0")
 
     def of_block(rows: list[dict]) -> list[tuple]:
         clusters: list[list[frozenset]] = []
+        opened: dict[str, list[int]] = {}
         out = []
         for r in rows:
             k = r["key"]
             own = frozenset(k[j : j + 2] for j in range(max(1, len(k) - 1)))
-            at = next((n for n, c in enumerate(clusters) if all(len(own & s) >= least * len(own | s) for s in c)), len(clusters))
+            shared = Counter(n for piece in own for n in opened.get(piece, ()))
+            near = sorted(n for n, c in shared.items() if c >= least * (len(own) + len(clusters[n][0]) - c))
+            at = next((n for n in near if all(len(own & s) >= least * len(own | s) for s in clusters[n])), len(clusters))
             if at == len(clusters):
                 clusters.append([])
+                for piece in own:
+                    opened.setdefault(piece, []).append(at)
             clusters[at].append(own)
             out.append((r["block"], r["id"], at))
         return out

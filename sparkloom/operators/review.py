@@ -112,7 +112,7 @@ def resolution_faults(resolutions: DataFrame, reviews: DataFrame, labels: DataFr
 
 def guidance(nodes: DataFrame, order: str, most: int = 160) -> DataFrame:
     """The first nodes in order with the names of their parents, as a reviewer sees them; the bound is the feature."""
-    n = nodes.withColumn("position", F.row_number().over(Window.orderBy(order))).where(F.col("position") <= most)
+    n = nodes.orderBy(order).limit(most).withColumn("position", F.row_number().over(Window.orderBy(order)))
     return n.join(nodes.select(F.col("id").alias("parent"), F.col("name").alias("parent_name")), "parent", "left").select("id", "name", "parent_name", "position")
 
 

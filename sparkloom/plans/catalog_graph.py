@@ -10,6 +10,7 @@ from ..operators import graph as gr
 from ..operators import layout as ly
 from ..operators import patch as pt
 from ..operators import tree as tr
+from .catalog_text import BLOCKS, blocks
 from .registry import query, table
 
 #: A tree of four levels from the driver tables: world, regions, nations, customers and suppliers.
@@ -249,11 +250,12 @@ def audited_units(spark, d):
     return cv.audit(u, table(spark, d, "labels").select(F.col("doc_id").alias("id")))
 
 
-@query("""WITH e AS (SELECT conv_id AS id, turn % 50 AS unit_id, substr(text, 1, 12) AS excerpt FROM conversations), f AS (SELECT e.*, lower(regexp_replace(text, '\\s+', '', 'g')) AS t, lower(regexp_replace(lang || text, '\\s+', '', 'g')) AS t2, lower(regexp_replace(excerpt, '\\s+', '', 'g')) AS x FROM e JOIN documents ON doc_id = unit_id)
+@query(f"""WITH {BLOCKS}, e AS (SELECT doc_id * 100000 + ordinal AS id, doc_id + ordinal % 2 AS unit_id, text AS excerpt FROM blocks),
+    f AS (SELECT e.*, lower(regexp_replace(text, '\\s+', '', 'g')) AS t, lower(regexp_replace(excerpt, '\\s+', '', 'g')) AS x FROM e JOIN documents ON doc_id = unit_id)
     SELECT id, unit_id, excerpt FROM f WHERE x <> '' AND contains(t, x)""")
 def matched_evidence(spark, d):
-    """Evidence whose unit holds its excerpt."""
-    e = table(spark, d, "conversations").select(F.col("conv_id").alias("id"), (F.col("turn") % 50).alias("unit_id"), F.substring("text", 1, 12).alias("excerpt"))
+    """Evidence whose unit holds its excerpt: each block, cited by turns from its own document and from the next."""
+    e = blocks(spark, d).select((F.col("doc_id") * 100000 + F.col("ordinal")).alias("id"), (F.col("doc_id") + F.col("ordinal") % 2).alias("unit_id"), F.col("text").alias("excerpt"))
     return cv.evidence_matches(e, table(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), "text"), ["text"]).select("id", "unit_id", "excerpt")
 
 
@@ -370,14 +372,15 @@ def merged_continuations(spark, d):
 @query()
 def tree_layout(spark, d):
     """Places of the nodes of the tree."""
-    t = tree(spark, d).where("id not like 'c%'")
-    return ly.layout(t.withColumns({"tree": F.lit(0).cast("long"), "width": (F.length("name") * 8 + 24).cast("double"), "height": F.lit(40.0)}))
+    return ly.layout(tree(spark, d).withColumns({"tree": F.lit(0).cast("long"), "width": (F.length("name") * 8 + 24).cast("double"), "height": F.lit(40.0)}))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS violations")
+@query("""WITH b AS (SELECT o_custkey AS tree, o_orderkey AS id, o_totalprice / 100 - 42 AS l, o_totalprice / 100 + 42 AS r, o_orderkey % 500 - 32.0::DOUBLE AS t, o_orderkey % 500 + 32.0::DOUBLE AS b FROM orders)
+    SELECT x.tree, CAST(x.id AS VARCHAR) AS a, CAST(y.id AS VARCHAR) AS b FROM b x JOIN b y ON x.tree = y.tree AND CAST(x.id AS VARCHAR) < CAST(y.id AS VARCHAR) AND x.l < y.r AND y.l < x.r AND x.t < y.b AND y.t < x.b""")
 def layout_violations(spark, d):
-    """Boxes of that layout that are too near: none."""
-    return ly.violations(tree_layout(spark, d)).agg(F.count("*").alias("violations"))
+    """Boxes of a customer's orders that are too near to each other."""
+    boxes = table(spark, d, "orders").select(F.col("o_custkey").alias("tree"), F.col("o_orderkey").cast("string").alias("id"), (F.col("o_totalprice") / 100).alias("x"), (F.col("o_orderkey") % 500).cast("double").alias("y"))
+    return ly.violations(boxes.withColumns({"width": F.lit(60.0), "height": F.lit(40.0)}))
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 11 <> 0), n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 10 = 0 THEN 'Y' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 13 <> 0),

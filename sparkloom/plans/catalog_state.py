@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import client as cl
 from ..operators import metrics as mt
 from ..streaming import events as ev
 from . import store as st
+from .catalog_text import BLOCKS, blocks
 from .registry import query, table
 
 
@@ -30,10 +31,12 @@ def latest_per_key(spark, d):
     return st.latest(events(spark, d), ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
-@query("SELECT event_id, user_id, event_type, value, props FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_id <= 700) WHERE r = 1")
+@query("SELECT event_id, user_id, event_type, value, props FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events)) WHERE r = 1")
 def as_of_version(spark, d):
     """The last event of each user up to a moment."""
-    return st.as_of(events(spark, d), ["user_id"], "event_id", F.lit(700)).drop("ts")
+    e = events(spark, d)
+    middle = (e.agg(F.max("event_id")).first()[0] or 0) // 2
+    return st.as_of(e, ["user_id"], "event_id", F.lit(middle)).drop("ts")
 
 
 _VERSIONS = "v AS (SELECT o_custkey AS task_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version, o_orderdate AS created_at FROM orders)"
@@ -106,13 +109,14 @@ def applied_updates(spark, d):
     return st.apply_updates(c, u, "c_custkey", ["c_mktsegment"])
 
 
-@query("SELECT event_id AS run_id, props AS payload FROM events WHERE event_type = 'click' AND event_id <> 5 AND event_id IN (SELECT event_id FROM events WHERE user_id = 3) AND json_extract_string(props, '$.k') >= '' AND CAST(json_extract(props, '$.k') AS INTEGER) = 40 ORDER BY event_id LIMIT 20")
+@query("""SELECT event_id AS run_id, '{"k":' || (event_id % 4) || '}' AS payload FROM events WHERE event_type = 'click' AND event_id <> 5 AND user_id % 3 = 1 AND event_id % 4 = 2
+    ORDER BY ts DESC, event_id LIMIT 20""")
 def reusable_checkpoints(spark, d):
     """Checkpoints of an owner's other runs with the same input hash, the newest twenty as asked."""
     e = events(spark, d)
-    c = e.select(F.col("event_id").alias("run_id"), F.col("event_type").alias("stage"), F.col("props").alias("payload"), F.col("ts").alias("created_at"))
-    r = e.select(F.col("event_id").alias("run_id"), F.col("user_id").alias("owner"))
-    return st.reusable_checkpoints(c, r, 3, "click", 5, "$.k", "40", 20).select("run_id", "payload")
+    c = e.select(F.col("event_id").alias("run_id"), F.col("event_type").alias("stage"), F.to_json(F.struct((F.col("event_id") % 4).alias("k"))).alias("payload"), F.col("ts").alias("created_at"))
+    r = e.select(F.col("event_id").alias("run_id"), (F.col("user_id") % 3).alias("owner"))
+    return st.reusable_checkpoints(c, r, 1, "click", 5, "$.k", "2", 20).select("run_id", "payload")
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey % 5 <> 0 UNION ALL SELECT o_orderkey, o_custkey, 'new' FROM orders WHERE o_custkey % 5 = 0 AND o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey % 5 = 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)")
@@ -324,11 +328,13 @@ def json_usage_totals(spark, d):
     return mt.usage_totals(events(spark, d), ["event_type"], "props")
 
 
-@query("""WITH r AS (SELECT doc_id % 40 AS page, doc_id AS item, substr(text, 1, 20) AS t FROM documents), o AS (SELECT item_id AS page, text FROM benchmark) SELECT page, item, coalesce(bool_or(contains(lower(regexp_replace(o.text, '\\s+', '', 'g')), lower(regexp_replace(t, '\\s+', '', 'g')))), FALSE) AS present FROM r LEFT JOIN o USING (page) GROUP BY page, item""")
+@query(f"""WITH {BLOCKS}, r AS (SELECT doc_id // 2 AS page, doc_id * 100000 + ordinal AS item, text AS t FROM blocks), o AS (SELECT doc_id // 2 AS page, text FROM documents WHERE doc_id % 2 = 0)
+    SELECT page, item, coalesce(bool_or(contains(lower(regexp_replace(o.text, '\\s+', '', 'g')), lower(regexp_replace(t, '\\s+', '', 'g')))), FALSE) AS present FROM r LEFT JOIN o USING (page) GROUP BY page, item""")
 def required_text_audit(spark, d):
-    """Whether required texts occur on their page."""
-    r = table(spark, d, "documents").select((F.col("doc_id") % 40).alias("page"), F.col("doc_id").alias("item"), F.substring("text", 1, 20).alias("text"))
-    return mt.required_text(r, table(spark, d, "benchmark").select(F.col("item_id").alias("page"), "text"), ["page"])
+    """Whether required texts, the blocks of two documents, occur on their page, the text of the first of them."""
+    page = F.floor(F.col("doc_id") / 2).alias("page")
+    r = blocks(spark, d).select(page, (F.col("doc_id") * 100000 + F.col("ordinal")).alias("item"), "text")
+    return mt.required_text(r, table(spark, d, "documents").where("doc_id % 2 = 0").select(page, "text"), ["page"])
 
 
 @query("""WITH p AS (SELECT source, quality = 1 AS present FROM labels JOIN documents USING (doc_id)) SELECT source, round(coalesce(avg(CAST(present AS INTEGER)), 1), 4) AS rate, count(*) AS items FROM p GROUP BY source""")
@@ -452,12 +458,14 @@ def uncovered_results(spark, d):
     return cl.uncovered(r, live, ["brand"])
 
 
-@query("""WITH l AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS k FROM events WHERE event_id < 300 GROUP BY 1), p AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS p FROM events WHERE event_id >= 250 AND event_id < 600 GROUP BY 1)
+@query("""WITH h AS (SELECT user_id, event_type, 2 * row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= count(*) OVER (PARTITION BY user_id) AS early FROM events),
+    l AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS k FROM h WHERE early GROUP BY 1), p AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS p FROM h WHERE NOT early GROUP BY 1)
     SELECT user_id, array_to_string(list_concat(list_filter(p, lambda x: NOT list_contains(k, x)), list_filter(k, lambda x: list_contains(p, x))), ',') AS ordered, CAST(1 + len(k) + len(p) AS INTEGER) AS calls FROM l JOIN p USING (user_id)""")
 def workspace_order(spark, d):
-    """Saved orders with new ids first (unchanged ones as they are)."""
-    e = events(spark, d)
-    a = e.where("event_id < 300").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("k"))
-    b = e.where("event_id >= 250 and event_id < 600").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("p"))
+    """Saved orders, of the first half of each user's events, with the ids that the second half adds first."""
+    own = Window.partitionBy("user_id")
+    e = events(spark, d).withColumn("early", 2 * F.row_number().over(own.orderBy("event_id")) <= F.count("*").over(own))
+    a = e.where("early").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("k"))
+    b = e.where("not early").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("p"))
     j = a.join(b, "user_id")
     return j.select("user_id", F.array_join(F.coalesce(cl.reconciled_order(F.col("k"), F.col("p")), F.col("k")), ",").alias("ordered"), (cl.planned_calls(F.array("k", "p")) - 2).alias("calls"))

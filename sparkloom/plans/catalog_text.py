@@ -142,22 +142,77 @@ def _names(spark, d):
     return table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("name")).distinct()
 
 
+def _unbalanced(s: str) -> str:
+    """SQL: whether brackets are left after innermost pairs were removed as often as there are pairs."""
+    only = f"regexp_replace({s}, '[^()（）\\[\\]【】{{}}《》]', '', 'g')"
+    pairs = r"\(\)|（）|\[\]|【】|\{\}|《》"
+    rounds = f"list_transform(range(0, CAST(length({only}) // 2 AS BIGINT)), lambda i: '')"
+    return f"list_reduce(list_concat([{only}], {rounds}), lambda x, y: regexp_replace(x, '{pairs}', '', 'g')) <> ''"
+
+
+def _codes(tests: list[tuple[str, str]]) -> str:
+    """SQL: the codes whose tests hold, joined."""
+    cases = ", ".join(f"CASE WHEN {test} THEN '{code}' END" for code, test in tests)
+    return f"array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ',')"
+
+
+def _listed(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+_RE = "regexp_matches(s, '{}')".format
+_KEY = r"lower(regexp_replace(s, '[\s·•,，。；;:：()（）【】\[\]{}《》<>_-]+', '', 'g'))"
+_ATOMS = "regexp_extract_all(s, '[A-Za-z]+')"
+_LABEL_TESTS = [
+    ("too_short", "length(s) < 2"),
+    ("too_long", "length(s) > 48"),
+    ("multiline", _RE(r"[\n\r]")),
+    ("control_character", _RE(r"[\p{Cc}\p{Cf}]")),
+    ("control_marker", " OR ".join(f"contains(lower(s), '{m}')" for m in tx.CONTROL_MARKERS)),
+    ("generic", f"{_KEY} IN ({_listed(tx.GENERIC)})"),
+    ("generic_summary", "ends_with(s, '关键要点')"),
+    ("sentence_stem", _RE(tx.SENTENCE_STEM)),
+    ("raw_section_echo", _RE(tx.SECTION_ECHO)),
+    ("biography_caption", _RE(tx.BIOGRAPHY)),
+    ("generic_visual", _RE(tx.GENERIC_VISUAL)),
+    ("photo_caption", _RE(tx.PHOTO)),
+    ("layout_visual_caption", _RE(tx.LAYOUT_VISUAL)),
+    ("standalone_connective", f"s IN ({_listed(tx.CONNECTIVES)})"),
+    ("dangling_prefix", "starts_with(s, '的')"),
+    ("dangling_suffix", " OR ".join(f"ends_with(s, '{x}')" for x in tx.SUFFIXES)),
+    ("truncated_trailing_character", " OR ".join(f"(ends_with(s, '{c}') AND length(s) >= {n})" for c, n in tx.CUT_OFF)),
+    ("sentence_fragment", _RE("[，,；;：:。！？!?]$")),
+    ("ellipsis", _RE(r"(?:…{1,2}|\.{3,})$")),
+    ("placeholder_glyph", _RE("[□�]")),
+    ("unbalanced_brackets", _unbalanced("s")),
+    ("bare_quantity", _RE(tx.QUANTITY)),
+    (
+        "spaced_chemical_structure_fragment",
+        f"len({_ATOMS}) >= 4 AND NOT {_RE(tx.CJK)} AND NOT {_RE(tx.REACTION)}"
+        f" AND len(list_filter({_ATOMS}, lambda w: NOT regexp_matches(w, '^(?:[A-Z][a-z]?)+$') AND lower(w) NOT IN ('r', 'x'))) = 0"
+        f" AND len(list_filter({_ATOMS}, lambda w: lower(w) IN ({_listed(tx.LONE_ATOMS)}))) >= 2",
+    ),
+    ("formula_label_requires_formula_role", f"{_RE(tx.FORMULA_RELATION)} AND NOT regexp_matches(regexp_replace(s, '_{tx.CJK}+', '_x', 'g'), '{tx.CJK}')"),
+]
+
+
 @query(f"""WITH {_WORDS}, n AS (SELECT name, regexp_replace(name, '^[\\s]+|[\\s]+$', '', 'g') AS s FROM names)
-    SELECT name, CASE WHEN s = '' THEN 'empty' ELSE array_to_string(list_filter([CASE WHEN length(s) < 2 THEN 'too_short' END, CASE WHEN length(s) > 48 THEN 'too_long' END, CASE WHEN regexp_matches(s, '[\\n\\r]') THEN 'multiline' END, CASE WHEN regexp_matches(s, '[\\p{{Cc}}\\p{{Cf}}]') THEN 'control_character' END,
-    CASE WHEN regexp_matches(s, '[，,；;：:。！？!?]$') THEN 'sentence_fragment' END, CASE WHEN regexp_matches(s, '(?:…{{1,2}}|\\.{{3,}})$') THEN 'ellipsis' END, CASE WHEN regexp_matches(s, '[()\\[\\]{{}}]') THEN 'unbalanced_brackets' END,
-    CASE WHEN regexp_matches(s, '(?i)^[~≈≃]?\\s*[+\\-−]?\\d+(?:\\.\\d+)?\\s*(?:Å|[fpnumμkMGT]?m|Hz|[fpnumμkMGT]?eV|J|K|[fpnumμkMGT]?W|rad|sr|Pa|T|V|A|C|N|s|%)\\s*$') THEN 'bare_quantity' END, CASE WHEN regexp_matches(s, '(?:=|≈|≤|≥|→|⇒)') THEN 'formula_label' END], lambda x: x IS NOT NULL), ',') END AS issues FROM n WHERE NOT regexp_matches(s, '[(].*[)]')""")
+    SELECT name, CASE WHEN s = '' THEN 'empty' ELSE {_codes(_LABEL_TESTS)} END AS issues FROM n""")
 def label_issues(spark, d):
-    """What makes each word unfit as a label (words that hold a pair of brackets are for the unit tests)."""
-    n = _names(spark, d).where(~tx.strip(F.col("name")).rlike(r"[(].*[)]"))
-    return n.select("name", F.array_join(tx.label_issues(F.col("name")), ",").alias("issues"))
+    """What makes each word unfit as a label."""
+    return _names(spark, d).select("name", F.array_join(tx.label_issues(F.col("name")), ",").alias("issues"))
+
 
+_DEFINITION_TESTS = [("placeholder_glyph", _RE("[□�]")), ("unbalanced_brackets", _unbalanced("s"))] + [
+    (code, _RE(pattern) + (f" AND NOT {_RE(tx.PREDICATES)}" if code == "dependent_fragment" else "")) for code, pattern in tx.DEFINITION_PATTERNS.items()
+]
 
-@query(f"""WITH {BLOCKS}, d AS (SELECT doc_id, ordinal, regexp_replace(text, '\\s+', ' ', 'g') AS s FROM blocks)
-    SELECT doc_id, ordinal, array_to_string(list_filter([CASE WHEN regexp_matches(s, '[□�]') THEN 'placeholder_glyph' END, CASE WHEN regexp_matches(s, '[=+\\-−×*/^]\\s*$') THEN 'trailing_formula_operator' END, CASE WHEN regexp_matches(s, '(?:，|,|以及|并且|and|or|the|of)$') THEN 'dangling_connective' END], lambda x: x IS NOT NULL), ',') AS issues FROM d WHERE NOT regexp_matches(s, '[()\\[\\]{{}}]')""")
+
+@query(f"""WITH {BLOCKS}, d AS (SELECT doc_id, ordinal, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM blocks)
+    SELECT doc_id, ordinal, {_codes(_DEFINITION_TESTS)} AS issues FROM d""")
 def definition_issues(spark, d):
-    """What makes each block unfit as a definition (brackets are for the unit tests)."""
-    b = blocks(spark, d).where(~F.col("text").rlike(r"[()\[\]{}]"))
-    return b.select("doc_id", "ordinal", F.array_join(tx.definition_issues(F.col("text")), ",").alias("issues"))
+    """What makes each block unfit as a definition."""
+    return blocks(spark, d).select("doc_id", "ordinal", F.array_join(tx.definition_issues(F.col("text")), ",").alias("issues"))
 
 
 @query("""WITH b AS (SELECT doc_id, text, ordinal, lag(text) OVER (PARTITION BY doc_id ORDER BY ordinal) AS before FROM (WITH """ + BLOCKS + """ SELECT * FROM blocks)),
@@ -184,12 +239,31 @@ def highlights(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.highlight(F.col("text"), "an").alias("marked"))
 
 
-@query("""WITH n AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders)
-    SELECT o_orderkey, CASE WHEN n >= 102400 THEN CAST(CAST(round(n / 1024) AS INTEGER) AS VARCHAR) || 'k' WHEN n >= 1024 THEN regexp_replace(printf('%.1f', n / 1024), '\\.0$', '') || 'k' ELSE CAST(n AS VARCHAR) END AS tokens,
-    CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) || 'ms' WHEN n < 60000 THEN printf('%.1f', n / 1000) || 's' ELSE CAST(n // 60000 AS VARCHAR) || 'm' || printf('%.1f', (n % 60000) / 1000) || 's' END AS duration FROM n WHERE n < 1048576 AND n % 1024 <> 512 AND n * 10 % 1024 <> 512 AND n % 100 <> 50""")
+def _tenths(t: str, trim: bool) -> str:
+    """SQL: tenths as text."""
+    rest = f"'.' || ({t}) % 10"
+    return f"(({t}) // 10) || " + (f"CASE WHEN ({t}) % 10 = 0 THEN '' ELSE {rest} END" if trim else rest)
+
+
+def _seconds(ms: str) -> str:
+    """SQL: seconds with a tenth, rounded by the exact value of the double."""
+    x = f"({ms} / 1000.0::DOUBLE)"
+    high = f"(floor({x} * 1048576) / 1048576)"
+    up = f"({ms} % 100 > 50 OR ({ms} % 100 = 50 AND ({high} * 1000 - {ms}) + ({x} - {high}) * 1000 >= 0))"
+    return _tenths(f"{ms} // 100 + CASE WHEN {up} THEN 1 ELSE 0 END", False)
+
+
+#: Prices as small and as large numbers, so that every unit and every rounding occurs.
+_AMOUNTS = "n AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * CASE WHEN o_orderkey % 3 = 0 THEN 16 ELSE 1 END AS n FROM orders)"
+
+
+@query(f"""WITH {_AMOUNTS}
+    SELECT o_orderkey, CASE WHEN n >= 1048576 THEN {_tenths("(20 * n + 1048576) // 2097152", True)} || 'M' WHEN n >= 102400 THEN ((2 * n + 1024) // 2048) || 'k'
+        WHEN n >= 1024 THEN {_tenths("(20 * n + 1024) // 2048", True)} || 'k' ELSE CAST(n AS VARCHAR) END AS tokens,
+    CASE WHEN n < 1000 THEN n || 'ms' WHEN n < 60000 THEN {_seconds("n")} || 's' ELSE (n // 60000) || 'm' || {_seconds("(n % 60000)")} || 's' END AS duration FROM n""")
 def formats(spark, d):
-    """Token counts and durations as people write them (rounding of exact halves differs between engines and is for the unit tests)."""
-    n = table(spark, d, "orders").select("o_orderkey", F.floor("o_totalprice").alias("n")).where("n < 1048576 and n % 1024 <> 512 and n * 10 % 1024 <> 512 and n % 100 <> 50")
+    """Token counts and durations as people write them."""
+    n = table(spark, d, "orders").select("o_orderkey", (F.floor("o_totalprice") * F.when(F.col("o_orderkey") % 3 == 0, 16).otherwise(1)).alias("n"))
     return n.select("o_orderkey", tx.format_tokens(F.col("n")).alias("tokens"), tx.format_duration(F.col("n")).alias("duration"))
 
 
