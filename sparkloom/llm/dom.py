@@ -5,17 +5,22 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*(?:>|\Z)|</?\Z|[^<]+|<", re.DOTALL)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(.*?)>?\Z", re.DOTALL)
-ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
+NUMBER = re.compile(r"\d+")
+HIDDEN = re.compile(r"\shidden(\s|/?$)", re.IGNORECASE)
 
 MAIN = frozenset(("article", "main"))
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object noembed noframes xmp".split())
+RAW = frozenset("script style textarea title noscript iframe template noembed noframes annotation annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Everything inside these belongs to the block around them: a formula or a picture's text is no block of its own.
+EMBEDDED = frozenset(("math", "svg"))
 #: Elements whose end a new one of these implies: what is open, by what begins.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -29,12 +34,28 @@ class Node:
     mark: str = ""
     text: str = ""
     children: list[Node] = field(default_factory=list)
-    #: Whether an article or main element is inside.
+    #: Whether an article or main element is inside, and whether the element is marked as hidden.
     holds_main: bool = False
+    hidden: bool = False
+
+    @cached_property
+    def digest(self) -> int:
+        """A hash of the labels and texts of the whole tree below, children first and without recursion."""
+        done: dict[int, int] = {}
+        todo = [(self, False)]
+        while todo:
+            n, ready = todo.pop()
+            if ready or not n.children:
+                done[id(n)] = n.__dict__["digest"] = hash((n.label, n.text, *(done[id(c)] for c in n.children)))
+            else:
+                todo.append((n, True))
+                todo += [(c, False) for c in n.children]
+        return done[id(self)]
 
     @property
     def label(self) -> str:
-        return f"{self.tag}.{self.mark}" if self.mark else self.tag
+        """What alignment and paths go by: the element and its marks, of which numbers differ from page to page."""
+        return f"{self.tag}.{NUMBER.sub('#', self.mark)}" if self.mark else self.tag
 
 
 def parse(source: str) -> Node:
@@ -44,6 +65,7 @@ def parse(source: str) -> Node:
     opened: dict[str, int] = {}
     low = source.lower()
     at, end = 0, len(source)
+    embedded = ""
 
     def flush() -> None:
         if pending:
@@ -76,28 +98,40 @@ def parse(source: str) -> Node:
             continue
         t = TAG.match(token)
         closing, tag, rest = t[1], t[2].lower(), t[3]
-        if tag in INLINE:
+        if tag in EMBEDDED:
+            embedded = "" if closing or rest.endswith("/") else tag
+            continue
+        if tag in INLINE or (embedded and tag not in RAW):
             if tag == "br" or tag == "img" or tag == "wbr":
                 pending.append(" ")
             continue
+        if tag in RAW and embedded and not closing:
+            stop = low.find(f"</{tag}", at)
+            at = end if stop < 0 else (low.find(">", stop) + 1 or end)
+            continue
         if closing:
             flush()
             close((tag,), ())
             continue
         flush()
-        mark = ""
+        if tag == "xmp":  # text as it stands, markup included
+            stop = low.find("</xmp", at)
+            pending.append(html.escape(source[at : end if stop < 0 else stop], quote=False))
+            flush()
+            at = end if stop < 0 else (low.find(">", stop) + 1 or end)
+            continue
+        mark, hidden = "", False
         if rest:
             found = {}
             for k, v in ATTRIBUTE.findall(rest):
                 found.setdefault(k.lower(), v.strip("\"'").lower())
-            if "hidden" in found or re.search(r"\shidden(\s|/?$)", rest):
-                found["hidden"] = "hidden"
-            mark = " ".join(found[k] for k in ("id", "class", "role", "aria-label", "hidden") if k in found)
+            hidden = "hidden" in found or bool(HIDDEN.search(rest))
+            mark = " ".join(found[k] for k in ("id", "class", "role") if k in found)
         if tag in CLOSES_P:
             close(("p",), ("table", "td", "button", "html"))
         if tag in ITEMS:
             close(ITEMS[tag], ("ul", "ol", "dl", "table", "select", "menu", "html"))
-        node = Node(tag, mark)
+        node = Node(tag, mark, hidden=hidden)
         if tag in RAW:
             stop = low.find(f"</{tag}", at)
             at = end if stop < 0 else (low.find(">", stop) + 1 or end)

@@ -5,28 +5,29 @@ with their ends marked. A text's words are scored by their log frequencies where
 doesn't have is scored by the longest n-grams of it that it does have, at each position of the word. The language
 with the highest sum wins, the first by name among equals; the score is its share of the probability.
 
-Bounds, all parameters: about `rows` labelled rows per language (those of the smallest hashes of the id), whole
-texts, and at most `words` words and `grams` n-grams of each length per language, the most frequent. Every text is
-then scored from all of its words.
+The one bound, a parameter: about `rows` labelled rows per language (those of the smallest hashes of the id), whole
+texts. All words and n-grams of these are in the model, unless `words` or `grams` are given: then that many per language and
+length, the most frequent, equal counts by value. Every text is then scored from all of its words.
 
 Cases: null, empty and letterless texts give `und` with score 0; upper case is folded; repeated rows score alike;
-rows without a language or id take no part in learning; without any labelled rows all is `und`. Other columns are
-ignored.
+rows without a language or id take no part in learning; without any labelled rows all is `und`. A word is a run of
+letters (Unicode L) in learning and in scoring alike; numbers of any script are none. Other columns are ignored (or
+kept, in `identify`; its own columns take the place of input columns of the same name).
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import col, packed, stored, unpacked
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
 #: Characters of texts that are scored together.
@@ -109,57 +110,51 @@ class Model:
         return out
 
 
-def _frequent(counts: DataFrame, most: int) -> list:
-    """Per language and order, the values with counts so high that there are at most `most` of them."""
-    tally: dict[tuple[str, int], list[tuple[int, int]]] = {}
-    for r in counts.groupBy("lang", "order", "n").agg(F.count("*").alias("c")).collect():  # distinct counts: few
-        tally.setdefault((r.lang, r.order), []).append((r.n, r.c))
-    least = []
-    for key, seen in tally.items():
-        total, low = 0, max(n for n, _ in seen) + 1
-        for n, c in sorted(seen, reverse=True):
-            if (total := total + c) > most:
-                break
-            low = n
-        least.append((*key, low))
-    if not least:
-        return []
-    cut = counts.sparkSession.createDataFrame(least, "lang string, order int, low long")
-    return counts.join(F.broadcast(cut), ["lang", "order"]).where("n >= low").select("lang", "order", "value", "n").collect()
-
-
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 3000, words: int = 20_000, grams: int = 10_000) -> Model:
+def _most(counts: DataFrame, kind: Column, most: int | None) -> DataFrame:
+    """counts (lang, order, value, n), of those of a kind the `most` most frequent per language and order."""
+    if most is None:
+        return counts
+    place = F.row_number().over(Window.partitionBy("lang", "order").orderBy(F.desc("n"), "value"))
+    return counts.withColumn("_r", place).where(~kind | (F.col("_r") <= most)).drop("_r")
+
+
+def counted(sample: DataFrame) -> DataFrame:
+    """(lang, order, value, n) of sample (lang, _t): how often its words (order 0) and their n-grams occur."""
+    word = F.explode(F.split(F.lower("_t"), r"[^\p{L}]+")).alias("value")
+    words = stored(sample.select("lang", word).where("value <> ''").groupBy("lang", "value").agg(F.count("*").alias("n")), "words")
+    # every order in one pass: a word's n-grams are counted as often as the word
+    marked = F.concat(F.lit("<"), F.col("value"), F.lit(">"))
+
+    def pieces(order: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(marked) - order + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.struct(F.lit(order).alias("order"), F.substring(marked, i, F.lit(order)).alias("value")))
+
+    grams = words.select("lang", "n", F.explode(F.flatten(F.array(*map(pieces, ORDERS)))).alias("g")).groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    return stored(words.select("lang", F.lit(0).alias("order"), "value", "n").unionByName(grams.select("lang", "g.order", "g.value", "n")), "counts")
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 3000, words: int | None = None, grams: int | None = None) -> Model:
     """A model of labelled rows."""
-    known = labelled.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("lang")).where("_id is not null and lang is not null and _t is not null")
+    known = labelled.select(col(id_col).alias("_id"), col(text_col).alias("_t"), col(lang_col).alias("lang")).where("_id is not null and lang is not null and _t is not null")
     # rows of the smallest hashes, as a share that gives about `rows` of each language
     sizes = [(r.lang, 2**20 * min(1.0, rows / r.n)) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()]
     share = labelled.sparkSession.createDataFrame(sizes, "lang string, _below double")
     sample = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("_id"), F.lit(2**20)) < F.col("_below"))
-    token = F.explode(F.split(F.lower("_t"), r"[^\p{L}]+")).alias("value")
-    counts = sample.select("lang", token).where("value <> ''").groupBy("lang", "value").agg(F.count("*").alias("n")).withColumn("order", F.lit(0))
-    counts = stored(counts, "words")
-    parts = []
-    for order in ORDERS:
-        pieces = F.expr(f"transform(sequence(1, greatest(length(value) + 3 - {order}, 1)), i -> substring(concat('<', value, '>'), i, {order}))")
-        parts.append(counts.select("lang", F.explode(pieces).alias("value"), "n").groupBy("lang", "value").agg(F.sum("n").alias("n")).withColumn("order", F.lit(order)))
-    all_grams = parts[0]
-    for p in parts[1:]:
-        all_grams = all_grams.unionByName(p)
-    found = _frequent(counts.select("lang", "value", "n", "order"), words) + _frequent(all_grams.select("lang", "value", "n", "order"), grams)
-    langs = sorted({r.lang for r in found})
+    chosen = _most(_most(counted(sample), F.col("order") == 0, words), F.col("order") > 0, grams)
+    found = chosen.select("lang", "order", "value", "n").toPandas()
+    langs = sorted(set(found["lang"]))
     at = {x: i for i, x in enumerate(langs)}
     tables: dict[int, dict[str, np.ndarray]] = {0: {}, **{o: {} for o in ORDERS}}
-    for r in found:
-        tables[r.order].setdefault(r.value, np.zeros(len(langs)))[at[r.lang]] += r.n
-    none = {}
-    for order, t in tables.items():
-        totals = sum(t.values()) if t else np.zeros(len(langs))
+    for order in tables:
+        own = found[found["order"] == order]
+        values = sorted(set(own["value"]))
+        place = {v: i for i, v in enumerate(values)}
+        seen = np.zeros((len(values), len(langs)))
+        seen[own["value"].map(place).to_numpy(dtype=np.intp), own["lang"].map(at).to_numpy(dtype=np.intp)] = own["n"].to_numpy()
         # half a count for what a language hasn't shown
-        none[order] = np.log(0.5 / (totals + 0.5 * max(1, len(t))))
-        for k, v in t.items():
-            t[k] = np.log((v + 0.5) / (totals + 0.5 * len(t)))
-    less = {o: {k: v - none[o] for k, v in t.items()} for o, t in tables.items()}
-    return Model(langs, less.pop(0), less)
+        total = seen.sum(axis=0) + 0.5 * max(1, len(values))
+        tables[order] = dict(zip(values, np.log((seen + 0.5) / total) - np.log(0.5 / total)))
+    return Model(langs, tables.pop(0), tables)
 
 
 def predict_column(model: Model, text: Column, spark) -> Column:
@@ -180,6 +175,11 @@ def predict_column(model: Model, text: Column, spark) -> Column:
     return predicted(text)
 
 
+#: The columns that `identify` adds.
+ADDED = ("lang_pred", "score")
+
+
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
-    return docs.withColumn("_p", predict_column(model, F.col(text_col), docs.sparkSession)).select("*", "_p.lang_pred", "_p.score").drop("_p")
+    found = packed(docs, _p=predict_column(model, col(text_col), docs.sparkSession))
+    return found.select(*unpacked(docs.columns, ADDED), *[F.col(f"_p.{n}") for n in ADDED])

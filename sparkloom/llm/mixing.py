@@ -15,7 +15,8 @@ the order is mix_key.
 
 Without a budget, it is the least that reads each source once at least, so no document is left out.
 
-Cases: null and empty sources are two sources of their own; a document without words counts one token; repeated rows
+Cases: null and empty sources are two sources of their own; a document without words counts one token, a character of a
+script without spaces too; repeated rows
 and ids with equal keys are read together or not at all in the partial epoch; an empty table gives an empty result.
 Other columns are ignored (or kept, in `mixed`). Sources are assumed to be no more than a driver-side table would
 be (the totals of all sources are one row); documents per source are not bounded.
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sized_broadcast, stored
+from .common import UNSPACED, col, packed, quoted, sized_broadcast, stored, unpacked
 
 #: Steps of the bisection.
 STEPS = 40
@@ -34,8 +35,12 @@ STEPS = 40
 BLOCK_DIGITS, PLACE_DIGITS = 3, 13
 
 
+#: A word, or one character of a script without spaces.
+TOKEN = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"
+
+
 def tokens_of(text: Column) -> Column:
-    return F.greatest(F.lit(1), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))).cast("bigint")
+    return F.greatest(F.lit(1), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN))).cast("bigint")
 
 
 def order_key(id_col: Column, seed: int) -> Column:
@@ -93,24 +98,26 @@ def _plan(sized: DataFrame, how: dict) -> DataFrame:
 
 
 def _copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, block_tokens: int, how: dict) -> DataFrame:
-    src = F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(source_col)))
-    keyed = docs.withColumns({"_src": src, "_key": order_key(F.col(id_col), seed), "_n": tokens_of(F.col(text_col))})
+    """A row per copy: the input row as `_row`, _n, _epoch, _block, _place. Nothing but these and `_row` is carried."""
+    source = col(source_col)
+    src = F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), source))
+    keyed = packed(docs, _src=src, _key=order_key(col(id_col), seed), _n=tokens_of(col(text_col)))
     sized = stored(keyed.select("_src", "_key", "_n"), "sized")
     plan = _plan(sized, how)
     n = F.col("_full") + F.when(F.col("_key") <= F.col("_cut"), 1).otherwise(0)
     read = keyed.join(sized_broadcast(plan), "_src").withColumn("_copies", n.cast("int")).where("_copies > 0")
-    read = read.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    place = (F.col("epoch") + F.conv(F.substring("_key", 1, PLACE_DIGITS), 16, 10).cast("double") / float(16**PLACE_DIGITS)) / F.col("_epochs")
+    read = read.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    place = (F.col("_epoch") + F.conv(F.substring("_key", 1, PLACE_DIGITS), 16, 10).cast("double") / float(16**PLACE_DIGITS)) / F.col("_epochs")
     blocks = F.ceil(F.col("_all") / block_tokens)
-    return read.withColumn("mix_block", F.least(F.floor(place * blocks), blocks - 1).cast("bigint")).withColumn("mix_key", F.md5(F.concat_ws(":", "_key", F.col("epoch").cast("string"))))
+    return read.withColumn("_block", F.least(F.floor(place * blocks), blocks - 1).cast("bigint")).withColumn("_place", F.md5(F.concat_ws(":", "_key", F.col("_epoch").cast("string"))))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, block_tokens: int = 1_000_000, **how) -> DataFrame:
     """A row per copy to read: id, source, n_tokens, epoch, mix_block, mix_key. `how`: max_repeats, target_entropy, budget."""
-    found = _copies(docs, id_col, text_col, source_col, seed, block_tokens, how)
-    return found.select(id_col, source_col, F.col("_n").alias("n_tokens"), "epoch", "mix_block", "mix_key")
+    found = _copies(docs.select(*[col(c) for c in dict.fromkeys((id_col, text_col, source_col))]), id_col, text_col, source_col, seed, block_tokens, how)
+    return found.select(F.col(f"_row.{quoted(id_col)}").alias(id_col), F.col(f"_row.{quoted(source_col)}").alias(source_col), F.col("_n").alias("n_tokens"), F.col("_epoch").alias("epoch"), F.col("_block").alias("mix_block"), F.col("_place").alias("mix_key"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, block_tokens: int = 1_000_000, **how) -> DataFrame:
-    """docs with each row as often as it is to be read; all columns are kept, none is added."""
-    return _copies(docs, id_col, text_col, source_col, seed, block_tokens, how).select(*[f"`{c}`" for c in docs.columns])
+    """docs with each row as often as it is to be read; all columns and their values are kept, none is added."""
+    return _copies(docs, id_col, text_col, source_col, seed, block_tokens, how).select(*unpacked(docs.columns))

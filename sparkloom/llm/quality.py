@@ -5,11 +5,12 @@ slide over each chunk; each filter's highest response in a chunk is kept. The me
 over the chunks, and the length, go through one small layer into one probability.
 
 Learning is bounded by documented parameters: about `per_label` labelled documents of each label (those of the
-smallest hashes of the id), whole texts, a fixed number of passes from a fixed seed. Scoring reads every byte.
+smallest hashes of the id), of these whole texts up to `most_bytes` a label in the same order, cut by the executors
+before anything reaches the driver, a fixed number of passes from a fixed seed. Scoring reads every byte.
 
 Cases: null and empty texts are one chunk of padding and get a score like others; documents without a label, id or
 quality 0/1 take no part in learning; an id with several labels takes part once for each; without both labels
-every score is the share of label 1 (0.5 without any). Repeated rows score alike, and an empty table stays empty.
+every score is the share of label 1 (0.5 without any). Of an id's repeated rows the shortest text is learnt from. Repeated rows score alike, and an empty table stays empty.
 Other columns are ignored.
 """
 
@@ -17,10 +18,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import col, stored
+
 WIDTH = 6
 CHUNK, OVERLAP = 160, 32
 FILTERS, HIDDEN = 32, 16
@@ -144,16 +147,19 @@ def as_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 2000, passes: int = 16) -> Network | float:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 2000, passes: int = 16, most_bytes: int = 24 << 20) -> Network | float:
     """A network learnt from labelled documents; a constant where not both labels are there."""
-    marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("y")).where("_id is not null and y in (0, 1)").distinct()
+    marked = labels.select(col(id_col).alias("_id"), col(label_col).alias("y")).where("_id is not null and y in (0, 1)").distinct()
     sizes = {r.y: r.n for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return float(next(iter(sizes), 0.5))
     below = F.when(F.col("y") == 1, 2**20 * min(1.0, per_label / sizes[1])).otherwise(2**20 * min(1.0, per_label / sizes[0]))
     chosen = marked.where(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(2**20)) < below)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id")
-    got = sorted((r["_id"], int(r.y), as_bytes(r["_t"])) for r in texts.toLocalIterator())
+    texts = docs.select(col(id_col).alias("_id"), F.coalesce(col(text_col), F.lit("")).alias("_t")).join(F.broadcast(chosen), "_id")
+    single = texts.groupBy("_id", "y").agg(F.min(F.struct(F.octet_length("_t").alias("n"), "_t")).alias("m"))
+    order = Window.partitionBy("y").orderBy(F.xxhash64("_id", F.lit(3)), "_id").rowsBetween(Window.unboundedPreceding, 0)
+    upto = stored(single.select("_id", "y", "m.*"), "sample").withColumn("_upto", F.sum("n").over(order))
+    got = sorted((r["_id"], int(r.y), as_bytes(r["_t"])) for r in upto.where(F.col("_upto") <= most_bytes).toLocalIterator())
     y = np.array([r[1] for r in got], dtype=np.float32)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5

@@ -100,7 +100,7 @@ ORACLES: dict[str, str] = {
         FROM k""",
     "op9_mix": f"""
         WITH d AS (SELECT doc_id, source, coalesce('=' || source, '-') AS src, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k,
-                          greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS n FROM documents),
+                          greatest(1, len(regexp_extract_all(coalesce(text, ''), '{mixing.TOKEN}'))) AS n FROM documents),
         t AS (SELECT src, CAST(sum(n) AS DOUBLE) AS t FROM d GROUP BY src),
         a AS (SELECT round(CASE WHEN max(t) = min(t) THEN 0 ELSE greatest(0, 1 - ln({MAX_REPEATS}) / ln(max(t) / min(t))) END, 9) AS a, sum(t) AS s FROM t),
         w AS (SELECT src, t, pow(t / s, a) / sum(pow(t / s, a)) OVER () AS w FROM t, a),

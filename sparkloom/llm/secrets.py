@@ -5,9 +5,10 @@ are written in) are read by a window of fixed length per character class. The co
 are kept up to date as it slides, and with them the Shannon entropy; adjacent windows at or above the class's
 threshold merge into one span. A candidate shorter than its class's window is one window of its own length, and the
 threshold is lower by as much as the most entropy that such a length can have. A candidate may follow '=' directly
-and has 20 characters at least. A candidate is suppressed if an allow-list pattern says that such strings are
-public (UUIDs, plain words, file and URL paths, versions and dates, repeats of one short piece); a span that a base
-span holds adds nothing.
+and has 20 characters at least, letters of one case alone are words. A candidate is suppressed if an allow-list
+pattern says that such strings are public (UUIDs, words in a row as identifiers and paths have them, numbers, versions
+and dates, repeats of one short piece); the patterns take whole candidates made of nothing but such pieces, so a piece
+that mixes letters with digits, or cases at random, is never allowed. A span that a base span holds adds nothing.
 
 Cases: a null text counts as empty, an empty one has no spans; offsets count code points, ends are exclusive;
 repeated rows scan alike; an empty table gives an empty result. Other columns are ignored.
@@ -36,12 +37,19 @@ CLASSES = (
     ("alnum", re.compile(r"[0-9a-zA-Z]+"), 24, 3.7),
     ("base64", re.compile(r"[0-9a-zA-Z+/_=-]+"), 32, 4.1),
 )
+#: Words of two letters in identifiers.
+_SHORT = "(?:An|As|At|Be|By|Do|Id|If|In|Is|It|My|No|Of|On|Or|To|Up)"
+#: Pieces of public strings: a word in one case or with a capital, with a short number behind it, or a number.
+_WORD = r"(?:[A-Z]{2,}|[A-Z]?[a-z]{2,15}|[A-Za-z])"
+_PIECE = rf"(?:{_WORD}[0-9]{{0,3}}|[0-9]{{1,8}})"
 #: Strings that are public or no keys, whatever their entropy.
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"[A-Za-z]+([-_/+=][A-Za-z]+)*[-_/+=]*"),
-    re.compile(r"[0-9]+([-_/+=.][0-9]+)*"),
-    re.compile(r"/?([a-z0-9]{1,15}[-_/]+)+[a-z0-9]{0,15}"),
+    # words that follow each other by capitals: an identifier in camel case
+    re.compile(rf"(?:[a-z]{{2,15}})?(?:[A-Z][a-z]{{2,15}}|{_SHORT})+[0-9]{{0,3}}"),
+    # one word or number between separators: a path, a slug, a constant's name, a date
+    re.compile(rf"[-_/+]*{_PIECE}(?:[-_/+=.]+{_PIECE})+[-_/+=]*"),
+    re.compile(r"[0-9]+"),
     re.compile(r"(.{1,8}?)\1+.{0,7}"),
 )
 
@@ -73,7 +81,7 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if s.isalpha() or any(a.fullmatch(s) for a in ALLOW):
+        if any(a.fullmatch(s) for a in ALLOW):
             continue
         for _, members, width, least in CLASSES:
             if members.fullmatch(s):

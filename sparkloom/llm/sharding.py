@@ -3,12 +3,14 @@
 A row's shard is a prefix of its hash bits. Starting from the empty prefix, a bucket whose bytes exceed the limit
 splits on one more bit; buckets that fit stay, however deep others go. The directory lists the buckets.
 
-The bytes of every prefix come from one aggregation over cells (prefixes a few bits longer than the expected depth,
-some hundred cells per expected shard), so no level scans the rows again and no bucket is gathered in one task.
+Bits are looked at STEP at a time: the bytes of all prefixes of the next STEP bits come from one aggregation, over
+rows that were summed per hash first (so a frequent id is one row), and the next round reads only what lies below
+buckets that are still too large. No level scans all rows again and no bucket is gathered in one task.
 
 Cases: a bucket can exceed the limit only where one row alone does, or where rows of the same hash do (rows of
 one id); those are marked `oversize`. Null ids share one hash, null texts have 0 bytes; repeated
-rows count each; an empty table gives an empty directory. Other columns are ignored (or kept, in `assign`).
+rows count each; an empty table gives an empty directory. Other columns are ignored (or kept, in `assign`; its own
+columns take the place of input columns of the same name).
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import col, packed, quoted, salted_lookup, sized_broadcast, stored, unpacked
 
 #: Bits of the hash, from the first 15 hex digits of an MD5.
 HASH_BITS = 60
+#: Bits that one round looks at.
+STEP = 8
 
 
 def hash_of(key: Column) -> Column:
@@ -32,28 +36,27 @@ def _prefix(h: str, depth: str) -> Column:
 
 def directory(sized: DataFrame, limit: int) -> DataFrame:
     """The buckets of sized (_h, _bytes): depth, prefix, bytes, rows, oversize."""
-    rows = stored(sized.select("_h", "_bytes"), "sized")
-    total = rows.agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0]
-    found, first, deep = None, 0, min(HASH_BITS, (total // limit).bit_length() + 8)
-    parents = None
+    rows = stored(sized.groupBy("_h").agg(F.sum("_bytes").alias("_bytes"), F.count("*").alias("_rows")), "sized")
+    found, open_, first, deep = None, None, 0, STEP
     while True:
-        # all prefixes from `first` to `deep` bits at once; a further round looks only below buckets still too large
-        cells = rows.groupBy(F.shiftright("_h", HASH_BITS - deep).alias("_c")).agg(F.sum("_bytes").alias("bytes"), F.count("*").alias("rows"), F.min("_h").alias("low"), F.max("_h").alias("high"))
+        below = rows.withColumn("_c", F.shiftright("_h", HASH_BITS - deep))
+        if open_ is not None:
+            below = below.join(sized_broadcast(open_.select(F.col("_p").alias("_open"))), F.shiftright("_h", HASH_BITS - first + 1) == F.col("_open"), "left_semi")
+        cells = below.groupBy("_c").agg(F.sum("_bytes").alias("bytes"), F.sum("_rows").alias("rows"), F.min("_h").alias("low"), F.max("_h").alias("high"))
         levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(first), F.lit(deep)))).withColumn("prefix", F.expr(f"shiftright(_c, {deep} - depth)"))
         sums = stored(levels.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high")), "prefixes")
         splits = (F.col("bytes") > limit) & (F.col("low") < F.col("high"))
         split = sums.where(splits).select(F.col("depth").alias("_d"), F.col("prefix").alias("_p"))
-        above = split if parents is None else split.unionByName(parents)
+        above = split if open_ is None else split.unionByName(open_)
         stay = sums.where(~splits)
         leaves = stay.join(above, (F.col("depth") == F.col("_d") + 1) & (F.shiftright("prefix", 1) == F.col("_p")), "left_semi")
         if first == 0:
             leaves = leaves.unionByName(stay.where("depth = 0"))
         found = leaves if found is None else found.unionByName(leaves)
-        parents = split.where(F.col("_d") == deep)
-        if parents.isEmpty():
+        open_ = split.where(F.col("_d") == deep)
+        if open_.isEmpty():
             break
-        rows = rows.join(parents.select(F.col("_p").alias("_open")), F.shiftright("_h", HASH_BITS - deep) == F.col("_open"), "left_semi")
-        first, deep = deep + 1, min(HASH_BITS, deep + 8)
+        first, deep = deep + 1, min(HASH_BITS, deep + STEP)
     return stored(found.select("depth", "prefix", "bytes", "rows", (F.col("bytes") > limit).alias("oversize")), "directory")
 
 
@@ -62,20 +65,25 @@ def shard_name(depth: Column, prefix: Column) -> Column:
     return F.when(depth == 0, F.lit("")).otherwise(F.lpad(F.conv(prefix.cast("string"), 10, 2), depth, F.lit("0")))
 
 
+#: The columns that `assign` adds.
+ADDED = ("shard", "shard_depth", "shard_bytes", "oversize")
+
+
 def assign(docs: DataFrame, limit: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with shard (hash prefix bits), shard_depth, shard_bytes and oversize; all columns are kept."""
-    hashed = docs.withColumns({"_h": hash_of(F.col(id_col)), "_bytes": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint")})
+    """docs with shard (hash prefix bits), shard_depth, shard_bytes and oversize; all other columns are kept."""
+    hashed = packed(docs, _h=hash_of(col(id_col)), _bytes=F.coalesce(F.octet_length(col(text_col)), F.lit(0)).cast("bigint"))
     buckets = directory(hashed.select("_h", "_bytes"), limit)
-    depths = sorted(r[0] for r in buckets.select("depth").distinct().collect())  # at most HASH_BITS + 1
-    if not depths:
-        depths = [0]
-    # a row tries its prefix of each depth that the directory has; exactly one is there
-    tried = hashed.withColumn("_d", F.explode(F.array(*[F.lit(d) for d in depths]))).withColumn("_p", _prefix("_h", "_d"))
-    small = buckets.count() <= 200_000
-    listed = buckets.select(F.col("depth").alias("_d"), F.col("prefix").alias("_p"), F.col("bytes").alias("shard_bytes"), "oversize")
-    if small:
-        placed = tried.join(F.broadcast(listed), ["_d", "_p"])
+    depths = sorted(r[0] for r in buckets.select("depth").distinct().collect()) or [0]  # at most HASH_BITS + 1
+    listed = buckets.select(F.col("depth").alias("_d"), F.col("prefix").alias("_p"), F.col("bytes").alias("_b"), F.col("oversize").alias("_o"))
+
+    def tried(df: DataFrame) -> DataFrame:
+        """df with its prefix of each depth that the directory has; exactly one of them is there."""
+        return df.withColumn("_d", F.explode(F.array(*[F.lit(d) for d in depths]))).withColumn("_p", _prefix("_h", "_d"))
+
+    if buckets.count() <= 200_000:
+        placed = tried(hashed).join(F.broadcast(listed), ["_d", "_p"])
     else:
-        keys = hashed.select("_h").distinct().withColumn("_d", F.explode(F.array(*[F.lit(d) for d in depths]))).withColumn("_p", _prefix("_h", "_d")).join(listed, ["_d", "_p"])
-        placed = hashed.join(keys, "_h")
-    return placed.select(*[f"`{c}`" for c in docs.columns], shard_name(F.col("_d"), F.col("_p")).alias("shard"), F.col("_d").alias("shard_depth"), "shard_bytes", "oversize")
+        keys = tried(hashed.select("_h").distinct()).join(listed, ["_d", "_p"])
+        placed = salted_lookup(hashed, keys, "_h", F.xxhash64(F.col(f"_row.{quoted(text_col)}")), how="inner")
+    own = (shard_name(F.col("_d"), F.col("_p")), F.col("_d"), F.col("_b"), F.col("_o"))
+    return placed.select(*unpacked(docs.columns, ADDED), *[c.alias(n) for n, c in zip(ADDED, own)])

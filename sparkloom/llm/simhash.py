@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import salted_lookup, stored
+from .common import col, packed, salted_lookup, stored, unpacked
 
 BITS = 64
 SEED = 42
@@ -191,7 +191,8 @@ def near_links(fps: DataFrame, max_bits: int = 3, pivot_count: int = 32, max_buc
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable from each node of links (a, b), by alternating star contraction."""
+    """(node, root): the smallest node reachable from each node of links (a, b), by alternating star contraction. The
+    centre of a star can have a third of all links, so joins on it are salted by the other end."""
     pairs = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     sign = None
     for _ in range(max_rounds):
@@ -201,9 +202,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         sign = now
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = salted_lookup(both.where("v > u"), least, "u", F.col("v"), how="inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = stored(large, "large-stars")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = salted_lookup(large, low, "u", F.col("v"), how="inner").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
     else:
         raise RuntimeError("components did not settle")
@@ -228,19 +230,33 @@ def classes_of(fps: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
     """One row per document: its id, fingerprint (16 hex digits) and component_id."""
-    hashed = stored(docs.select(F.col(id_col).alias("_id"), fingerprint_column(F.col(text_col)).alias("fp")), "hashed")
+    hashed = stored(docs.select(col(id_col).alias("_id"), fingerprint_column(col(text_col)).alias("fp")), "hashed")
     found = salted_lookup(hashed, classes(hashed, max_bits), "fp", F.col("_id"))
     return found.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
-    """docs with one row of each class, that of its smallest id; all columns are kept."""
-    hashed = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), fingerprint_column(F.col(text_col)).alias("fp")), "hashed")
-    return kept_rows(hashed, classes(hashed.select("_id", "fp"), max_bits))
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, by_shingles: bool = False) -> DataFrame:
+    """docs with one row of each class, that of its smallest id; all columns are kept. With by_shingles, fingerprints are
+    of five-word shingles, link at a wide radius and are verified by an exact similarity of 0.8 (shingles.py)."""
+    if by_shingles:
+        from . import shingles
 
+        return shingles.dedup(docs, id_col, text_col)
+    hashed = stored(packed(docs, _id=col(id_col), fp=fingerprint_column(col(text_col))), "hashed")
+    return kept_rows(hashed, classes(hashed.select("_id", "fp"), max_bits), docs.columns)
 
-def kept_rows(hashed: DataFrame, classed: DataFrame) -> DataFrame:
+
+def kept_rows(hashed: DataFrame, classed: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of hashed (_row, _id, fp) that their classes keep."""
     kept = classed.where("kept").select(F.struct(F.col("component_id").alias("_id"), "fp").alias("_key"))
     # one shuffle of the rows: join and removal of repeats use the same key, of which no value is frequent but for repeats
-    return hashed.withColumn("_key", F.struct("_id", "fp")).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
+    return hashed.withColumn("_key", F.struct("_id", "fp")).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*unpacked(columns))
+
+
+def coordinates_fit(a: Column, b: Column, max_bits: int, references: np.ndarray) -> Column:
+    """Whether two fingerprints (signed longs) are within max_bits in every pivot's coordinate, and then in truth."""
+    test = F.lit(True)
+    for p in references.astype(np.int64).tolist():
+        x, y = (F.bit_count(c.bitwiseXOR(F.lit(p))) for c in (a, b))
+        test = test & (F.abs(x - y) <= max_bits)
+    return test & (F.bit_count(a.bitwiseXOR(b)) <= max_bits)

@@ -162,8 +162,9 @@ def ranges(spans: list[tuple[int, int]], gap: int, most: int) -> list[tuple[int,
     return [tuple(x) for x in out]
 
 
-def read(index: DataFrame, root: str, payloads: bool = True, gap: int = 64 << 10, most: int = 8 << 20) -> DataFrame:
-    """The records that `index` (all of write()'s rows, or some) points to."""
+def read(index: DataFrame, root: str, payloads: bool = True, gap: int = 64 << 10, most: int = 8 << 20, task_bytes: int = 16 << 20) -> DataFrame:
+    """The records that `index` (all of write()'s rows, or some) points to. Each task reads about task_bytes of archives:
+    the number of tasks goes by the records' lengths, not by the size of the index."""
     names = _RECORD_NAMES if payloads else _RECORD_NAMES[:-1]
     types = _RECORD_TYPES[: len(names)]
 
@@ -190,7 +191,9 @@ def read(index: DataFrame, root: str, payloads: bool = True, gap: int = 64 << 10
                                 x["payload"] = x["payload"].decode()
                         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], t) for c, t in zip(names, types)], names=names)
 
-    dealt = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, -(-total // task_bytes))
+    dealt = index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(fetched, RECORD if payloads else RECORD.rsplit(", ", 1)[0])
 
 

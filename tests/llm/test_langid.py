@@ -1,4 +1,7 @@
+import math
+import unicodedata
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -42,3 +45,72 @@ def test_odd_rows(spark):
     assert li.identify(test.limit(0), model).count() == 0
     empty = li.fit(df.limit(0))
     assert {r.lang_pred for r in li.identify(test, empty).collect()} == {"und"}
+
+
+def slow_query(docs):
+    """The whole query by its definition, in plain Python; all rows fit the sample here."""
+    letters = lambda t: "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (t or "").lower()).split()
+    grams = lambda w, k: [f"<{w}>"[i : i + k] for i in range(max(len(w) + 2 - k + 1, 1))]
+    seen = {}
+    for i, lang, t in docs:
+        if zlib.crc32(str(i).encode()) % 4 != 2 and lang is not None and t is not None:
+            own = seen.setdefault(lang, {0: Counter(), 1: Counter(), 2: Counter(), 3: Counter(), 4: Counter()})
+            for w in letters(t):
+                own[0][w] += 1
+                for k in (1, 2, 3, 4):
+                    own[k].update(grams(w, k))
+    langs = sorted(seen)
+    every = {k: set().union(*(seen[x][k] for x in langs)) for k in range(5)}
+    total = {(x, k): sum(seen[x][k].values()) + 0.5 * max(1, len(every[k])) for x in langs for k in range(5)}
+    value = lambda x, k, v: math.log((seen[x][k][v] + 0.5) / total[x, k]) - math.log(0.5 / total[x, k])
+
+    def score(x, w):
+        if w in every[0]:
+            return value(x, 0, w)
+        found = []
+        for i in range(len(w) + 2):
+            for k in (4, 3, 2, 1):
+                g = f"<{w}>"[i : i + k]
+                if g in every[k]:
+                    found.append(value(x, k, g))
+                    break
+        return sum(found) / len(found) if found else 0.0
+
+    def table(k):
+        return {v: [value(x, k, v) for x in langs] for v in every[k]}
+
+    out = {}
+    for i, _, t in docs:
+        words = Counter(letters(t))
+        sums = [sum(n * score(x, w) for w, n in words.items()) for x in langs]
+        best = max(sums, default=0)
+        out[i] = (langs[sums.index(best)], 1 / sum(math.exp(v - best) for v in sums)) if words else ("und", 0.0)
+    return out, table
+
+
+def test_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    docs = duckdb.sql(f"select doc_id, lang, text from '{d}/documents.parquet'").fetchall()
+    want, table = slow_query(docs)
+    model = li.fit(spark.createDataFrame([x for x in docs if zlib.crc32(str(x[0]).encode()) % 4 != 2], "doc_id long, lang string, text string"))
+    for k in range(5):
+        rows, at = (model.word_rows, model.words) if k == 0 else (model.gram_rows, model.grams[k])
+        slow = table(k)
+        assert set(at) == set(slow) and all(np.allclose(rows[at[v]], x) for v, x in slow.items())
+    got = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op2_language"](spark, d).collect()}
+    assert set(got) == set(want)
+    for i, (lang, score) in want.items():
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-6, i
+
+
+def test_letters_only_ties_and_clashing_columns(spark):
+    once = " ".join(f"aa{chr(97 + i // 26 // 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(3000))
+    df = spark.createDataFrame([(1, once, "aa"), (2, "bee bee sea sea dee dee", "bb")], "doc_id long, text string, lang string")
+    model = li.fit(df, words=1000)
+    assert len(model.words) == 1003 and set(once.split()[:1000]) < set(model.words)
+    assert len(li.fit(df).words) == 3003
+    names = ["doc_id", "text", "lang_pred", "Score", "_p", "_row", "x.y"]
+    rows = [(1, "² ½ ¾ Ⅷ ① 12 _", *range(5)), (2, "sea 5", *range(5)), (None, None, *range(5))]
+    got = li.identify(spark.createDataFrame(rows, names), model)
+    assert got.columns == ["doc_id", "text", "_p", "_row", "x.y", "lang_pred", "score"]
+    assert [(r.lang_pred, tuple(r)[2:5]) for r in got.collect()] == [("und", (2, 3, 4)), ("bb", (2, 3, 4)), ("und", (2, 3, 4))]

@@ -67,3 +67,19 @@ def test_empty(spark):
     assert mx.mix(df.limit(0), max_repeats=2.0).count() == 0
     one = spark.createDataFrame([(1, "a b", "s", 0)], df.schema)
     assert [(r.doc_id, r.epoch, r.mix_block) for r in mx.mix(one, max_repeats=2.0).collect()] == [(1, 0, 0)]
+
+
+def test_clashing_columns_keep_their_values(spark):
+    names = ["doc_id", "text", "source", "epoch", "mix_block", "_n", "_full", "_key", "_SRC", "_row", "n_tokens", "_copies", "_epoch", "a.b"]
+    rows = [(i, "w " * (i + 1), f"s{i % 2}", *[i * 100 + k for k in range(11)]) for i in range(30)]
+    df = spark.createDataFrame(rows, names)
+    got = mx.mixed(df, max_repeats=2.0)
+    assert got.columns == names
+    copies = Counter(tuple(r) for r in got.collect())
+    assert set(copies) == set(rows) and set(copies.values()) <= {1, 2}
+    assert sum(copies.values()) == mx.mix(df, max_repeats=2.0).count()
+
+
+def test_scripts_without_spaces_count_by_character(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "漢字かな交じり文"), (3, "ab漢字cd e"), (4, "ไทย x"), (5, ""), (6, None)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(mx.tokens_of(df.t)).collect()] == [2, 8, 5, 4, 1, 1]

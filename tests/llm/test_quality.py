@@ -70,3 +70,40 @@ def test_odd_rows(spark):
     assert q.fit(docs, labels.where("quality = 1")) == 1.0 and q.fit(docs, labels.limit(0)) == 0.5
     assert odd.select(q.score_column(0.5, F.col("text"), spark)).count() == 5
     assert odd.limit(0).select(q.score_column(model, F.col("text"), spark)).count() == 0
+
+
+def slow_score(net, text):
+    """The network's answer without numpy: chunk by chunk, filter by filter."""
+    import math
+
+    t = (text or "").encode()
+    step = q.CHUNK - q.OVERLAP
+    tops = []
+    for c in range(max(1, -(-(len(t) - q.OVERLAP) // step))):
+        chunk = [t[c * step + i] if c * step + i < len(t) else 0 for i in range(q.CHUNK + q.WIDTH - 1)]
+        tops.append([max(0.0, max(sum(float(net["w"][j][chunk[p + j]][f]) for j in range(q.WIDTH)) for p in range(q.CHUNK))) for f in range(q.FILTERS)])
+    per = list(zip(*tops))
+    features = [sum(x) / len(x) for x in per] + [max(x) for x in per] + [min(x) for x in per] + [math.log1p(len(t)) / 12]
+    hidden = [max(0.0, sum(x * float(net["a"][i][h]) for i, x in enumerate(features)) + float(net["a0"][h])) for h in range(q.HIDDEN)]
+    return 1 / (1 + math.exp(-sum(x * float(net["v"][h]) for h, x in enumerate(hidden)) - float(net["v0"][0])))
+
+
+def test_scores_against_plain_python(spark):
+    net = q.Network().train([b"good words here", b"BAD!! BAD!!"] * 6, np.array([1.0, 0.0] * 6, dtype=np.float32), 3)
+    texts = ["", None, "short", "a sentence of some words. " * 9, "é" * 100 + "x" * 77, "y" * 160, "z" * 289]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = [r[0] for r in df.select("i", q.score_column(net, F.col("text"), spark).alias("s")).orderBy("i").select("s").collect()]
+    assert np.allclose(got, [slow_score(net.p, t) for t in texts], atol=1e-4)
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    rows = [(i, ("good words " if i % 2 else "BAD!! ") * 50) for i in range(200)] + [(1000, "x" * 3_000_000), (3, "good words again and again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(1000, 0)], "doc_id long, quality int")
+    seen = []
+    q_train, q.Network.train = q.Network.train, lambda self, texts, labels, passes: seen.append([len(t) for t in texts]) or self
+    try:
+        q.fit(docs, labels, most_bytes=10_000)
+    finally:
+        q.Network.train = q_train
+    assert 20 <= len(seen[0]) <= 60 and sum(seen[0]) <= 30_000 and 3_000_000 not in seen[0]

@@ -79,3 +79,60 @@ def test_after_equals_signs_and_short_candidates():
         assert found >= 190, (before, n, found)
     for public in ("id=123e4567-e89b-12d3-a456-426614174000", "path=src/main/java/com/app1", "x=aaaaaaaaaa1aaaaaaaaaa", "day=2024-01-01-00-00-00", "name=averyveryverylongplainword"):
         assert sc.entropy_spans(public) == [], public
+
+
+def slow_entropy(text):
+    """Entropy spans by the definition: each window counted anew, marked characters joined."""
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}", text):
+        s = m[0]
+        if any(a.fullmatch(s) for a in sc.ALLOW):
+            continue
+        if all(c in "0123456789abcdefABCDEF" for c in s):
+            width, least = 24, 3.0
+        elif s.isalnum():
+            width, least = 24, 3.7
+        else:
+            width, least = 32, 4.1
+        if bool(re.search("[0-9]", s)) + bool(re.search("[a-z]", s)) + bool(re.search("[A-Z]", s)) < 2:
+            continue
+        short = min(width, len(s))
+        least -= math.log2(width / short)
+        hit = set()
+        for a in range(len(s) - short + 1):
+            c = Counter(s[a : a + short])
+            if sum(-v / short * math.log2(v / short) for v in c.values()) >= least - 1e-9:
+                hit |= {(a, a + short)}
+        merged = []
+        for a, b in sorted(hit):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = b
+            else:
+                merged.append([a, b])
+        out += [(m.start() + a, m.start() + b) for a, b in merged]
+    return out
+
+
+def test_whole_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    docs = dict(duckdb.sql(f"select doc_id, text from '{d}/documents.parquet'").fetchall())
+    found = 0
+    for r in QUERIES["op3_secrets"](spark, d).collect():
+        base = slow_base(docs[r.doc_id])
+        more = [("entropy", a, b) for a, b in slow_entropy(docs[r.doc_id] or "") if not any(s <= a and b <= e for _, s, e in base)]
+        found += len(more)
+        assert r.spans == sc.joined(sorted(base + more, key=lambda x: (x[1], sc.KINDS.index(x[0]), x[2])))
+    print("entropy spans", found)
+
+
+def test_allow_list_takes_no_keys():
+    rnd = random.Random(4)
+    for key in ("ghp_16C7e42F292c6912E7", "sk_live_4eC39HqLyjWD", "a1B2-c3D4_e5F6-g7H8_i9J0k1", "xoxb-123456789012-abcdefghijkl"):
+        assert [k for k, _, _ in sc.scan(f"see {key} here")] == ["entropy"], key
+    low, both = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for letters, n in ((both, 24), (low + "0123456789", 28), (low + "0123456789-_", 32)):
+        keys = ["".join(rnd.choice(letters) for _ in range(n)) for _ in range(300)]
+        assert sum(any(a.fullmatch(k) for a in sc.ALLOW) for k in keys) <= 3, letters
+        assert sum(bool(sc.entropy_spans(f"x {k}")) for k in keys) >= 270, letters
+    text = "fooBar12 baz/qux-3 " + "".join(rnd.choice(both + "0123456789+/-_=") for _ in range(3000))
+    assert sc.entropy_spans(text) == slow_entropy(text)

@@ -58,3 +58,26 @@ def test_further_rounds(spark):
 def test_query_against_sql(spark):
     assert same(spark, "/root/testdata/sf0.1", QUERIES["op1_shard"], ORACLES["op1_shard"]) == 10000
     assert SHARD_BYTES == 16 << 20
+
+
+def test_clashing_columns(spark):
+    names = ["doc_id", "text", "_h", "_bytes", "_d", "_P", "_row", "_b", "_o", "Shard", "oversize", "depth", "a.b"]
+    rows = [(i, "x" * i, *[i * 100 + k for k in range(11)]) for i in range(40)]
+    got = sd.assign(spark.createDataFrame(rows, names), 200)
+    assert got.columns == [c for c in names if c.lower() not in sd.ADDED] + list(sd.ADDED)
+    at = [i for i, c in enumerate(names) if c.lower() not in sd.ADDED]
+    assert sorted(tuple(r)[: len(at)] for r in got.collect()) == [tuple(r[i] for i in at) for r in rows]
+    want = slow([(bits(i), i, i) for i in range(40)], 200)
+    assert {r.doc_id: [r.shard] for r in got.collect()} == want and all(isinstance(r.oversize, bool) for r in got.collect())
+
+
+def test_a_hot_id_and_many_buckets(spark, monkeypatch):
+    """Beyond the broadcast's bound, rows find their bucket by a salted join."""
+    rows = [(7 if i % 3 == 0 else i, "x" * (i % 50)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, sd.assign(df, 300).collect()))
+    real = sd.DataFrame.count
+    monkeypatch.setattr(sd.DataFrame, "count", lambda self: 10**9)
+    wide = sd.assign(df, 300)
+    monkeypatch.setattr(sd.DataFrame, "count", real)
+    assert sorted(map(tuple, wide.collect())) == want

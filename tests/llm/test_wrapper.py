@@ -82,3 +82,57 @@ def test_odd_rows(spark):
         assert got[None, "http://host.example/x"] == got[9, "nonsense"] == ("", 0)
         assert got[10, "http://u@host.example:80/"][1] == 199999
     assert wr.extract(df.limit(0)).count() == 0
+
+
+def slow_align(a, b):
+    """The best matching by trying every order-preserving pairing of children, with its pairs."""
+    if a.label != b.label:
+        return 0.0, []
+    if a.tag == "#":
+        return (1.001 if a.text == b.text else 1.0), [(a, b)]
+    table = {}
+
+    def best(i, j):
+        if (i, j) not in table:
+            if i == len(a.children) or j == len(b.children):
+                table[i, j] = 0.0, []
+            else:
+                value, pairs = slow_align(a.children[i], b.children[j])
+                rest = best(i + 1, j + 1)
+                table[i, j] = max([best(i + 1, j), best(i, j + 1)] + ([(value + rest[0], pairs + rest[1])] if value else []), key=lambda x: x[0])
+        return table[i, j]
+
+    size, pairs = best(0, 0)
+    return size + 1, [(a, b), *pairs]
+
+
+def test_templates_of_any_size_against_a_plain_aligner():
+    for lines in (1, 2, 3, 6, 10, 50):
+        top = "".join(f"<p>Template line {k} of the host" for k in range(lines))
+        pages = [f"<body><div class=top-{n}>{top}</div><div class=story><p>One {n * 31}<p>Two {n * 17} and more<p>Three {n * 7}</div><div>The end</div>" for n in range(1, 7)]
+        wrapper = wr.induce(pages)
+        trees = [parse(p) for p in pages]
+        slow = {x.text for x, y in slow_align(trees[0], trees[1])[1] if x.tag == "#" and x.text == y.text}
+        assert {t for ts in wrapper.values() for t in ts} == slow and len(slow) == lines + 1
+        for n, p in enumerate(pages, 1):
+            assert wr.main_text(p, wrapper) == f"One {n * 31}\nTwo {n * 17} and more\nThree {n * 7}"
+    # an odd page, a second layout and copies undo nothing
+    odd = ["<main><p>quite another page</main>", "<table><tr><td>1"] + [pages[0]] * 3
+    assert {t for ts in wr.induce(pages + odd).values() for t in ts} == slow
+    assert wr.induce([pages[0].replace("One", f"One {k}") for k in range(2)] * 3) == {}
+
+
+def test_names_of_regions():
+    kept = ("overflow-hidden", "share-prices", "card-related", "search-results", "no-comments notice-of-meeting", "has-sidebar", "menuconfig", "header-image-caption")
+    for name in kept:
+        assert wr.main_text(f"<body><div class='{name}'><p>whole text</div>") == "whole text", name
+        assert wr.main_text(f"<article><p>a<div class='{name}'><p>b</div><p>c</article>") == "a\nb\nc", name
+    for name in ("ads", "cookie-notice", "top-menu", "site-footer", "newsletter-signup box", "comments", "related-posts", "sidebar_left"):
+        assert wr.main_text(f"<body><div class='{name}'><p>gone</div><p>here") == "here", name
+    assert wr.main_text("<article><p>a<div class='ad'>gone</div><section id=comments><p>gone</section><nav>gone</nav><p hidden>gone<p>b</article>") == "a\nb"
+
+
+def test_text_of_formulas_and_odd_elements():
+    assert wr.main_text("<p>E is <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><annotation>mc^2</annotation></math> here") == "E is mc2 here"
+    assert wr.main_text("<p>see <svg><title>t</title><g><text>A</text></g></svg> and <object data=x>plain</object>") == "see A and\nplain"
+    assert wr.main_text("<p>a<xmp>if (a < b) <i>x</i></xmp><p>b<svg/>c") == "a\nif (a < b) <i>x</i>\nbc"
