@@ -102,7 +102,7 @@ def blocks_for(count: int, max_bits: int, per_bucket: int = 64) -> int:
     return blocks
 
 
-def _survivors(table: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
+def survivors(table: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
     """Which of the pairs (a, b) are within max_bits of each other in every pivot's coordinate."""
     keep = np.arange(len(a))
     for part in np.array_split(table, max(1, table.shape[1] // 4), axis=1):
@@ -126,7 +126,7 @@ def links_of(fps: np.ndarray, groups: np.ndarray, max_bits: int, references: np.
             if not len(a):
                 break
             b = a + k
-            keep = _survivors(t, a, b, max_bits)
+            keep = survivors(t, a, b, max_bits)
             keep = keep[np.bitwise_count(f[a[keep]] ^ f[b[keep]]) <= max_bits]
             left.append(f[a[keep]])
             right.append(f[b[keep]])
@@ -137,7 +137,7 @@ def links_of(fps: np.ndarray, groups: np.ndarray, max_bits: int, references: np.
             root, queue, rest = rest[0], [rest[0]], rest[1:]
             while queue and len(rest):
                 x = queue.pop()
-                near = _survivors(t, np.full(len(rest), x), rest, max_bits)
+                near = survivors(t, np.full(len(rest), x), rest, max_bits)
                 near = near[np.bitwise_count(f[rest[near]] ^ f[x]) <= max_bits]
                 if len(near):
                     found = rest[near]
@@ -246,11 +246,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_b
     return kept_rows(hashed, classes(hashed.select("_id", "fp"), max_bits), docs.columns)
 
 
-def kept_rows(hashed: DataFrame, classed: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of hashed (_row, _id, fp) that their classes keep."""
-    kept = classed.where("kept").select(F.struct(F.col("component_id").alias("_id"), "fp").alias("_key"))
+def kept_rows(keyed: DataFrame, classed: DataFrame, columns: list[str], key: str = "fp") -> DataFrame:
+    """The rows of keyed (_row, _id, and the key) that their classes keep."""
+    kept = classed.where("kept").select(F.struct(F.col("component_id").alias("_id"), key).alias("_key"))
     # one shuffle of the rows: join and removal of repeats use the same key, of which no value is frequent but for repeats
-    return hashed.withColumn("_key", F.struct("_id", "fp")).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*unpacked(columns))
+    return keyed.withColumn("_key", F.struct("_id", key)).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*unpacked(columns))
 
 
 def coordinates_fit(a: Column, b: Column, max_bits: int, references: np.ndarray) -> Column:
