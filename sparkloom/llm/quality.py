@@ -147,7 +147,7 @@ def as_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 2000, passes: int = 16, most_bytes: int = 24 << 20) -> Network | float:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 2000, passes: int = 8, most_bytes: int = 24 << 20) -> Network | float:
     """A network learnt from labelled documents; a constant where not both labels are there."""
     marked = labels.select(col(id_col).alias("_id"), col(label_col).alias("y")).where("_id is not null and y in (0, 1)").distinct()
     sizes = {r.y: r.n for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
