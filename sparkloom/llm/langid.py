@@ -46,16 +46,20 @@ def grams_of(word: str, order: int) -> list[str]:
 class Model:
     """Log frequencies over langs: of words, and of n-grams less what an n-gram that was never seen has."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[int, dict[str, np.ndarray]]):
+    def __init__(self, langs: list[str], tables: dict[int, tuple[list[str], np.ndarray]]):
+        """tables: per order (0: words) the values and a row of scores for each."""
         self.langs = langs
-        self.words = {w: i for i, w in enumerate(words)}
-        self.word_rows = np.array(list(words.values())).reshape(len(words), len(langs))
+        none = [], np.empty((0, len(langs)))
+        values, self.word_rows = tables.get(0, none)
+        self.words = {w: i for i, w in enumerate(values)}
         self.grams: dict[int, dict[str, int]] = {}
-        rows: list[np.ndarray] = []
+        parts, at = [], 0
         for order in ORDERS:
-            self.grams[order] = {g: len(rows) + i for i, g in enumerate(grams.get(order, {}))}
-            rows += grams.get(order, {}).values()
-        self.gram_rows = np.array(rows).reshape(len(rows), len(langs))
+            values, rows = tables.get(order, none)
+            self.grams[order] = {g: at + i for i, g in enumerate(values)}
+            parts.append(rows)
+            at += len(values)
+        self.gram_rows = np.concatenate(parts)
 
     def backed_off(self, word: str) -> list[int]:
         """At each position of a word, the longest n-gram that is known."""
@@ -141,20 +145,18 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     share = labelled.sparkSession.createDataFrame(sizes, "lang string, _below double")
     sample = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("_id"), F.lit(2**20)) < F.col("_below"))
     chosen = _most(_most(counted(sample), F.col("order") == 0, words), F.col("order") > 0, grams)
-    found = chosen.select("lang", "order", "value", "n").toPandas()
-    langs = sorted(set(found["lang"]))
-    at = {x: i for i, x in enumerate(langs)}
-    tables: dict[int, dict[str, np.ndarray]] = {0: {}, **{o: {} for o in ORDERS}}
-    for order in tables:
-        own = found[found["order"] == order]
-        values = sorted(set(own["value"]))
-        place = {v: i for i, v in enumerate(values)}
-        seen = np.zeros((len(values), len(langs)))
-        seen[own["value"].map(place).to_numpy(dtype=np.intp), own["lang"].map(at).to_numpy(dtype=np.intp)] = own["n"].to_numpy()
+    langs = sorted(r[0] for r in chosen.select("lang").distinct().collect())
+    # a row per value with its counts in all languages, which reaches the driver in columns, order by order
+    of_lang = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in langs]) if langs else F.array().cast("array<bigint>")
+    wide = stored(chosen.groupBy("order", "value").agg(of_lang.alias("n")), "values")
+    tables = {}
+    for order in (0, *ORDERS):
+        found = wide.where(F.col("order") == order).orderBy("value").select("value", "n").toArrow()
+        seen = found["n"].combine_chunks().flatten().to_numpy().reshape(-1, len(langs)).astype(float) if len(found) else np.empty((0, len(langs)))
         # half a count for what a language hasn't shown
-        total = seen.sum(axis=0) + 0.5 * max(1, len(values))
-        tables[order] = dict(zip(values, np.log((seen + 0.5) / total) - np.log(0.5 / total)))
-    return Model(langs, tables.pop(0), tables)
+        total = seen.sum(axis=0) + 0.5 * max(1, len(seen))
+        tables[order] = found["value"].to_pylist(), np.log((seen + 0.5) / total) - np.log(0.5 / total)
+    return Model(langs, tables)
 
 
 def predict_column(model: Model, text: Column, spark) -> Column:

@@ -27,8 +27,8 @@ def test_held_out_accuracy(spark):
 
 def test_backs_off_to_shorter_grams():
     v = np.array
-    grams = {4: {"<abc": v([9.0, 7.0])}, 3: {"xyz": v([8.0, 9.0])}, 2: {}, 1: {"q": v([9.0, 8.0])}}
-    m = li.Model(["aa", "bb"], {"known": v([5.0, 1.0])}, grams)
+    tables = {0: (["known"], v([[5.0, 1.0]])), 4: (["<abc"], v([[9.0, 7.0]])), 3: (["xyz"], v([[8.0, 9.0]])), 1: (["q"], v([[9.0, 8.0]]))}
+    m = li.Model(["aa", "bb"], tables)
     assert m.of_words(["known", "abc", "xyzq", "zzz"]).tolist() == [[5.0, 1.0], [9.0, 7.0], [8.5, 8.5], [0.0, 0.0]]
     assert [p[0] for p in m.predict(["known KNOWN known!", None, "zzz", "12", "abc"])] == ["aa", "und", "aa", "und", "aa"]
     assert m.predict(["zzz"]) == [("aa", 0.5)] and m.predict([None, ""]) == [("und", 0.0)] * 2 and m.predict([]) == []
