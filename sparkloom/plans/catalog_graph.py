@@ -298,7 +298,13 @@ def nearest_plan(spark, d):
     return cv.nearest(e.where("event_id % 4 <> 0").select("user_id", F.col("event_id").alias("at"), F.col("event_id").alias("id")), placed, "user_id", "at")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT CAST(l_orderkey AS VARCHAR) AS branch, CAST(l_linenumber AS BIGINT) AS id, list_distinct(list(l_suppkey % 4)) AS units FROM lineitem GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY id) AS n FROM c),
+    w AS (SELECT branch, id, n, units AS seen, 1 AS taken, TRUE AS cover FROM o WHERE n = 1
+        UNION ALL SELECT o.branch, o.id, o.n, CASE WHEN w.taken < 3 THEN list_distinct(list_concat(w.seen, o.units)) ELSE w.seen END,
+            w.taken + CASE WHEN w.taken < 3 AND NOT list_has_all(w.seen, o.units) THEN 1 ELSE 0 END, w.taken < 3 AND NOT list_has_all(w.seen, o.units) FROM w JOIN o ON o.branch = w.branch AND o.n = w.n + 1),
+    f AS (SELECT branch, id, cover, row_number() OVER (PARTITION BY branch ORDER BY NOT cover, id) AS place FROM w)
+    SELECT branch, id, CASE WHEN cover THEN 'cover' ELSE 'fill' END AS how FROM f WHERE place <= 3""")
 def covering_candidates(spark, d):
     """Lines of an order that cover its suppliers."""
     li = table(spark, d, "lineitem")

@@ -373,7 +373,39 @@ def bigram_jaccard_pairs(spark, d):
     return rs.similar_pairs(p, "p_partkey", "k", ["p_brand"], 0.8)
 
 
-@query()
+def _prose(t: str) -> str:
+    return f"trim(regexp_replace(lower({t}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+def _opposite(a: str, b: str) -> str:
+    """SQL: whether one text has the one term of a pair only, the other the other."""
+    one = "(contains({x}, '{p}') AND contains({y}, '{q}') AND NOT contains({y}, '{p}') AND NOT contains({x}, '{q}'))"
+    return " OR ".join(one.format(x=x, y=y, p=p, q=q) for p, q in tx.OPPOSITES for x, y in ((a, b), (b, a)))
+
+
+def _edges(t: str) -> str:
+    """SQL: causes and effects of a text, by the first place of each marker in each sentence."""
+    parts = []
+    for m in tx.CAUSAL:
+        before, after = f"substr(s, 1, instr(s, '{m}') - 1)", f"substr(s, instr(s, '{m}') + {len(m)})"
+        pack = f"struct_pack(c := right(replace({_prose(before)}, ' ', ''), 24), e := left(replace({_prose(after)}, ' ', ''), 24))"
+        parts.append(f"list_transform(list_filter(regexp_split_to_array(lower({t}), '{tx.CAUSAL_END}'), lambda s: contains(s, '{m}')), lambda s: {pack})")
+    return f"list_filter(flatten([{', '.join(parts)}]), lambda e: length(e.c) >= 2 AND length(e.e) >= 2)"
+
+
+_SAME = "({x} = {y} OR (length({x}) >= 4 AND contains({y}, {x})) OR (length({y}) >= 4 AND contains({x}, {y})))"
+_PIECES = "list_distinct(list_transform(range(1, greatest(length({0}), 2)), lambda i: substr({0}, i, 2)))"
+_NUMBERS = r"list_sort(list_distinct(list_transform(regexp_extract_all({0}, '[+\-]?\d+(?:\.\d+)?'), lambda x: ltrim(x, '+'))))"
+
+
+@query(f"""WITH {BLOCKS}, p AS (SELECT doc_id, ordinal, lag(text) OVER (PARTITION BY doc_id ORDER BY ordinal) AS a, text AS b, ordinal % 2 = 0 AS shares FROM blocks),
+    x AS (SELECT *, {_prose("a")} AS pa, {_prose("b")} AS pb, {_edges("a")} AS ea, {_edges("b")} AS eb, {_NUMBERS.format("a")} AS na, {_NUMBERS.format("b")} AS nb FROM p WHERE a IS NOT NULL),
+    c AS (SELECT *, replace(pa, ' ', '') AS ca, replace(pb, ' ', '') AS cb FROM x), k AS (SELECT *, {_PIECES.format("ca")} AS ka, {_PIECES.format("cb")} AS kb FROM c)
+    SELECT doc_id, ordinal, CASE WHEN {_opposite("pa", "pb")} THEN 'veto_opposite'
+        WHEN len(list_filter(ea, lambda u: len(list_filter(eb, lambda v: {_SAME.format(x="u.c", y="v.e")} AND {_SAME.format(x="u.e", y="v.c")})) > 0)) > 0 THEN 'veto_causality'
+        WHEN len(na) > 0 AND len(nb) > 0 AND na <> nb AND (NOT list_has_any(na, nb) OR (len(na) = 1 AND len(nb) = 1)) THEN 'veto_numbers'
+        WHEN ca = cb AND length(ca) >= 8 THEN 'same_claim'
+        WHEN shares AND ca <> '' AND cb <> '' AND len(list_intersect(ka, kb)) >= 0.75 * len(list_distinct(list_concat(ka, kb))) THEN 'same_prose' ELSE 'distinct' END AS verdict FROM k""")
 def mergeable_claims(spark, d):
     """Whether adjacent blocks claim the same, and why or why not."""
     w = Window.partitionBy("doc_id").orderBy("ordinal")
@@ -429,7 +461,15 @@ def hash_distances(spark, d):
     return o.select("o_orderkey", rs.hash_distance(a, b).alias("distance"))
 
 
-@query()
+_MET = "greatest(0, least(x + s, k.x + k.s) - greatest(x, k.x)) * greatest(0, least(y + s, k.y + k.s) - greatest(y, k.y))"
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT l_orderkey AS page, l_linenumber AS idx, l_discount * 100 AS x, l_tax * 100 AS y, l_quantity AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_discount * 100, l_tax * 100, l_quantity) AS n FROM lineitem),
+    w AS (SELECT page, idx, n, [struct_pack(x := x, y := y, s := s)] AS held, TRUE AS kept FROM b WHERE n = 1
+        UNION ALL SELECT page, idx, n, CASE WHEN ok THEN list_append(held, struct_pack(x := x, y := y, s := s)) ELSE held END, ok FROM (SELECT b.*, w.held,
+            len(list_filter(w.held, lambda k: s * s + k.s * k.s - {_MET} > 0 AND {_MET} / (s * s + k.s * k.s - {_MET}) >= 0.3)) = 0 AS ok
+            FROM w JOIN b ON b.page = w.page AND b.n = w.n + 1))
+    SELECT page, idx, kept FROM w""")
 def suppressed_boxes(spark, d):
     """Overlapping boxes of a page, the earlier ones kept; lines of orders stand for boxes."""
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("idx"), (F.col("l_discount") * 100).alias("x"), (F.col("l_tax") * 100).alias("y"), F.col("l_quantity").alias("w"), F.col("l_quantity").alias("h"))

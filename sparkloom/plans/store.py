@@ -148,3 +148,56 @@ def commit_review(run: DataFrame, reviews: DataFrame, resolution: DataFrame) ->
     j = resolution.join(cur, "run_id", "left").join(reviews.select("run_id", "review_id", F.col("status").alias("state")), ["run_id", "review_id"], "left")
     code = F.when(F.col("current").isNull(), "unknown_run").when(F.col("state").isNull(), "unknown_review").when(F.col("state") != "pending", "not_pending").when(F.col("expected") != F.col("current"), "version_conflict").otherwise("ok")
     return j.select("run_id", "review_id", code.alias("code"), F.when(code == "ok", F.col("current") + 1).alias("new_version"))
+
+
+def update_runs(runs: DataFrame, updates: DataFrame) -> DataFrame:
+    """runs (run_id, status, stage, progress) after updates (run_id, status, stage; null: unchanged). A run that an
+    update completes is at 100."""
+    done = updates.select("run_id", (F.col("status") == "completed").alias("_done"))
+    changed = apply_updates(runs, updates, "run_id", ["status", "stage"]).join(done, "run_id", "left")
+    return changed.withColumn("progress", F.when(F.col("_done"), 100).otherwise(F.col("progress"))).drop("_done")
+
+
+def save_items(old: DataFrame, new: DataFrame, saving: DataFrame, by: str) -> DataFrame:
+    """old with all rows of the groups that save (saving) replaced by theirs of new, which may be none."""
+    return old.join(saving, by, "left_anti").unionByName(new)
+
+
+def resolve_items(items: DataFrame, resolutions: DataFrame, by: list[str]) -> DataFrame:
+    """resolutions with state: resolved, or unknown_item where no item has that key."""
+    known = items.select(*by).distinct().withColumn("_known", F.lit(True))
+    j = resolutions.join(known, by, "left")
+    return j.withColumn("state", F.when(F.col("_known"), "resolved").otherwise("unknown_item")).drop("_known")
+
+
+def numbered_rows(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Rows of each group numbered in order."""
+    return df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def record_calls(log: DataFrame, seq: str, first: list[str], last: list[str]) -> DataFrame:
+    """Calls (run_id, item_id) from their log: some columns keep the first value, others take the last. Calls without a
+    run or an item aren't kept."""
+    inside = log.where((F.coalesce(F.col("run_id").cast("string"), F.lit("")) != "") & (F.coalesce(F.col("item_id").cast("string"), F.lit("")) != ""))
+    return first_and_last(inside, ["run_id", "item_id"], seq, first, last)
+
+
+def latest_result(versions: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per task and owner of runs (run_id, task_id, owner) the payload of the latest version (run_id, version,
+    created_at, payload) of all their runs: by time, then number."""
+    j = versions.join(runs, "run_id")
+    return j.groupBy("task_id", "owner").agg(F.max_by("payload", F.struct("created_at", "version", "run_id", "payload")).alias("payload"))
+
+
+def register(names: DataFrame, seq: str, name: str) -> DataFrame:
+    """Accounts from registrations in order of seq: the first of a name, trimmed and in lower case, has it; how many
+    were refused after it, and whether it is the first account of all."""
+    n = names.select(F.lower(F.trim(name)).alias("username_key"), F.col(seq).alias("seq"))
+    g = n.groupBy("username_key").agg(F.min("seq").alias("seq"), (F.count("*") - 1).alias("refused"))
+    return g.crossJoin(F.broadcast(n.agg(F.min("seq").alias("_first")))).select("username_key", "seq", "refused", (F.col("seq") == F.col("_first")).alias("first_account"))
+
+
+def run_of_task(runs: DataFrame, run: str, manifest: str) -> DataFrame:
+    """The last run of each task and owner with its manifest; an empty object where there is none."""
+    g = runs.groupBy("task_id", "owner").agg(F.max(F.struct(run, F.coalesce(manifest, F.lit("{}")).alias("m"))).alias("r"))
+    return g.select("task_id", "owner", F.col(f"r.{run}").alias("run_id"), F.col("r.m").alias("manifest"))

@@ -235,3 +235,13 @@ def streamed_nodes(pieces: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["call_id", "seq", "node"]) if out else pd.DataFrame({"call_id": pd.Series(dtype="int64"), "seq": pd.Series(dtype="int64"), "node": pd.Series(dtype="object")})
 
     return pieces.groupBy("call_id").applyInPandas(of_call, "call_id long, seq long, node string")
+
+
+def slices(log: DataFrame, key: str, seq: str, control: Column, most: int = 100) -> DataFrame:
+    """Slices in which a client takes in the events of a key: in order, `most` at most, and none goes on behind a control
+    event, which is the last of its slice (barrier)."""
+    w = Window.partitionBy(key).orderBy(seq)
+    before = F.coalesce(F.sum(F.when(control, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = log.withColumn("_control", control).withColumn("stretch", before.cast("long"))
+    n = F.row_number().over(Window.partitionBy(key, "stretch").orderBy(seq)) - 1
+    return rows.withColumn("slice", F.floor(n / most)).groupBy(key, "stretch", "slice").agg(F.min(seq).alias("first"), F.max(seq).alias("last"), F.count("*").alias("n"), F.bool_or("_control").alias("barrier"))
