@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 
+def exact_mean(c: str) -> Column:
+    """A mean that doesn't depend on the order of its rows: summed in whole millionths."""
+    return F.sum(F.round(F.col(c) * 1e6).cast("bigint")) / (F.count("*") * 1e6)
+
+
 def build_nodes(candidates: DataFrame) -> DataFrame:
     """Nodes of candidates (chunk_id, name, definition, confidence): one per key, named by the surest candidate."""
     c = candidates.withColumn("key", tx.narrow_key(F.col("name"))).where("key <> ''")
@@ -16,7 +21,7 @@ def build_nodes(candidates: DataFrame) -> DataFrame:
         F.min(F.struct((-F.col("confidence")).alias("c"), F.col("name").alias("n")))["n"].alias("name"),
         F.coalesce(definition, F.lit("")).alias("definition"),
         F.array_sort(F.collect_set("name")).alias("names"),
-        F.round(F.avg("confidence"), 3).alias("confidence"),
+        F.round(exact_mean("confidence"), 3).alias("confidence"),
         F.count_distinct("chunk_id").alias("n_chunks"),
     )
     aliases = F.filter("names", lambda x: x != F.col("name"))
@@ -29,10 +34,10 @@ def build_edges(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select("key", "node_id")
     e = candidates.withColumns({"sk": tx.narrow_key(F.col("source")), "tk": tx.narrow_key(F.col("target"))}).where("sk <> tk")
     # names repeat, so pairs are counted before they meet the node table
-    g = e.groupBy("sk", "predicate", "tk").agg(F.sum("confidence").alias("s"), F.count("*").alias("n"))
+    g = e.groupBy("sk", "predicate", "tk").agg(exact_mean("confidence").alias("c"), F.count("*").alias("n"))
     j = g.join(ids.select(F.col("key").alias("sk"), F.col("node_id").alias("source")), "sk").join(ids.select(F.col("key").alias("tk"), F.col("node_id").alias("target")), "tk")
     name = F.concat(F.lit("edge_"), F.substring(F.sha1(F.concat_ws(":", "source", "predicate", "target")), 1, 10))
-    return j.select(name.alias("edge_id"), "source", "predicate", "target", F.round(F.col("s") / F.col("n"), 3).alias("confidence"), "n")
+    return j.select(name.alias("edge_id"), "source", "predicate", "target", F.round("c", 3).alias("confidence"), "n")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

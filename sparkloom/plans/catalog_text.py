@@ -311,19 +311,57 @@ def _graph(spark, d):
     return n, gr.build_edges(edges, n)
 
 
-@query()
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace({0}, '^(?:\s*#+\s*|\s*[-•●▪◦‣⁃]\s*|\s*(?:\d+|[一二三四五六七八九十]+)[、.)）]\s*)', ''), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+_STRIPPED = r"regexp_replace({0}, '^[\s 　]+|[\s 　]+$', '', 'g')"
+
+
+def _found(pattern: str, group: int) -> str:
+    return f"unnest(regexp_extract_all(text, '{pattern}', {group}))"
+
+
+_RELATED = " UNION ALL ".join(f"SELECT chunk_id, '{predicate}' AS predicate, {i} AS rank, {_found(p, 1)} AS a, {_found(p, 2)} AS b FROM chunk" for i, (predicate, p) in enumerate(sg.LATIN_RELATIONS))
+_DEFINED = " UNION ALL ".join(f"SELECT chunk_id, {_found(p, 1)} AS name, {_found(p, 2)} AS d FROM chunk" for p in sg.LATIN_DEFINITIONS)
+_MEAN = "sum(CAST(round(confidence * 1000000) AS BIGINT)) / (count(*) * 1000000.0::DOUBLE)"
+#: The whole graph in SQL: candidates of each chunk, what stays of them, nodes by key, edges between them.
+_TERM_GRAPH = f"""WITH {BLOCKS}, chunk AS (SELECT b.doc_id || ':' || b.ordinal AS chunk_id, d.source AS heading, b.text FROM blocks b JOIN documents d ON d.doc_id = b.doc_id),
+    related AS (SELECT chunk_id, predicate, rank, {_CLEAN.format("a")} AS source, {_CLEAN.format("b")} AS target FROM ({_RELATED})),
+    first_names AS (SELECT DISTINCT unnest([source, target]) AS s FROM related), good_ends AS (SELECT s FROM first_names WHERE length(s) <= 36 AND s <> '' AND {_codes(_LABEL_TESTS)} = ''),
+    relations AS (SELECT * FROM related WHERE source IN (SELECT s FROM good_ends) AND target IN (SELECT s FROM good_ends)),
+    raw AS (SELECT chunk_id, heading AS name, 'chapter topic' AS definition, 0.62::DOUBLE AS confidence FROM chunk WHERE heading IS NOT NULL
+        UNION ALL SELECT chunk_id, name, 'topic or term', 0.48 FROM (SELECT chunk_id, {_STRIPPED.format("regexp_replace(" + _STRIPPED.format("text") + ", '^#+', '')")} AS name FROM chunk) WHERE length(name) BETWEEN 2 AND 32 AND NOT regexp_matches(name, '[。！？]')
+        UNION ALL SELECT chunk_id, name, substr({_STRIPPED.format("d")}, 1, 160), 0.72 FROM ({_DEFINED})
+        UNION ALL SELECT chunk_id, unnest([source, target]), '', 0.55 FROM relations),
+    cleaned AS (SELECT chunk_id, {_CLEAN.format("name")} AS name, definition, confidence FROM raw),
+    names AS (SELECT DISTINCT name AS s FROM cleaned), good AS (SELECT s FROM names WHERE length(s) <= 36 AND s <> '' AND {_codes(_LABEL_TESTS)} = ''),
+    best AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, lower(name) ORDER BY confidence DESC, name, definition) AS r FROM cleaned WHERE name IN (SELECT s FROM good)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY confidence DESC, name) AS place FROM best WHERE r = 1),
+    kept AS (SELECT chunk_id, name, definition, confidence FROM placed WHERE place <= 14),
+    both_ends AS (SELECT r.*, row_number() OVER (PARTITION BY r.chunk_id ORDER BY rank, source, target) AS place FROM relations r
+        SEMI JOIN kept a ON a.chunk_id = r.chunk_id AND a.name = r.source SEMI JOIN kept b ON b.chunk_id = r.chunk_id AND b.name = r.target),
+    firsts AS (SELECT chunk_id, source, predicate, target, 0.58::DOUBLE AS confidence FROM both_ends WHERE place <= 18),
+    found_edges AS (SELECT * FROM firsts UNION ALL SELECT c.chunk_id, c.heading, 'includes', k.name, 0.42 FROM chunk c JOIN kept k ON k.chunk_id = c.chunk_id
+        WHERE c.heading IS NOT NULL AND c.heading <> k.name AND c.chunk_id IN (SELECT chunk_id FROM kept GROUP BY 1 HAVING count(*) > 1) AND NOT EXISTS (SELECT 1 FROM firsts f WHERE f.chunk_id = c.chunk_id AND f.source = c.heading AND f.target = k.name)),
+    keyed AS (SELECT *, lower(regexp_replace(name, '{tx.NARROW_KEY_CLASS}', '', 'g')) AS key FROM kept),
+    grouped AS (SELECT key, min(row(-confidence, name)) AS top, coalesce(max(row(length(definition), definition)) FILTER (definition <> ''), row(0, '')) AS d, list_sort(list_distinct(list(name))) AS names, round({_MEAN}, 3) AS confidence, count(DISTINCT chunk_id) AS n_chunks FROM keyed WHERE key <> '' GROUP BY key),
+    nodes AS (SELECT 'node_' || substr(sha1(key), 1, 10) AS node_id, key, top[2] AS name, d[2] AS definition, names, confidence, n_chunks FROM grouped),
+    pairs AS (SELECT lower(regexp_replace(source, '{tx.NARROW_KEY_CLASS}', '', 'g')) AS sk, predicate, lower(regexp_replace(target, '{tx.NARROW_KEY_CLASS}', '', 'g')) AS tk, {_MEAN} AS c, count(*) AS n FROM found_edges GROUP BY ALL),
+    edges AS (SELECT 'edge_' || substr(sha1(a.node_id || ':' || predicate || ':' || b.node_id), 1, 10) AS edge_id, a.node_id AS source, predicate, b.node_id AS target, round(c, 3) AS confidence, n FROM pairs JOIN nodes a ON a.key = sk JOIN nodes b ON b.key = tk WHERE sk <> tk)"""
+
+
+@query(_TERM_GRAPH + " SELECT node_id, key, name, definition, array_to_string(list_filter(names, lambda x: x <> name), '|') AS aliases, confidence, n_chunks FROM nodes")
 def term_graph_nodes(spark, d):
     """Concepts of the documents, one per key."""
     return _graph(spark, d)[0]
 
 
-@query()
+@query(_TERM_GRAPH + " SELECT * FROM edges")
 def term_graph_edges(spark, d):
     """Relations between them."""
     return _graph(spark, d)[1]
 
 
-@query()
+@query(_TERM_GRAPH + """, ends AS (SELECT source AS node_id FROM edges UNION SELECT target FROM edges)
+    SELECT count(*) AS node_count, (SELECT count(*) FROM edges) AS edge_count, count(*) FILTER (node_id NOT IN (SELECT node_id FROM ends)) AS isolated_count, CASE WHEN count(*) > 0 THEN round(count(*) FILTER (definition <> '') / count(*), 3) ELSE 0 END AS defined_share FROM nodes""")
 def term_graph_report(spark, d):
     """Counts and shares of that graph."""
     return gr.graph_report(*_graph(spark, d))
