@@ -6,7 +6,7 @@ over the chunks, and the length, go through one small layer into one probability
 
 Learning is bounded by documented parameters: about `per_label` labelled documents of each label (those of the
 smallest hashes of the id), of these whole texts up to `most_bytes` a label in the same order, cut by the executors
-before anything reaches the driver, a fixed number of passes from a fixed seed. Scoring reads every byte.
+before anything reaches the driver, a fixed number of passes from a fixed seed (twice as many over few rows). Scoring reads every byte.
 
 Cases: null and empty texts are one chunk of padding and get a score like others; documents without a label, id or
 quality 0/1 take no part in learning; an id with several labels takes part once for each; without both labels
@@ -27,6 +27,8 @@ from .common import col, stored
 WIDTH = 6
 CHUNK, OVERLAP = 160, 32
 FILTERS, HIDDEN = 32, 16
+#: Documents of a step.
+BATCH = 48
 #: Chunks that are read at once.
 AT_ONCE = 256
 
@@ -122,7 +124,7 @@ class Network:
         dw[:, 0] = 0
         return {"w": dw, "a": f.T @ dh, "a0": dh.sum(0), "v": h.T @ dz, "v0": dz.sum(keepdims=True)}
 
-    def train(self, texts: list[bytes], labels: np.ndarray, passes: int = 12, batch: int = 48, rate: float = 0.01, seed: int = 5) -> Network:
+    def train(self, texts: list[bytes], labels: np.ndarray, passes: int = 12, batch: int = BATCH, rate: float = 0.01, seed: int = 5) -> Network:
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -147,7 +149,7 @@ def as_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 2000, passes: int = 8, most_bytes: int = 24 << 20) -> Network | float:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 2000, passes: int = 8, least_steps: int = 640, most_bytes: int = 24 << 20) -> Network | float:
     """A network learnt from labelled documents; a constant where not both labels are there."""
     marked = labels.select(col(id_col).alias("_id"), col(label_col).alias("y")).where("_id is not null and y in (0, 1)").distinct()
     sizes = {r.y: r.n for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -167,6 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     few = int(y.mean() < 0.5)
     extra = [r for r in got if r[1] == few] * max(0, round(max(y.mean(), 1 - y.mean()) / min(y.mean(), 1 - y.mean())) - 1)
     got += extra
+    # small samples are read up to twice as often, since a pass over them has few steps
+    passes = min(2 * passes, max(passes, -(-least_steps // -(-len(got) // BATCH))))
     return Network().train([r[2] for r in got], np.array([r[1] for r in got], dtype=np.float32), passes)
 
 
