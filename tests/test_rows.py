@@ -147,3 +147,17 @@ def test_store_rules(spark):
     assert rows(store.register(names, "seq", "name")) == [("ann", 1, 1, True), ("bo", 3, 0, False)]
     old = spark.createDataFrame([("r1", "a"), ("r2", "b")], "run string, item string")
     assert rows(store.save_items(old, old.where("item = 'x'"), spark.createDataFrame([("r1",)], "run string"), "run")) == [("r2", "b")]
+
+
+def test_no_private_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    def session(master, setting=None, checkpoint=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: setting), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: checkpoint))
+
+    assert storage.folder(session("spark://host:7077", "hdfs://x/c/")) == "hdfs://x/c" and storage.folder(session("yarn", None, "hdfs://y")) == "hdfs://y"
+    with pytest.raises(RuntimeError):
+        storage.folder(session("spark://host:7077"))
+    assert storage.folder(session("local[2]")).startswith("file://")
