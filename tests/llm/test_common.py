@@ -23,3 +23,16 @@ def test_words_and_tables(spark):
     assert again.schema == df.schema and again.count() == 4
     assert cm.shared_dir(spark) == cm.shared_dir(spark) and cm.fresh_path(spark, "x") != cm.fresh_path(spark, "x")
     assert cm.sized_broadcast(df, 1) is df
+
+
+def test_no_private_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    def session(master, setting=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: setting), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+    assert cm.shared_dir(session("spark://host:7077", "hdfs://x/c/")) == "hdfs://x/c"
+    with pytest.raises(RuntimeError):
+        cm.shared_dir(session("spark://host:7077"))
