@@ -2,7 +2,7 @@
 
 import pytest
 
-from sparkloom.plans import catalog_graph, catalog_review, catalog_state, catalog_store, catalog_text  # noqa: F401
+from sparkloom.plans import catalog_graph, catalog_review, catalog_rows, catalog_state, catalog_store, catalog_text  # noqa: F401
 from sparkloom.plans.registry import ORACLES, QUERIES
 
 from .compare import connect, rows
