@@ -15,6 +15,7 @@ from ..operators import patch as pt
 from ..operators import resolve as rs
 from ..operators import review as rv
 from ..operators import segment as sg
+from ..operators import tree as tr
 from ..streaming import events as ev
 from . import store as st
 from .catalog_text import BLOCKS, blocks
@@ -332,3 +333,273 @@ def report_faults(spark, d):
     action = F.when(v > 200, "rename").when(v > 100, "delete").otherwise("keep")
     issues = table(spark, d, "events").select(role.alias("role"), action.alias("action"), F.col("user_id").alias("node"), t.alias("text"))
     return rv.checked_report(issues, table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id")))
+
+
+@query("SELECT p_partkey, p_size >= 5 AND (p_type = 'ECONOMY' OR p_retailprice > 950) AS eligible FROM part")
+def eligible_nodes(spark, d):
+    """Nodes that a tree may have: a label without issues, and support."""
+    issues = F.when(F.col("p_size") < 5, F.array(F.lit("too_short"))).otherwise(_empty())
+    support = F.when(F.col("p_type") == "ECONOMY", F.array("p_name")).otherwise(_empty())
+    evidence = F.when(F.col("p_retailprice") > 950, F.array("p_name")).otherwise(_empty())
+    return table(spark, d, "part").select("p_partkey", tr.is_eligible(issues, support, evidence).alias("eligible"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size < 3 OR p_size + 5 > 45 THEN 'page' ELSE 'depth' END AS fault FROM part WHERE p_size < 3 OR p_size + 5 > 45 OR p_size > 30")
+def node_faults(spark, d):
+    """Nodes that name pages that aren't there, or lie too deep."""
+    s = F.col("p_size")
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), s.alias("depth"), F.array(s - 2, s + 5).alias("pages"))
+    return tr.bad_pages(nodes, 45, 30)
+
+
+@query("""WITH e AS (SELECT l_partkey AS source, l_orderkey AS target, l_linestatus = 'O' AS provisional, l_returnflag <> 'R' AS has_evidence FROM lineitem),
+        c AS (SELECT min(target) AS child FROM (SELECT target FROM e GROUP BY 1 HAVING count(*) = 1 AND bool_and(has_evidence AND provisional)))
+    SELECT source, target, has_evidence, provisional AND target <> child AS provisional FROM e, c""")
+def confirmed_edges(spark, d):
+    """Edges after the only one into a child is confirmed."""
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_orderkey").alias("target"), (F.col("l_linestatus") == "O").alias("provisional"), (F.col("l_returnflag") != "R").alias("has_evidence"))
+    lone = e.groupBy("target").agg(F.count("*").alias("n"), F.bool_and(F.col("has_evidence") & F.col("provisional")).alias("ok"))
+    return tr.confirm_edge(e, lone.where("n = 1 and ok").agg(F.min("target")).first()[0])
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 40 OR (p_size > 20 AND p_partkey <> p_size) THEN p_partkey ELSE p_size END AS subject FROM part""")
+def review_subjects(spark, d):
+    """The node that each review is about."""
+    k, s = F.col("p_partkey"), F.col("p_size").cast("long")
+    parents = F.when(s > 20, F.array(s)).otherwise(F.array(F.lit(-1).cast("long")))
+    return table(spark, d, "part").select("p_partkey", rv.subject_of(F.when(s > 40, k), F.array(k, s), parents, F.array(s)).alias("subject"))
+
+
+@query(f"""WITH {BLOCKS} SELECT DISTINCT doc_id FROM blocks WHERE length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 12""")
+def signal_pages(spark, d):
+    """Pages with a block that says something."""
+    return cv.signal_pages(blocks(spark, d), "doc_id", "text")
+
+
+@query("""WITH u AS (SELECT l_suppkey, CASE l_returnflag WHEN 'R' THEN 'image' ELSE 'text' END AS kind, CASE WHEN l_linestatus = 'F' THEN l_linenumber END AS page,
+            CASE WHEN l_returnflag <> 'N' THEN l_linenumber + 1 END AS slide, l_orderkey AS idx, l_partkey AS id FROM lineitem)
+    SELECT l_suppkey, idx, id, row_number() OVER (PARTITION BY l_suppkey ORDER BY coalesce(page, slide) NULLS LAST, kind <> 'text', idx, id) AS place FROM u""")
+def source_order(spark, d):
+    """Units in order of their sources."""
+    n = F.col("l_linenumber")
+    kind = F.when(F.col("l_returnflag") == "R", "image").otherwise("text")
+    u = table(spark, d, "lineitem").select("l_suppkey", kind.alias("kind"), F.when(F.col("l_linestatus") == "F", n).alias("page"), F.when(F.col("l_returnflag") != "N", n + 1).alias("slide"), F.col("l_orderkey").alias("idx"), F.col("l_partkey").alias("id"))
+    return cv.in_source_order(u, "l_suppkey").select("l_suppkey", "idx", "id", "place")
+
+
+@query("""WITH p AS (SELECT o_custkey AS plan, min(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS first FROM orders GROUP BY 1)
+    SELECT plan, row_number() OVER (ORDER BY first NULLS LAST, plan) AS place FROM p""")
+def plan_order(spark, d):
+    """Plans by the first place of their units."""
+    o = table(spark, d, "orders")
+    return cv.plan_places(o.select(F.col("o_custkey").alias("plan"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")).alias("at"))).select("plan", "place")
+
+
+@query("""WITH o AS (SELECT l_partkey AS node, min(l_orderkey) AS unit FROM lineitem GROUP BY 1)
+    SELECT node, unit, count(*) OVER (PARTITION BY unit) AS owned FROM o""")
+def seed_owners(spark, d):
+    """The earliest unit of each seeded node, and how many each unit has."""
+    return cv.owners(table(spark, d, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("unit"), F.col("l_orderkey").alias("place")))
+
+
+@query("SELECT o_orderkey, greatest(coalesce(n, 2), 1) AS weight FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def planning_weights(spark, d):
+    """How many nodes each unit stands for."""
+    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    return table(spark, d, "orders").join(n, "o_orderkey", "left").select("o_orderkey", cv.planning_weight(F.col("n")).alias("weight"))
+
+
+@query("""WITH h AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R')
+    SELECT p_partkey AS id, CASE p_type WHEN 'PROMO' THEN 'rejected' ELSE 'uncovered' END AS was,
+        CASE WHEN p_type = 'PROMO' THEN 'rejected' WHEN l_partkey IS NOT NULL THEN 'covered' WHEN p_size / 50 < 0.7 THEN 'deferred' ELSE 'uncovered' END AS status
+    FROM part LEFT JOIN h ON l_partkey = p_partkey""")
+def discarded_units(spark, d):
+    """Units after an audit: what was discarded stays so."""
+    status = F.when(F.col("p_type") == "PROMO", "rejected").otherwise("uncovered")
+    units = table(spark, d, "part").select(F.col("p_partkey").alias("id"), status.alias("status"), (F.col("p_size") / 50).alias("importance"))
+    return cv.audit(units, table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("id")))
+
+
+@query("SELECT DISTINCT l_orderkey AS page FROM lineitem WHERE l_returnflag = 'N' AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def formula_risk_pages(spark, d):
+    """Accepted pages that have clean candidates."""
+    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_returnflag") == "N").alias("clean"))
+    return rv.risk_pages(c, table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("page")))
+
+
+@query("""WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS a, p_size, lag(string_split(p_name, ' ')) OVER w AS b, lag(p_size) OVER w AS s FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey))
+    SELECT p_partkey, len(list_intersect(a, b)) > 0 OR p_size = s AS shared FROM p WHERE b IS NOT NULL""")
+def shared_sources(spark, d):
+    """Whether rows share a unit or a page."""
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    a = {"units": _words("p_name"), "pages": F.array("p_size")}
+    p = table(spark, d, "part").withColumns({f"b_{k}": F.lag(v).over(w) for k, v in a.items()}).where("b_units is not null")
+    return p.select("p_partkey", rs.shared_provenance(a, {k: F.col(f"b_{k}") for k in a}).alias("shared"))
+
+
+@query("""WITH p AS (SELECT *, p_brand || p_name AS page, CAST(p_size AS DOUBLE) AS x FROM part), j AS (SELECT a.page, a.p_partkey AS idx, b.p_partkey AS n, greatest(0, least(a.x, b.x) + 20 - greatest(a.x, b.x)) AS w
+            FROM p a JOIN p b ON a.page = b.page AND a.p_type = 'ECONOMY' AND b.p_type <> 'ECONOMY' AND bit_count(xor(a.p_size, b.p_size)) <= 4)
+    SELECT page, idx, min(n) AS native FROM j WHERE w * 3 / (120 - w * 3) >= 0.5 GROUP BY ALL""")
+def native_matches(spark, d):
+    """The native picture that each extracted one is a copy of."""
+    boxes = {"page": F.concat("p_brand", "p_name"), "idx": F.col("p_partkey"), "x": F.col("p_size").cast("double"), "y": F.lit(0.0), "w": F.lit(20.0), "h": F.lit(3.0), "hash": F.lower(F.lpad(F.hex("p_size"), 4, "0"))}
+    p = table(spark, d, "part").withColumns(boxes)
+    return rs.match_native(*[p.where(t).select(*boxes) for t in ("p_type = 'ECONOMY'", "p_type <> 'ECONOMY'")])
+
+
+@query("""WITH j AS (SELECT l_partkey AS asset, o_custkey AS candidate, count(*) AS overlap, max(o_totalprice) AS confidence FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+    SELECT asset, candidate, overlap, confidence FROM j QUALIFY row_number() OVER (PARTITION BY asset ORDER BY overlap DESC, confidence DESC, candidate) = 1""")
+def media_owners(spark, d):
+    """The candidate that shares most units with each picture."""
+    assets = table(spark, d, "lineitem").select(F.col("l_partkey").alias("asset"), F.col("l_orderkey").alias("unit")).distinct()
+    return rs.owner_of(assets, table(spark, d, "orders").select(F.col("o_custkey").alias("candidate"), F.col("o_orderkey").alias("unit"), F.col("o_totalprice").alias("confidence")))
+
+
+@query("""WITH i AS (SELECT p_brand AS page, p_partkey AS n, p_name AS identity, CASE WHEN p_size >= 15 THEN p_size END AS temp_id, starts_with(p_name, 'c') AS known, p_size BETWEEN 30 AND 40 AS open FROM part),
+        r AS (SELECT *, row_number() OVER (PARTITION BY page, NOT known AND NOT open AND temp_id IS NULL ORDER BY n) AS r FROM i)
+    SELECT page, n, identity, temp_id FROM r WHERE known OR open OR (temp_id IS NULL AND r <= 2)""")
+def repairable_nodes(spark, d):
+    """Nodes that a repair of a page may use."""
+    p = table(spark, d, "part")
+    incoming = p.select(F.col("p_brand").alias("page"), F.col("p_partkey").alias("n"), F.col("p_name").alias("identity"), F.when(F.col("p_size") >= 15, F.col("p_size")).alias("temp_id"))
+    return rs.repairable(incoming, p.where("p_name like 'c%'").select(F.col("p_name").alias("identity")), p.where("p_size between 30 and 40").select(F.col("p_size").alias("temp_id")), 2)
+
+
+@query("""WITH n AS (SELECT p_partkey, p_brand, p_name FROM part WHERE p_size < 5) SELECT * FROM n
+    UNION ALL SELECT p_partkey, p_brand, p_name FROM part f WHERE p_size >= 5 AND NOT EXISTS (SELECT 1 FROM n WHERE n.p_name = f.p_name AND n.p_brand = f.p_brand)""")
+def supplemented_nodes(spark, d):
+    """Nodes, and the formulas of the layout that none of them has."""
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_name", "p_size")
+    nodes, formulas = (p.where(t).drop("p_size") for t in ("p_size < 5", "p_size >= 5"))
+    return rs.supplemented(nodes, formulas, ["p_name", "p_brand"])
+
+
+@query("""WITH c AS (SELECT conv_id, turn, string_split(text || chr(13) || chr(10) || ' ' || turn || chr(10) || '第 ' || turn || ' 页' || chr(10) || role, chr(10)) AS l FROM conversations),
+        t AS (SELECT *, list_filter(list_transform(l, lambda x: trim(x, ' ' || chr(13))), lambda x: x <> '' AND NOT regexp_matches(x, '^(第 )?[0-9]+( 页)?$')) AS k FROM c)
+    SELECT conv_id, turn, array_to_string(k, chr(10)) AS text FROM t""")
+def unmarked_texts(spark, d):
+    """Texts without page numbers."""
+    n = F.col("turn").cast("string")
+    text = F.concat("text", F.lit("\r\n "), n, F.lit("\n第 "), n, F.lit(" 页\n"), "role")
+    return table(spark, d, "conversations").select("conv_id", "turn", tx.without_page_markers(text).alias("text"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_type = 'PROMO' AS hopeless, p_type IN ('PROMO', 'ECONOMY') AS bad, p_size > 25 AS worse FROM part)
+    SELECT p_partkey, CASE WHEN hopeless AND worse THEN 'reject_entire_node' WHEN hopeless THEN 'reextract_candidate' WHEN bad AND worse THEN 'repair_label_and_trim_definition_keep_claim'
+        WHEN bad THEN 'repair_label_keep_claim' WHEN worse THEN 'trim_definition_keep_claim' ELSE 'accept' END AS action FROM p""")
+def field_actions(spark, d):
+    """What to do with candidates by the issues of their fields."""
+    label = F.when(F.col("p_type") == "PROMO", F.array(F.lit("too_long"), F.lit("generic"))).when(F.col("p_type") == "ECONOMY", F.array(F.lit("ellipsis"))).otherwise(_empty())
+    definition = F.when(F.col("p_size") > 25, F.array(F.lit("dependent_fragment"))).otherwise(_empty())
+    return table(spark, d, "part").select("p_partkey", tx.field_action(label, definition).alias("action"))
+
+
+@query("""WITH p AS (SELECT p_partkey, substr(p_name, 1, p_size % 12) || CASE WHEN p_size > 45 THEN ' x = 3' ELSE '' END AS t, p_size FROM part)
+    SELECT p_partkey, length(regexp_replace(t, '[^A-Za-z0-9]', '', 'g')) >= 6 OR p_size > 45 AS specific FROM p""")
+def specific_excerpts(spark, d):
+    """Whether an excerpt of evidence says enough."""
+    t = F.concat(F.substring("p_name", F.lit(1), F.col("p_size") % 12), F.when(F.col("p_size") > 45, " x = 3").otherwise(""))
+    return table(spark, d, "part").select("p_partkey", tx.is_specific(t).alias("specific"))
+
+
+@query("""SELECT p_partkey, least(1, length(split_part(p_name, ' ', 1)) / least(length(replace(p_name, ' ', '')), length(p_type))) AS share FROM part""")
+def anchor_shares(spark, d):
+    """How much of the shorter text its shared anchors are."""
+    share = tx.anchor_coverage(F.array(F.get(_words("p_name"), 0)), F.col("p_name"), F.col("p_type"))
+    return table(spark, d, "part").select("p_partkey", share.alias("share"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_ROLE} AS role, p_size / 50 AS importance, p_type AS category, p_name FROM part)
+    SELECT p_partkey, role NOT IN ('definition', 'formula', 'principle') AND (importance < 0.3 OR regexp_matches(p_name, '(?i)Widget|GEAR')) AS may_go FROM p""")
+def discard_proposals(spark, d):
+    """Units that a proposal may discard."""
+    go = rv.discard_eligible(_role(), F.col("p_size") / 50, F.col("p_type"), F.col("p_name"), r"(?i)Widget|GEAR")
+    return table(spark, d, "part").select("p_partkey", go.alias("may_go"))
+
+
+_LATEX = r"""CASE WHEN p_size % 4 = 0 THEN ' ' WHEN p_size % 4 = 1 THEN 'E = {' || p_size WHEN p_size % 4 = 2 THEN 'E \approx ' || p_size ELSE 'E' END"""
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_size % 4 AS k, CASE WHEN p_size > 40 THEN '' ELSE 'E = ' || p_size END AS text, {_LATEX} AS latex FROM part)
+    SELECT p_partkey, array_to_string(list_filter([CASE WHEN trim(latex) = '' THEN 'missing_latex' END, CASE WHEN text = '' THEN 'missing_text' END,
+        CASE WHEN text <> '' AND k IN (0, 3) THEN 'relation_lost' END, CASE WHEN k = 1 THEN 'unbalanced_braces' END], lambda x: x IS NOT NULL), ',') AS issues FROM p""")
+def formula_faults(spark, d):
+    """Where formulas' texts and their LaTeX don't fit."""
+    s, n = F.col("p_size"), F.col("p_size").cast("string")
+    latex = F.when(s % 4 == 0, " ").when(s % 4 == 1, F.concat(F.lit("E = {"), n)).when(s % 4 == 2, F.concat(F.lit(r"E \approx "), n)).otherwise("E")
+    text = F.when(s > 40, "").otherwise(F.concat(F.lit("E = "), n))
+    return table(spark, d, "part").select("p_partkey", F.array_join(rv.formula_issues(text, latex), ",").alias("issues"))
+
+
+_ISSUES = "CASE WHEN p_size < 5 THEN ['too_short'] WHEN p_size < 10 THEN ['generic', 'control_character'] WHEN p_size < 12 THEN ['ellipsis', 'generic'] ELSE [] END"
+
+
+def _issues():
+    def some(*names):
+        return F.array(*[F.lit(n) for n in names])
+
+    s = F.col("p_size")
+    return F.when(s < 5, some("too_short")).when(s < 10, some("generic", "control_character")).when(s < 12, some("ellipsis", "generic")).otherwise(_empty())
+
+
+@query(f"""WITH p AS (SELECT CASE WHEN p_type = 'PROMO' THEN '' ELSE p_name END AS id, {_ISSUES} AS i FROM part)
+    SELECT id, array_to_string(list_sort(list_distinct(flatten(list(i)))), ',') AS issues, count(*) AS n FROM p WHERE len(i) > 0 GROUP BY id""")
+def invalid_items(spark, d):
+    """Issues of the items that a page's payload is refused for."""
+    ident = F.when(F.col("p_type") != "PROMO", F.col("p_name"))
+    bad = rv.split_valid(table(spark, d, "part").select(ident.alias("id"), _issues().alias("issues")), "issues")[1]
+    return bad.select("id", F.array_join("issues", ",").alias("issues"), "n")
+
+
+@query("""SELECT p_partkey, p_name FROM part WHERE p_size >= 12""")
+def valid_items(spark, d):
+    """Items of a payload without issues."""
+    items = table(spark, d, "part").select("p_partkey", "p_name", F.col("p_name").alias("id"), _issues().alias("issues"))
+    return rv.split_valid(items, "issues")[0].select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, p_size < 5 OR p_size BETWEEN 10 AND 11 AS may_discard FROM part")
+def discardable_nodes(spark, d):
+    """Nodes whose issues allow to drop them."""
+    return table(spark, d, "part").select("p_partkey", rv.may_discard(_issues()).alias("may_discard"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS rank FROM lineitem)
+    SELECT l_suppkey, l_orderkey, l_partkey, rank FROM r WHERE rank <= 3""")
+def best_candidates(spark, d):
+    """The three best candidates of each page."""
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice")
+    return gr.top_per(li, ["l_suppkey"], [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")], 3).select("l_suppkey", "l_orderkey", "l_partkey", "rank")
+
+
+@query("""WITH c AS (SELECT *, lag(CASE WHEN role = 'user' THEN text END) OVER w AS label, role = 'user' AND lead(turn) OVER w IS NOT NULL AS gone FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT conv_id, turn, concat_ws(' ', label, text) AS text FROM c WHERE NOT gone""")
+def absorbed_labels(spark, d):
+    """Blocks with the label before them."""
+    return ly.merge_labels(table(spark, d, "conversations"), ["conv_id"], "turn", F.col("role") == "user", "text").select("conv_id", "turn", "text")
+
+
+@query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'F' THEN o_custkey END, CASE WHEN o_orderpriority = '1-URGENT' THEN 7 END, CASE WHEN o_totalprice > 100000 THEN o_orderkey END, 0) AS used FROM orders""")
+def context_usage(spark, d):
+    """Tokens in context by the best source there is."""
+    live, manifest = F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")), F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(7).cast("long"))
+    ratio = F.when(F.col("o_totalprice") > 100000, F.lit(0.5))
+    return table(spark, d, "orders").select("o_orderkey", tx.context_used(live, manifest, ratio, 2 * F.col("o_orderkey"), F.lit(0).cast("long")).alias("used"))
+
+
+@query("""SELECT p_partkey, p_size % 3 AS completed, 1 AS failed, p_size % 3 + 1 AS "rows" FROM part""")
+def swarm_results(spark, d):
+    """Counts of a tagged result; tags inside a result are text."""
+    ok = F.concat(F.lit('<task id="a" status="completed"><result><task status="failed">'), "p_name", F.lit("</result></task>"))
+    bad = F.lit('<task status="failed"><result>x</result></task>')
+    return table(spark, d, "part").select("p_partkey", tx.swarm_counts(F.concat(F.repeat(ok, F.col("p_size") % 3), bad)).alias("c")).select("p_partkey", "c.*")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN chr(96) || chr(96) || chr(96) || chr(10) || text || chr(10) || chr(96) || chr(96) || chr(96)
+            WHEN 'assistant' THEN '> ' || replace(text, chr(10), chr(10) || '> ') ELSE text END AS t FROM conversations)
+    SELECT conv_id, string_agg(t, chr(10) || chr(10) ORDER BY turn) AS markdown FROM c GROUP BY 1""")
+def turn_texts(spark, d):
+    """Turns as Markdown: tools as code, thoughts as quotes."""
+    kind = F.when(F.col("role") == "user", "tool").when(F.col("role") == "assistant", "thinking").otherwise("text")
+    rows = F.array_sort(F.collect_list(F.struct("turn", kind.alias("type"), "text")))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(tx.turn_markdown(F.transform(rows, lambda x: F.struct(x["type"].alias("type"), x["text"].alias("text")))).alias("markdown"))
