@@ -319,12 +319,19 @@ def clean_name(c: Column) -> Column:
     return strip(F.regexp_replace(s, r"[ \t]+", " "))
 
 
+#: Marks of a continued text, and the label of what nobody can name yet.
+CONTINUED = r"^\[(?:上文衔接|continued|continuation)\]\s*"
+UNNAMED = "待复核课程要点"
+
+
 def short_label(c: Column, fallback: Column, longest: int = 32) -> Column:
-    """The first clause of the first line without numbering if it is fit to publish, else the fallback."""
-    first = F.element_at(F.split(strip(c), "\n"), 1)
-    first = strip(F.element_at(F.split(F.regexp_replace(first, r"^[#\s]+", ""), r"[。！？；;:：.!?]"), 1))
-    first = F.regexp_replace(first, r"^\d+(?:\.\d+)*[\s、.)）-]*", "")
-    return F.when((F.length(first) <= longest) & (F.size(label_issues(first)) == 0), first).otherwise(fallback)
+    """The first clause of the first line without marks and numbering if it is fit to publish, else the fallback, else
+    the label for later review. A blank text is its fallback."""
+    text, other = strip(F.coalesce(c, F.lit(""))), strip(fallback)
+    first = strip(F.regexp_replace(F.element_at(F.split(F.when(text == "", other).otherwise(text), "\n"), 1), "^#+", ""))
+    clause = strip(F.element_at(F.split(F.regexp_replace(first, CONTINUED, ""), "[。！？；;:：]"), 1))
+    label = F.regexp_replace(clause, r"^\d+(?:\.\d+)*[\s、.)）-]*", "")
+    return F.when(is_publishable(label) & (F.length(label) <= longest), label).when(is_publishable(other), other).otherwise(UNNAMED)
 
 
 def is_specific(c: Column) -> Column:

@@ -16,8 +16,10 @@ from ..operators import resolve as rs
 from ..operators import review as rv
 from ..operators import segment as sg
 from ..operators import tree as tr
+from ..sources import documents as sd
 from ..streaming import events as ev
 from . import store as st
+from .catalog_graph import TREE, tree
 from .catalog_text import BLOCKS, blocks
 from .registry import query, table
 
@@ -603,3 +605,179 @@ def turn_texts(spark, d):
     kind = F.when(F.col("role") == "user", "tool").when(F.col("role") == "assistant", "thinking").otherwise("text")
     rows = F.array_sort(F.collect_list(F.struct("turn", kind.alias("type"), "text")))
     return table(spark, d, "conversations").groupBy("conv_id").agg(tx.turn_markdown(F.transform(rows, lambda x: F.struct(x["type"].alias("type"), x["text"].alias("text")))).alias("markdown"))
+
+
+_FILE = """SELECT p_partkey, 'in/' || p_partkey || CASE WHEN p_size < 5 THEN '.bin' ELSE '.md' END AS path, p_size < 5 AS odd, p_size > 45 AS blank, p_name FROM part"""
+
+
+@query(f"""SELECT path AS doc_id, CASE WHEN blank THEN CAST(p_partkey AS VARCHAR) ELSE p_name END AS title, CASE WHEN NOT odd THEN 'text' END AS kind,
+        CASE WHEN blank THEN 0 ELSE 2 END AS n_blocks, CASE WHEN odd THEN 'unsupported' WHEN blank THEN 'empty' END AS error FROM ({_FILE})""")
+def parsed_files(spark, d):
+    """Files as documents: title, kind, number of blocks, what is wrong."""
+    s = F.col("p_size")
+    path = F.concat(F.lit("in/"), F.col("p_partkey").cast("string"), F.when(s < 5, ".bin").otherwise(".md"))
+    text = F.when(s > 45, " \n").otherwise(F.concat(F.lit("# "), "p_name", F.lit("\n\n \n\n"), "p_type"))
+    return sd.parse(table(spark, d, "part").select(path.alias("path"), text.alias("text")))
+
+
+@query("SELECT p_partkey, p_name || ' | ' || p_type || ' | ' || p_size AS text FROM part")
+def table_rows(spark, d):
+    """Rows of a document's tables as text."""
+    cells = F.array(F.concat(F.lit(" "), "p_name"), F.concat("p_type", F.lit("  ")), F.col("p_size").cast("string"))
+    return table(spark, d, "part").select("p_partkey", sd.table_text(cells).alias("text"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 20 THEN 'x = ' || p_size ELSE p_name END AS text FROM part")
+def better_extractions(spark, d):
+    """Of two extractions of a page the better one."""
+    first = F.when(F.col("p_size") < 20, "").otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", sd.better_of(first, F.concat(F.lit("x = "), F.col("p_size").cast("string"))).alias("text"))
+
+
+@query(f"""WITH {BLOCKS} SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, ordinal) - 1 AS ordinal, b.text, '[' || lang || ']' AS heading
+    FROM blocks b JOIN (SELECT doc_id, source, lang FROM documents) USING (doc_id) WHERE lang IS NOT NULL""")
+def concatenated_sources(spark, d):
+    """The blocks of a bundle's documents as one document."""
+    s = table(spark, d, "documents").where("lang is not null").select("source", F.col("doc_id").alias("idx"), F.col("lang").alias("name"), "doc_id")
+    return sd.concatenated(s, blocks(spark, d), "source")
+
+
+@query("""SELECT conv_id, count(*) AS files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, CAST(sum(turn) AS BIGINT) AS pages,
+        sha256(string_agg(sha256(text), '' ORDER BY turn)) AS digest FROM conversations GROUP BY 1""")
+def upload_jobs(spark, d):
+    """Totals and digest of each job's uploads."""
+    c = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("idx"), F.encode("text", "UTF-8").alias("content"), F.col("turn").alias("pages"))
+    return sd.upload_totals(c, "conv_id")
+
+
+@query("""SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}' AS json FROM customer""")
+def exported_json(spark, d):
+    """Rows as canonical JSON."""
+    return sd.export_json(table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_name"), "c_custkey")
+
+
+@query("""SELECT p_partkey AS doc_id, p_size AS page, 'text' AS category, p_name AS text, 0.1::DOUBLE AS x0, 0.1::DOUBLE AS y0, round((64 + 8 * p_size) / 640, 6) AS x1, 0.2::DOUBLE AS y1,
+        0.5::DOUBLE AS confidence, p_size BETWEEN 1 AND 72 AS valid FROM part""")
+def page_layout_blocks(spark, d):
+    """Blocks of page layouts with boxes as shares of the page."""
+    right = (64 + 8 * F.col("p_size")).cast("string")
+    json = F.concat(F.lit('[{"category":"text","text":"'), "p_name", F.lit('","bbox":[64,40,'), right, F.lit(',80]},{"category":"figure","text":"","bbox":[0,0,9,9]}]'))
+    layouts = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_size").alias("page"), F.lit(640.0).alias("width"), F.lit(400.0).alias("height"), F.lit(0.5).alias("confidence"), json.alias("json"))
+    b = sd.layout_blocks(layouts)
+    return b.select("doc_id", "page", "category", "text", *[F.get("bbox", i).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))], "confidence", "valid")
+
+
+@query("""WITH p AS (SELECT p_partkey, replace(p_name, ' ', '') AS a, lag(replace(p_name, ' ', '')) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b FROM part),
+        s AS (SELECT *, list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, CAST(i AS INTEGER), 2))) AS x, list_distinct(list_transform(range(1, length(b)), lambda i: substr(b, CAST(i AS INTEGER), 2))) AS y FROM p WHERE b IS NOT NULL)
+    SELECT p_partkey, CASE WHEN contains(a, b) OR contains(b, a) THEN 1 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END AS similarity FROM s""")
+def label_likenesses(spark, d):
+    """How alike labels are that follow each other."""
+    key = F.replace("p_name", F.lit(" "))
+    p = table(spark, d, "part").withColumn("a", key).withColumn("b", F.lag("a").over(Window.partitionBy("p_brand").orderBy("p_partkey"))).where("b is not null")
+    return p.select("p_partkey", tx.label_similarity(F.col("a"), F.col("b")).alias("similarity"))
+
+
+@query("SELECT event_id, props AS json FROM events")
+def answers_json(spark, d):
+    """The JSON inside a model's answer."""
+    answer = F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\nDone."))
+    return table(spark, d, "events").select("event_id", tx.outer_json(answer).alias("json"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size < 20 THEN 'chapter ' || p_size || ' ' || p_name WHEN p_size < 40 THEN '§' || p_size || '.2 ' || p_name END AS heading FROM part""")
+def page_headings(spark, d):
+    """Chapter and section headings of pages."""
+    n = F.col("p_size").cast("string")
+    first = F.when(F.col("p_size") < 20, F.concat(F.lit("## Chapter "), n, F.lit(":  "), "p_name")).when(F.col("p_size") < 40, F.concat(n, F.lit(" . 2 "), "p_name")).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", tx.infer_heading(F.concat(F.lit("\n7\n"), first, F.lit("\nbody"))).alias("heading"))
+
+
+@query("SELECT p_partkey, p_size || '/' || p_partkey || '*2<=alpha' AS key FROM part")
+def formula_texts(spark, d):
+    """LaTeX as plain signs."""
+    latex = F.concat(F.lit(r"\frac{"), F.col("p_size").cast("string"), F.lit("}{"), F.col("p_partkey").cast("string"), F.lit(r"} \times 2 \leq \Alpha"))
+    return table(spark, d, "part").select("p_partkey", tx.latex_canonical(latex).alias("key"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name || p_type AS t FROM part)
+    SELECT p_partkey, CASE WHEN length(t) <= 14 THEN t WHEN length(t) <= 28 THEN substr(t, 1, 14) || '|' || substr(t, 15) ELSE substr(t, 1, 14) || '|' || substr(t, 15, 14) || '…' END AS lines FROM p""")
+def wrapped_labels(spark, d):
+    """Labels in two lines."""
+    return table(spark, d, "part").select("p_partkey", F.array_join(tx.wrap_label(F.concat("p_name", "p_type")), "|").alias("lines"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 45 THEN '待复核课程要点' WHEN p_size > 40 THEN 'other' ELSE p_name END AS label FROM part")
+def short_labels(spark, d):
+    """Labels from the first clause of a text."""
+    text = F.concat(F.lit("## 3.2 "), "p_name", F.when(F.col("p_size") > 40, F.lit(" and something that is much too long")).otherwise(""), F.lit(": and more\nnext"))
+    return table(spark, d, "part").select("p_partkey", tx.short_label(text, F.when(F.col("p_size") > 45, " ").otherwise(" other")).alias("label"))
+
+
+@query("SELECT p_partkey, p_size < 30 AS low FROM part")
+def weak_pages(spark, d):
+    """Pages whose text says nothing."""
+    s = F.col("p_size")
+    text = F.when(s < 10, " \n").when(s < 20, "12\n").when(s < 30, "---").otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", tx.is_low_quality(text).alias("low"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size < 20 THEN p_name || '是蓝色的零件。' WHEN p_size < 40 THEN p_name || '是红色的零件。' END AS definition FROM part""")
+def repaired_definitions(spark, d):
+    """Definitions cut before their first broken place; none where nothing whole is left."""
+    s = F.col("p_size")
+    text = F.when(s < 20, F.concat("p_name", F.lit("是蓝色的零件。"))).when(s < 40, F.concat("p_name", F.lit("是红色的零件。由上式可得"))).otherwise("由上式可得")
+    return table(spark, d, "part").select("p_partkey", tx.repaired_definition(text).alias("definition"))
+
+
+@query("""WITH o AS (SELECT o_custkey, list(DISTINCT o_orderkey) AS own FROM orders GROUP BY 1), c AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'F' AS abstract, list_distinct([o_orderkey, o_orderkey + 1, o_orderkey + 2]) AS u FROM orders)
+    SELECT o_custkey, o_orderkey, CAST(len(list_intersect(u, own)) AS INTEGER) AS n_support FROM c JOIN o USING (o_custkey) WHERE len(list_intersect(u, own)) >= CASE WHEN abstract THEN 2 ELSE 1 END""")
+def verified_candidates(spark, d):
+    """Candidates with enough support in their branch."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    own = o.groupBy("o_custkey").agg(F.collect_set("o_orderkey").alias("own"))
+    c = o.select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").alias("abstract"), F.array(k, k + 1, k + 2).alias("u")).join(own, "o_custkey")
+    return cv.supported(c, "u", "own").select("o_custkey", "o_orderkey", "n_support")
+
+
+_BAND = "SELECT p_brand || p_name AS page, p_partkey AS id, p_type, p_size, CAST(80 + p_size AS DOUBLE) AS top FROM part"
+
+
+@query(f"""WITH p AS ({_BAND}), l AS (SELECT page, id AS line FROM p WHERE p_type = 'ECONOMY'), t AS (SELECT DISTINCT page, p_size, p_type, top FROM p WHERE p_type <> 'ECONOMY'),
+        j AS (SELECT page, line, string_agg(p_type, '' ORDER BY p_size, p_type) FILTER (top + 8 <= 101 AND 100 - (top + 8) <= 12) AS numerator,
+            string_agg(p_type, '' ORDER BY p_size, p_type) FILTER (top >= 99 AND top - 100 <= 12) AS denominator FROM l JOIN t USING (page) GROUP BY ALL)
+    SELECT * FROM j WHERE numerator IS NOT NULL AND denominator IS NOT NULL""")
+def rule_fractions(spark, d):
+    """Numerators and denominators at the rules of pages."""
+    s = F.col("p_size").cast("double")
+    p = table(spark, d, "part").withColumns({"page": F.concat("p_brand", "p_name"), "line": F.col("p_partkey"), "text": F.col("p_type")})
+    rules = p.where("p_type = 'ECONOMY'").select("page", "line", F.lit(0.0).alias("left"), F.lit(100.0).alias("right"), F.lit(100.0).alias("y"))
+    tokens = p.where("p_type <> 'ECONOMY'").select("page", s.alias("left"), (s + 5).alias("right"), (s + 80).alias("top"), (s + 88).alias("bottom"), "text")
+    return ly.fractions(rules, tokens)
+
+
+@query(f"""WITH p AS ({_BAND}), b AS (SELECT page, id FROM p WHERE p_type = 'ECONOMY'), t AS (SELECT page, p_type AS text, 10 + p_size / 10 AS l, top + 5 AS m FROM p WHERE p_type <> 'ECONOMY'),
+        j AS (SELECT page, id, CASE WHEN m < 105 THEN 'super' WHEN m > 115 THEN 'sub' END AS kind, l, text FROM b JOIN t USING (page) WHERE l - 10 BETWEEN 0 AND 4)
+    SELECT page, id, kind, arg_min(text, struct_pack(l := l, t := text)) AS script FROM j WHERE kind IS NOT NULL GROUP BY ALL""")
+def formula_scripts(spark, d):
+    """Super- and subscripts beside the bases of formulas."""
+    s = F.col("p_size")
+    p = table(spark, d, "part").withColumn("page", F.concat("p_brand", "p_name"))
+    bases = p.where("p_type = 'ECONOMY'").select("page", F.col("p_partkey").alias("id"), *[F.lit(v).alias(n) for n, v in (("left", 0.0), ("right", 10.0), ("top", 100.0), ("bottom", 120.0))])
+    tokens = p.where("p_type <> 'ECONOMY'").select("page", F.col("p_type").alias("text"), (10 + s / 10).alias("left"), (80.0 + s).alias("top"), (90.0 + s).alias("bottom"))
+    return ly.scripts(tokens, bases)
+
+
+@query(f"""WITH {TREE} SELECT t.id, CASE WHEN t.parent IS NULL THEN '' WHEN p.parent IS NULL THEN p.id WHEN g.parent IS NULL THEN g.id || '>' || p.id ELSE h.id || '>' || g.id || '>' || p.id END AS ancestors,
+        count(*) OVER (PARTITION BY t.parent) - 1 AS siblings FROM tree t LEFT JOIN tree p ON t.parent = p.id LEFT JOIN tree g ON p.parent = g.id LEFT JOIN tree h ON g.parent = h.id""")
+def branch_contexts(spark, d):
+    """What a branch is told of the tree above it."""
+    return tr.context_of(tree(spark, d))
+
+
+@query(f"""WITH {TREE} SELECT CASE WHEN id = 'n1' THEN 'r0' ELSE parent END AS source, id AS target, CASE WHEN id = 'n1' THEN 0.9 ELSE (pos % 10) / 10 END AS score
+    FROM tree WHERE parent IS NOT NULL""")
+def changed_parents(spark, d):
+    """A tree's edges after a node is moved under another parent."""
+    e = tree(spark, d).where("parent is not null").select(F.col("parent").alias("source"), F.col("id").alias("target"), ((F.col("pos") % 10) / 10).alias("score"))
+    alternatives = spark.range(1).select(F.lit("n1").alias("child"), F.lit("r0").alias("parent"), F.lit("direct_parent").alias("classification"), F.lit(True).alias("has_evidence"), F.lit(0.9).alias("score"))
+    return tr.change_parent(e, alternatives, "n1", "r0")
