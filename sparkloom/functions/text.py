@@ -306,11 +306,16 @@ def definition_issues(c: Column) -> Column:
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(t, F.lit(code)) for code, t in tests.items()])))
 
 
-def field_action(label: Column, definition: Column) -> Column:
-    """What to do with a candidate whose label and definition have these issues."""
-    bad, worse = F.size(label) > 0, F.size(definition) > 0
-    hopeless = F.exists(label, lambda x: x.isin("empty", "generic", "control_character"))
-    return F.when(hopeless & worse, "reject_entire_node").when(hopeless, "reextract_candidate").when(bad & worse, "repair_label_and_trim_definition_keep_claim").when(bad, "repair_label_keep_claim").when(worse, "trim_definition_keep_claim").otherwise("accept")
+def field_action(label: Column, definition: Column, label_mends: Column, definition_mends: Column, explicit: Column) -> Column:
+    """What to do with a candidate whose label and definition have these issues. Whether a safe repair of either is
+    there is given; a definition only counts where the candidate is `explicit` (stated in the text, no structural node)."""
+    bad, worse = F.size(label) > 0, explicit & (F.size(definition) > 0)
+    of_label = F.when(~label_mends, F.when(worse, "reject_entire_node").otherwise("reextract_candidate")).when(~worse, "repair_label_keep_claim")
+    return (
+        F.when(bad, F.coalesce(of_label, F.when(definition_mends, "repair_label_and_trim_definition_keep_claim").otherwise("reextract_candidate")))
+        .when(worse, F.when(definition_mends, "trim_definition_keep_claim").otherwise("reextract_candidate"))
+        .otherwise("accept")
+    )
 
 
 def clean_name(c: Column) -> Column:
@@ -334,9 +339,18 @@ def short_label(c: Column, fallback: Column, longest: int = 32) -> Column:
     return F.when(is_publishable(label) & (F.length(label) <= longest), label).when(is_publishable(other), other).otherwise(UNNAMED)
 
 
+#: Excerpts that say nothing, relations and signs in an excerpt.
+GENERIC_EXCERPTS = ("主要内容", "基本内容", "相关内容", "重要内容", "基本概念", "核心概念", "主要概念", "基本原理", "主要原理", "实验结果", "重要结论", "相关知识点", "本章内容", "如图所示", "具体如下", "定义如下")
+EXCERPT_RELATION = r"(?:<=|>=|==|!=|[=<>≤≥≈→⇒∝])"
+EXCERPT_SIGN = "[=<>≤≥≈+*/∫∑√-]"
+
+
 def is_specific(c: Column) -> Column:
-    """Enough CJK or alphanumeric characters, or a relation with two sides."""
-    return (F.regexp_count(c, F.lit(r"[㐀-鿿]")) >= 3) | (F.regexp_count(c, F.lit(r"[A-Za-z0-9]")) >= 6) | is_formula(c)
+    """Whether a normalized excerpt says something of its own: three CJK characters, six letters or digits, a relation
+    with two sides, or three characters and a sign; a stock phrase never does."""
+    said = F.regexp_replace(c, r"[^\p{L}\p{N}]", "")
+    related = c.rlike(rf"(?s)[\p{{L}}\p{{N}}].*{EXCERPT_RELATION}.*[\p{{L}}\p{{N}}]")
+    return ~said.isin(*GENERIC_EXCERPTS) & ((F.regexp_count(said, F.lit(r"[㐀-鿿]")) >= 3) | (F.length(said) >= 6) | related | ((F.length(said) >= 3) & c.rlike(EXCERPT_SIGN)))
 
 
 def bigrams(key: Column) -> Column:

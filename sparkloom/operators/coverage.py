@@ -194,6 +194,14 @@ def supported(candidates: DataFrame, units: str, branch_units: str, least: int =
     return candidates.withColumn("n_support", n).where(n >= F.when(F.col("abstract"), abstract_least).otherwise(least))
 
 
+def verified(nodes: DataFrame, valid: str) -> DataFrame:
+    """nodes (origin, evidence, support, optional) that a branch may keep: stated ones with evidence in its valid units,
+    optional abstract and structural ones with two of them as support; all others stay."""
+    stated = (F.col("origin") == "explicit") & ~F.arrays_overlap("evidence", valid)
+    weak = F.col("origin").isin("abstractive", "structural") & F.col("optional") & (F.size(F.array_intersect("support", valid)) < 2)
+    return nodes.where(~(stated | weak))
+
+
 def signal_pages(blocks: DataFrame, page: str, text: str, least: int = 12) -> DataFrame:
     """Pages with a block of enough letters and digits."""
     return blocks.where(F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")) >= least).select(page).distinct()
@@ -203,17 +211,24 @@ def coordinate(page: Column, slide: Column) -> Column:
     return F.coalesce(page, slide)
 
 
+def source_place(page: Column, slide: Column) -> Column:
+    """struct that sorts places: pages before slides, what has no place last."""
+    kind = F.when(page.isNotNull(), 0).when(slide.isNotNull(), 1).otherwise(2)
+    return F.struct(kind.alias("kind"), F.coalesce(page, slide).alias("at"))
+
+
 def in_source_order(units: DataFrame, by: str) -> DataFrame:
-    """units (kind, page, slide, idx, id) numbered by place: those without a place last, text before pictures."""
-    at = coordinate(F.col("page"), F.col("slide"))
-    w = Window.partitionBy(by).orderBy(at.asc_nulls_last(), F.col("kind") != "text", "idx", "id")
+    """units (kind, page, slide, idx, id) numbered by place: pages before slides, those without a place last, text
+    before pictures, then the order they came in."""
+    w = Window.partitionBy(by).orderBy(source_place(F.col("page"), F.col("slide")), F.col("kind") != "text", "idx", "id")
     return units.withColumn("place", F.row_number().over(w))
 
 
 def plan_places(members: DataFrame) -> DataFrame:
-    """The first place of each plan's units (plan, at); plans without one come last."""
-    p = members.groupBy("plan").agg(F.min("at").alias("at"))
-    return numbered(p, [F.col("at").asc_nulls_last(), F.col("plan")], "place")
+    """Plans by the first place of their units (plan, n, page, slide): pages before slides, plans without a place last;
+    among equals by the plan's number n, then its id."""
+    p = members.groupBy("plan").agg(F.min("n").alias("n"), F.min(source_place(F.col("page"), F.col("slide"))).alias("at"))
+    return numbered(p, [F.col("at"), F.col("n"), F.col("plan")], "place")
 
 
 def owners(seeds: DataFrame) -> DataFrame:

@@ -201,19 +201,46 @@ def shared_support(edges: DataFrame, units: DataFrame, most: int = 4) -> DataFra
     return j.select("parent", "child", F.size(both).alias("n_shared"), F.array_join(F.slice(both, 1, most), ",").alias("shared"))
 
 
-def heuristic_vote(same_branch: Column, parent_role: Column, child_role: Column, contained: Column) -> Column:
-    """struct(classification, score) without a model: the first rule that applies."""
+#: Roles that head nothing.
+NO_PARENTS = ("example", "warning", "formula", "step")
 
-    def vote(kind: str, score: float) -> Column:
-        return F.struct(F.lit(kind).alias("classification"), F.lit(score).alias("score"))
 
-    return F.when(parent_role == child_role, F.when(contained, vote("ancestor_only", 0.5)).otherwise(vote("sibling", 0.3))).when(same_branch & (parent_role == "branch_topic"), vote("direct_parent", 0.72)).when(same_branch & contained, vote("direct_parent", 0.66)).when(same_branch, vote("uncertain", 0.45)).otherwise(vote("unrelated", 0.1))
+def heuristic_vote(root: Column, parent_role: Column, child_role: Column, parent_branch: Column, child_branch: Column, named: Column, provisional: Column, kind: Column, score: Column) -> Column:
+    """struct(classification, score) without a model: by the first rule that fits a candidate (kind, score) of a parent,
+    which may be the root, and a child, whose name or definition may hold the parent's name (`named`)."""
+
+    def vote(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("classification"), value.alias("score"))
+
+    def at_least(low: float) -> Column:
+        return F.greatest(score, F.lit(low))
+
+    def at_most(high: float, s: Column = score) -> Column:
+        return F.least(s, F.lit(high))
+
+    apart = (parent_branch != "") & (child_branch != "") & (parent_branch != child_branch)
+    rules = (
+        (root & (child_role == "branch_topic"), vote("direct_parent", at_least(0.94))),
+        (root, vote("ancestor_only", at_most(0.62, at_least(0.4)))),
+        ((parent_role == "branch_topic") & parent_branch.eqNullSafe(child_branch), vote("direct_parent", at_least(0.82))),
+        (apart, vote("unrelated", at_most(0.28))),
+        (parent_role.isin(*NO_PARENTS), vote("sibling", at_most(0.3))),
+        (named, vote("direct_parent", at_least(0.72))),
+        (provisional, vote("uncertain", score)),
+    )
+    found = F.coalesce(*[F.when(test, v) for test, v in rules], F.struct(kind.alias("classification"), score.alias("score")))
+    return F.struct(found["classification"].alias("classification"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), found["score"])), 4).alias("score"))
+
+
+#: What remains of a parent score by the class of its vote.
+VOTE_FACTORS = {"ancestor_only": 0.55, "sibling": 0.3, "cross_link": 0.3, "unrelated": 0.1, "uncertain": 0.45}
 
 
 def with_vote(score: Column, kind: Column, vote: Column) -> Column:
-    """A parent score after a vote: blended if it confirms, damped by its class otherwise."""
-    blended = 0.4 * score + 0.6 * vote
-    return F.round(F.when(kind == "direct_parent", blended).when(kind == "ancestor_only", 0.6 * blended).when(kind.isin("sibling", "cross_link"), 0.35 * blended).otherwise(0.25 * score), 4)
+    """A parent score after a verified vote: blended, the more of it if the vote confirms, damped by its class else."""
+    blend = F.when(kind == "direct_parent", 0.45 * score + 0.55 * vote).otherwise(0.35 * score + 0.25 * vote)
+    factors = F.create_map(*[F.lit(x) for kv in VOTE_FACTORS.items() for x in kv])
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), blend * F.coalesce(F.try_element_at(factors, kind), F.lit(1.0)))), 4)
 
 
 def scope_ids(arrays: list[Column]) -> Column:

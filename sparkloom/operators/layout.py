@@ -151,12 +151,14 @@ def merge_labels(blocks: DataFrame, by: list[str], order: str, is_label: Column,
 
 
 def clipped_box(left: Column, top: Column, width: Column, height: Column, page_w: float, page_h: float) -> Column:
-    """A box as shares of its page, within 0..1."""
+    """A box x, y, width, height as shares of its page, within 0..1."""
 
-    def share(v: Column, whole: float) -> Column:
-        return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / whole)), 6)
+    def span(low: Column, size: Column, whole: float) -> tuple[Column, Column]:
+        start = F.least(F.greatest(low / whole, F.lit(0.0)), F.lit(1.0))
+        return start, F.least(F.greatest((low + size) / whole, start), F.lit(1.0)) - start
 
-    return F.array(share(left, page_w), share(top, page_h), share(left + width, page_w), share(top + height, page_h))
+    (x, w), (y, h) = span(left, width, page_w), span(top, height, page_h)
+    return F.array(*[F.round(v, 6) for v in (x, y, w, h)])
 
 
 def fractions(lines: DataFrame, tokens: DataFrame, near: float = 12, beside: float = 3) -> DataFrame:

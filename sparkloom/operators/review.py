@@ -39,19 +39,25 @@ def split_valid(items: DataFrame, issues: str) -> tuple[DataFrame, DataFrame]:
     return items.where(F.size(issues) == 0), grouped
 
 
-#: Issues for which a node may be dropped.
-DISCARDABLE = ("too_short", "generic", "sentence_fragment", "dangling_prefix", "dangling_suffix", "ellipsis")
+#: Issues for which a node may be dropped: codes that end so or hold a label issue.
+DISCARDABLE = r":(?:confidence_below_threshold|evidence_not_specific|field_reextract_candidate)$|:label_"
 
 
 def may_discard(issues: Column) -> Column:
     """There are issues, and all are of the discardable kind."""
-    return (F.size(issues) > 0) & F.forall(issues, lambda x: x.isin(*DISCARDABLE))
+    return (F.size(issues) > 0) & F.forall(issues, lambda x: x.rlike(DISCARDABLE))
 
 
-def discard_eligible(role: Column, importance: Column, category: Column, text: Column, marker: str = r"(?i)page|header|footer") -> Column:
-    """Protected roles stay; the rest goes by importance bands per category or by a marker in the text."""
-    band = F.when(category == "decoration", 0.7).when(category == "navigation", 0.6).otherwise(0.3)
-    return ~role.isin("definition", "formula", "principle") & ((importance < band) | text.rlike(marker))
+#: Roles that stay, and words of passages that may go.
+KEPT_ROLES = ("definition", "principle", "step", "formula", "warning")
+PASSING = r"(?i)简介|介绍|科普|背景|拓展|扩展阅读|延伸阅读|趣闻|导入|历史沿革|人物生平|前言|绪论|了解即可|知识窗|小资料|introduction|background|further reading|fun fact|overview"
+
+
+def discard_eligible(status: Column, role: Column, importance: Column, category: Column, source: Column) -> Column:
+    """Whether a proposal may discard a unit: one in use, of no protected role, that matters little at the edge, or not
+    much in a passage whose words say that it is by the way."""
+    little = F.when(category == "edge", importance <= 0.35).otherwise((importance <= 0.55) & source.rlike(PASSING))
+    return status.isin("uncovered", "covered") & ~F.coalesce(role, F.lit("")).isin(*KEPT_ROLES) & (importance < 0.7) & little
 
 
 def structure_reviews(edges: DataFrame, gap: float = 0.08) -> DataFrame:
@@ -83,11 +89,14 @@ def decision_records(nodes: DataFrame, active: DataFrame, edges: DataFrame) -> D
     return n.unionByName(edges.select(F.concat(F.lit("edge:"), F.col("source").cast("string"), F.lit(">"), F.col("target").cast("string")).alias("subject"), F.lit("selected").alias("decision")))
 
 
-def subject_of(explicit: Column, others: Column, parents: Column, existing: Column) -> Column:
-    """The node that a review is about: the one it names, else the only one that is no parent, else the first that is there."""
-    lone = F.array_except(others, parents)
-    there = F.array_intersect(others, existing)
-    return F.coalesce(explicit, F.when(F.size(lone) == 1, F.get(lone, 0)), F.get(there, 0))
+def subject_of(kind: Column, subjects: Column, root: Column, targets: Column) -> Column:
+    """struct(id, what): what a review is about, by its kind: the root, the only selected edge's target (`targets`)
+    among its subjects, a cross link, else a node; the first subject, or the root where there is none."""
+    first = F.coalesce(F.get(subjects, 0), root)
+    lone = F.array_distinct(F.array_intersect(targets, subjects))
+    edge = (kind == "competing_parent") & (F.size(lone) == 1)
+    what = F.when(kind == "root_choice", "root").when(edge, "tree_edge").when(kind == "cross_link", "cross_link").otherwise("node")
+    return F.struct(F.when(kind == "root_choice", root).when(edge, F.get(lone, 0)).otherwise(first).alias("id"), what.alias("what"))
 
 
 def node_states(nodes: DataFrame, reviews: DataFrame) -> DataFrame:

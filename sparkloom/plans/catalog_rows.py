@@ -197,13 +197,13 @@ def box_ious(spark, d):
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "x", overlap.alias("iou"))
 
 
-@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * 20 - 100 AS l, l_linenumber * 30 AS t FROM lineitem)
-    SELECT l_orderkey, l_linenumber, l_partkey, greatest(0, least(1, l / 640)) AS x0, least(1, t / 400) AS y0, greatest(0, least(1, (l + 80) / 640)) AS x1, least(1, (t + 40) / 400) AS y1 FROM b""")
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, least(1, greatest(0, (l_quantity * 20 - 100) / 640)) AS x, least(1, l_linenumber * 80 / 400) AS y, (l_quantity * 20 - 20) / 640 AS r, (l_linenumber * 80 + 40) / 400 AS b FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, x, y, round(least(1, greatest(x, r)) - x, 6) AS w, round(least(1, greatest(y, b)) - y, 6) AS h FROM b""")
 def clipped_boxes(spark, d):
     """Boxes as shares of their page."""
-    box = ly.clipped_box(F.col("l_quantity") * 20 - 100, F.col("l_linenumber") * 30, F.lit(80), F.lit(40), 640, 400)
+    box = ly.clipped_box(F.col("l_quantity") * 20 - 100, F.col("l_linenumber") * 80, F.lit(80), F.lit(40), 640, 400)
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", box.alias("b"))
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", *[F.get("b", i).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", *[F.get("b", i).alias(n) for i, n in enumerate("xywh")])
 
 
 _ROLE = "CASE p_type WHEN 'ECONOMY' THEN 'definition' WHEN 'STANDARD' THEN 'formula' WHEN 'PROMO' THEN 'example' ELSE lower(p_type) END"
@@ -214,8 +214,7 @@ def _role():
     return F.when(t == "ECONOMY", "definition").when(t == "STANDARD", "formula").when(t == "PROMO", "example").otherwise(F.lower(t))
 
 
-@query(f"""SELECT p_partkey, round(greatest(0, least(1, 0.6::DOUBLE * CASE {_ROLE} WHEN 'definition' THEN 0.9::DOUBLE WHEN 'formula' THEN 0.86::DOUBLE WHEN 'example' THEN 0.55::DOUBLE ELSE 0.6::DOUBLE END
-        + 0.4::DOUBLE * (p_size / 50::DOUBLE))), 4) AS weight FROM part""")
+@query(f"""SELECT p_partkey, greatest(0, least(1, CASE WHEN {_ROLE} IN ('definition', 'principle', 'formula') THEN 0.84::DOUBLE ELSE 0.74::DOUBLE END * 0.6::DOUBLE + (p_size / 50::DOUBLE) * 0.4::DOUBLE)) AS weight FROM part""")
 def node_weights(spark, d):
     """How much a node matters by its role and confidence."""
     return table(spark, d, "part").select("p_partkey", sg.node_weight(_role(), F.col("p_size") / 50).alias("weight"))
@@ -228,11 +227,12 @@ def numbered_units(spark, d):
     return sg.page_units(table(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
-@query("""SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_linenumber <= 3 THEN 'page' ELSE 'block' END AS kind,
-        CASE WHEN l_linenumber <= 3 THEN l_linenumber ELSE l_linenumber - 3 END AS "local" FROM lineitem""")
+@query("""SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_returnflag = 'R' OR (l_returnflag = 'A' AND l_linenumber > 3) THEN 'text' ELSE 'slide' END AS kind,
+        CASE WHEN l_returnflag = 'A' AND l_linenumber > 3 THEN l_linenumber - 3 ELSE l_linenumber END AS "local" FROM lineitem""")
 def source_references(spark, d):
-    """Global numbers as pages and blocks."""
-    ref = sg.source_reference(F.col("l_linenumber"), F.lit(3))
+    """Global numbers of a source as slides and texts."""
+    flag = F.col("l_returnflag")
+    ref = sg.source_reference(F.col("l_linenumber"), F.when(flag == "R", "text").when(flag == "A", "mixed").otherwise("slides"), F.lit(3))
     return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", ref.alias("r")).select("l_orderkey", "l_partkey", "l_linenumber", "r.kind", "r.local")
 
 
@@ -270,29 +270,34 @@ def page_candidates(spark, d):
     return sg.page_records(table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(nodes.alias("nodes")), "nodes")
 
 
-_LAGGED = "SELECT *, lag(p_type) OVER w AS parent_type, lag(split_part(p_name, ' ', 1)) OVER w AS word FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)"
+_LAGGED = "SELECT *, lag(p_type) OVER w AS parent_type, lag(p_size) OVER w AS s, lag(split_part(p_name, ' ', 1)) OVER w AS word FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)"
 
 
-@query(f"""WITH p AS ({_LAGGED}), q AS (SELECT *, CASE parent_type WHEN 'ECONOMY' THEN 'branch_topic' ELSE parent_type END AS parent_role, contains(p_name, word) AS held, p_size > 20 AS near FROM p WHERE word IS NOT NULL),
-        v AS (SELECT p_partkey, CASE WHEN parent_role = p_type THEN CASE WHEN held THEN 'ancestor_only' ELSE 'sibling' END WHEN near AND (parent_role = 'branch_topic' OR held) THEN 'direct_parent' WHEN near THEN 'uncertain' ELSE 'unrelated' END AS classification, parent_role FROM q)
-    SELECT p_partkey, classification, CASE classification WHEN 'ancestor_only' THEN 0.5::DOUBLE WHEN 'sibling' THEN 0.3::DOUBLE WHEN 'uncertain' THEN 0.45::DOUBLE WHEN 'unrelated' THEN 0.1::DOUBLE ELSE CASE parent_role WHEN 'branch_topic' THEN 0.72::DOUBLE ELSE 0.66::DOUBLE END END AS score FROM v""")
+@query(f"""WITH p AS ({_LAGGED}), q AS (SELECT *, s > 45 AS root, CASE WHEN p_size > 40 THEN 'branch_topic' ELSE lower(p_type) END AS child_role, CASE parent_type WHEN 'ECONOMY' THEN 'branch_topic' WHEN 'PROMO' THEN 'step' ELSE parent_type END AS parent_role,
+            s % 3 = p_size % 3 AS together, contains(p_name, word) AS named FROM p WHERE word IS NOT NULL),
+        k AS (SELECT *, CASE WHEN root AND child_role = 'branch_topic' THEN 1 WHEN root THEN 2 WHEN parent_role = 'branch_topic' AND together THEN 3 WHEN NOT together THEN 4 WHEN parent_role = 'step' THEN 5 WHEN named THEN 6 WHEN p_size < 20 THEN 7 ELSE 8 END AS rule, p_size / 50 AS c FROM q)
+    SELECT p_partkey, ['direct_parent', 'ancestor_only', 'direct_parent', 'unrelated', 'sibling', 'direct_parent', 'uncertain', 'recalled'][rule] AS classification,
+        CASE rule WHEN 1 THEN greatest(c, 0.94) WHEN 2 THEN least(greatest(c, 0.4), 0.62) WHEN 3 THEN greatest(c, 0.82) WHEN 4 THEN least(c, 0.28) WHEN 5 THEN least(c, 0.3) WHEN 6 THEN greatest(c, 0.72) ELSE c END::DOUBLE AS score FROM k""")
 def parent_votes(spark, d):
     """Votes on parents without a model."""
     w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    p = table(spark, d, "part").withColumns({"t": F.lag("p_type").over(w), "word": F.lag(F.get(_words("p_name"), 0)).over(w)}).where("word is not null")
-    role = F.when(F.col("t") == "ECONOMY", "branch_topic").otherwise(F.col("t"))
-    vote = gr.heuristic_vote(F.col("p_size") > 20, role, F.col("p_type"), F.contains("p_name", "word"))
+    s = F.col("p_size")
+    p = table(spark, d, "part").withColumns({"t": F.lag("p_type").over(w), "s": F.lag(s).over(w), "word": F.lag(F.get(_words("p_name"), 0)).over(w)}).where("word is not null")
+    role = F.when(F.col("t") == "ECONOMY", "branch_topic").when(F.col("t") == "PROMO", "step").otherwise(F.col("t"))
+    child = F.when(s > 40, "branch_topic").otherwise(F.lower("p_type"))
+    branches = [(c % 3).cast("string") for c in (F.col("s"), s)]
+    vote = gr.heuristic_vote(F.col("s") > 45, role, child, *branches, F.contains("p_name", "word"), s < 20, F.lit("recalled"), s / 50)
     return p.select("p_partkey", vote.alias("v")).select("p_partkey", "v.*")
 
 
-@query("""WITH p AS (SELECT p_partkey, p_size / 100::DOUBLE AS s, CASE p_type WHEN 'ECONOMY' THEN 'direct_parent' WHEN 'STANDARD' THEN 'ancestor_only' WHEN 'PROMO' THEN 'sibling' ELSE 'unrelated' END AS k FROM part),
-        b AS (SELECT *, 0.4::DOUBLE * s + 0.6::DOUBLE * 0.5::DOUBLE AS b FROM p)
-    SELECT p_partkey, round(CASE k WHEN 'direct_parent' THEN b WHEN 'ancestor_only' THEN 0.6::DOUBLE * b WHEN 'sibling' THEN 0.35::DOUBLE * b ELSE 0.25::DOUBLE * s END, 4) AS score FROM b""")
+@query("""WITH p AS (SELECT p_partkey, p_size / 25::DOUBLE AS s, CASE p_type WHEN 'ECONOMY' THEN 'direct_parent' WHEN 'STANDARD' THEN 'ancestor_only' WHEN 'PROMO' THEN 'sibling' ELSE 'unrelated' END AS k FROM part),
+        b AS (SELECT *, CASE k WHEN 'direct_parent' THEN 0.45::DOUBLE * s + 0.55::DOUBLE * 0.8::DOUBLE ELSE 0.35::DOUBLE * s + 0.25::DOUBLE * 0.8::DOUBLE END AS b FROM p)
+    SELECT p_partkey, round(least(1, b * CASE k WHEN 'direct_parent' THEN 1::DOUBLE WHEN 'ancestor_only' THEN 0.55::DOUBLE WHEN 'sibling' THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END), 4) AS score FROM b""")
 def voted_scores(spark, d):
-    """Parent scores after a vote of one half."""
+    """Parent scores after a vote of .8."""
     t = F.col("p_type")
     kind = F.when(t == "ECONOMY", "direct_parent").when(t == "STANDARD", "ancestor_only").when(t == "PROMO", "sibling").otherwise("unrelated")
-    return table(spark, d, "part").select("p_partkey", gr.with_vote(F.col("p_size") / 100, kind, F.lit(0.5)).alias("score"))
+    return table(spark, d, "part").select("p_partkey", gr.with_vote(F.col("p_size") / 25, kind, F.lit(0.8)).alias("score"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, array_to_string(list_sort(list_distinct([l_partkey, l_suppkey, l_orderkey, l_suppkey])), ',') AS ids FROM lineitem")
@@ -337,13 +342,13 @@ def report_faults(spark, d):
     return rv.checked_report(issues, table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id")))
 
 
-@query("SELECT p_partkey, p_size >= 5 AND (p_type = 'ECONOMY' OR p_retailprice > 950) AS eligible FROM part")
+@query("SELECT p_partkey, p_size >= 5 AND (p_size > 45 OR p_type = 'ECONOMY' OR p_retailprice > 950) AS eligible FROM part")
 def eligible_nodes(spark, d):
-    """Nodes that a tree may have: a label without issues, and support."""
+    """Nodes that a tree may have: a label without issues, and support or a claim to the root."""
     issues = F.when(F.col("p_size") < 5, F.array(F.lit("too_short"))).otherwise(_empty())
     support = F.when(F.col("p_type") == "ECONOMY", F.array("p_name")).otherwise(_empty())
     evidence = F.when(F.col("p_retailprice") > 950, F.array("p_name")).otherwise(_empty())
-    return table(spark, d, "part").select("p_partkey", tr.is_eligible(issues, support, evidence).alias("eligible"))
+    return table(spark, d, "part").select("p_partkey", tr.is_eligible(issues, F.col("p_size") > 45, evidence, support).alias("eligible"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_size < 3 OR p_size + 5 > 45 THEN 'page' ELSE 'depth' END AS fault FROM part WHERE p_size < 3 OR p_size + 5 > 45 OR p_size > 30")
@@ -364,12 +369,18 @@ def confirmed_edges(spark, d):
     return tr.confirm_edge(e, lone.where("n = 1 and ok").agg(F.min("target")).first()[0])
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size > 40 OR (p_size > 20 AND p_partkey <> p_size) THEN p_partkey ELSE p_size END AS subject FROM part""")
+@query("""WITH p AS (SELECT *, ['root_choice', 'competing_parent', 'cross_link', 'label'][1 + p_size % 4] AS kind FROM part)
+    SELECT p_partkey, CASE WHEN kind = 'root_choice' OR (kind <> 'competing_parent' AND p_size > 40) THEN -1 WHEN kind = 'competing_parent' AND p_size <= 20 THEN p_partkey + 1000000 WHEN p_size > 40 THEN -1 ELSE p_partkey END AS id,
+        CASE WHEN kind = 'root_choice' THEN 'root' WHEN kind = 'competing_parent' AND p_size <= 20 THEN 'tree_edge' WHEN kind = 'cross_link' THEN 'cross_link' ELSE 'node' END AS what FROM p""")
 def review_subjects(spark, d):
-    """The node that each review is about."""
-    k, s = F.col("p_partkey"), F.col("p_size").cast("long")
-    parents = F.when(s > 20, F.array(s)).otherwise(F.array(F.lit(-1).cast("long")))
-    return table(spark, d, "part").select("p_partkey", rv.subject_of(F.when(s > 40, k), F.array(k, s), parents, F.array(s)).alias("subject"))
+    """What each review is about."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    other = k + 1_000_000
+    none = F.array().cast("array<bigint>")
+    kind = F.get(F.array(*[F.lit(x) for x in ("root_choice", "competing_parent", "cross_link", "label")]), s % 4)
+    subjects = F.when(s > 40, none).otherwise(F.array(k, other))
+    targets = F.when(s <= 20, F.array(other, F.lit(-2).cast("long"))).otherwise(F.array(k, other))
+    return table(spark, d, "part").select("p_partkey", rv.subject_of(kind, subjects, F.lit(-1).cast("long"), targets).alias("v")).select("p_partkey", "v.*")
 
 
 @query(f"""WITH {BLOCKS} SELECT DISTINCT doc_id FROM blocks WHERE length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 12""")
@@ -380,7 +391,7 @@ def signal_pages(spark, d):
 
 @query("""WITH u AS (SELECT l_suppkey, CASE l_returnflag WHEN 'R' THEN 'image' ELSE 'text' END AS kind, CASE WHEN l_linestatus = 'F' THEN l_linenumber END AS page,
             CASE WHEN l_returnflag <> 'N' THEN l_linenumber + 1 END AS slide, l_orderkey AS idx, l_partkey AS id FROM lineitem)
-    SELECT l_suppkey, idx, id, row_number() OVER (PARTITION BY l_suppkey ORDER BY coalesce(page, slide) NULLS LAST, kind <> 'text', idx, id) AS place FROM u""")
+    SELECT l_suppkey, idx, id, row_number() OVER (PARTITION BY l_suppkey ORDER BY CASE WHEN page IS NOT NULL THEN 0 WHEN slide IS NOT NULL THEN 1 ELSE 2 END, coalesce(page, slide) NULLS FIRST, kind <> 'text', idx, id) AS place FROM u""")
 def source_order(spark, d):
     """Units in order of their sources."""
     n = F.col("l_linenumber")
@@ -389,12 +400,13 @@ def source_order(spark, d):
     return cv.in_source_order(u, "l_suppkey").select("l_suppkey", "idx", "id", "place")
 
 
-@query("""WITH p AS (SELECT o_custkey AS plan, min(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS first FROM orders GROUP BY 1)
-    SELECT plan, row_number() OVER (ORDER BY first NULLS LAST, plan) AS place FROM p""")
+@query("""WITH o AS (SELECT o_custkey AS plan, min(o_orderkey) AS n, min(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS page, min(CASE WHEN o_orderstatus = 'O' THEN o_orderkey // 8 END) AS slide FROM orders GROUP BY 1)
+    SELECT plan, row_number() OVER (ORDER BY CASE WHEN page IS NOT NULL THEN 0 WHEN slide IS NOT NULL THEN 1 ELSE 2 END, coalesce(page, slide), n, plan) AS place FROM o""")
 def plan_order(spark, d):
     """Plans by the first place of their units."""
-    o = table(spark, d, "orders")
-    return cv.plan_places(o.select(F.col("o_custkey").alias("plan"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")).alias("at"))).select("plan", "place")
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    members = table(spark, d, "orders").select(F.col("o_custkey").alias("plan"), k.alias("n"), F.when(status == "F", k).alias("page"), F.when(status == "O", F.floor(k / 8)).alias("slide"))
+    return cv.plan_places(members).select("plan", "place")
 
 
 @query("""WITH o AS (SELECT l_partkey AS node, min(l_orderkey) AS unit FROM lineitem GROUP BY 1)
@@ -486,22 +498,25 @@ def unmarked_texts(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", tx.without_page_markers(text).alias("text"))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_type = 'PROMO' AS hopeless, p_type IN ('PROMO', 'ECONOMY') AS bad, p_size > 25 AS worse FROM part)
-    SELECT p_partkey, CASE WHEN hopeless AND worse THEN 'reject_entire_node' WHEN hopeless THEN 'reextract_candidate' WHEN bad AND worse THEN 'repair_label_and_trim_definition_keep_claim'
-        WHEN bad THEN 'repair_label_keep_claim' WHEN worse THEN 'trim_definition_keep_claim' ELSE 'accept' END AS action FROM p""")
+@query("""WITH p AS (SELECT p_partkey, p_type IN ('PROMO', 'ECONOMY') AS bad, p_size > 25 AND p_type <> 'LARGE' AS worse, p_retailprice > 950 AS mends, p_size % 2 = 0 AS trims FROM part)
+    SELECT p_partkey, CASE WHEN bad AND NOT mends THEN CASE WHEN worse THEN 'reject_entire_node' ELSE 'reextract_candidate' END WHEN bad AND worse THEN CASE WHEN trims THEN 'repair_label_and_trim_definition_keep_claim' ELSE 'reextract_candidate' END
+        WHEN bad THEN 'repair_label_keep_claim' WHEN worse THEN CASE WHEN trims THEN 'trim_definition_keep_claim' ELSE 'reextract_candidate' END ELSE 'accept' END AS action FROM p""")
 def field_actions(spark, d):
     """What to do with candidates by the issues of their fields."""
-    label = F.when(F.col("p_type") == "PROMO", F.array(F.lit("too_long"), F.lit("generic"))).when(F.col("p_type") == "ECONOMY", F.array(F.lit("ellipsis"))).otherwise(_empty())
+    label = F.when(F.col("p_type").isin("PROMO", "ECONOMY"), F.array(F.lit("ellipsis"))).otherwise(_empty())
     definition = F.when(F.col("p_size") > 25, F.array(F.lit("dependent_fragment"))).otherwise(_empty())
-    return table(spark, d, "part").select("p_partkey", tx.field_action(label, definition).alias("action"))
+    action = tx.field_action(label, definition, F.col("p_retailprice") > 950, F.col("p_size") % 2 == 0, F.col("p_type") != "LARGE")
+    return table(spark, d, "part").select("p_partkey", action.alias("action"))
 
 
-@query("""WITH p AS (SELECT p_partkey, substr(p_name, 1, p_size % 12) || CASE WHEN p_size > 45 THEN ' x = 3' ELSE '' END AS t, p_size FROM part)
-    SELECT p_partkey, length(regexp_replace(t, '[^A-Za-z0-9]', '', 'g')) >= 6 OR p_size > 45 AS specific FROM p""")
+@query("""WITH p AS (SELECT p_partkey, p_size, substr(p_name, 1, p_size % 7) AS t FROM part), x AS (SELECT *, length(replace(t, ' ', '')) AS n FROM p)
+    SELECT p_partkey, p_size <= 48 AND (n >= 6 OR (p_size > 40 AND n >= 1) OR (p_size BETWEEN 31 AND 40 AND n >= 3)) AS specific FROM x""")
 def specific_excerpts(spark, d):
     """Whether an excerpt of evidence says enough."""
-    t = F.concat(F.substring("p_name", F.lit(1), F.col("p_size") % 12), F.when(F.col("p_size") > 45, " x = 3").otherwise(""))
-    return table(spark, d, "part").select("p_partkey", tx.is_specific(t).alias("specific"))
+    s = F.col("p_size")
+    t = F.substring("p_name", F.lit(1), s % 7)
+    excerpt = F.when(s > 48, "基本概念").when(s > 40, F.concat(t, F.lit("=3"))).when(s > 30, F.concat(t, F.lit("+"))).otherwise(t)
+    return table(spark, d, "part").select("p_partkey", tx.is_specific(excerpt).alias("specific"))
 
 
 @query("""SELECT p_partkey, least(1, length(split_part(p_name, ' ', 1)) / least(length(replace(p_name, ' ', '')), length(p_type))) AS share FROM part""")
@@ -511,26 +526,14 @@ def anchor_shares(spark, d):
     return table(spark, d, "part").select("p_partkey", share.alias("share"))
 
 
-@query(f"""WITH p AS (SELECT p_partkey, {_ROLE} AS role, p_size / 50 AS importance, p_type AS category, p_name FROM part)
-    SELECT p_partkey, role NOT IN ('definition', 'formula', 'principle') AND (importance < 0.3 OR regexp_matches(p_name, '(?i)Widget|GEAR')) AS may_go FROM p""")
+@query(f"""WITH p AS (SELECT p_partkey, {_ROLE} AS role, p_size / 50 AS importance, p_type = 'LARGE' AS edge, p_retailprice < 1000 AS used, contains(p_name, 'widget') AS passing FROM part)
+    SELECT p_partkey, used AND role NOT IN ('definition', 'principle', 'step', 'formula', 'warning') AND importance < 0.7 AND CASE WHEN edge THEN importance <= 0.35 ELSE importance <= 0.55 AND passing END AS may_go FROM p""")
 def discard_proposals(spark, d):
     """Units that a proposal may discard."""
-    go = rv.discard_eligible(_role(), F.col("p_size") / 50, F.col("p_type"), F.col("p_name"), r"(?i)Widget|GEAR")
-    return table(spark, d, "part").select("p_partkey", go.alias("may_go"))
-
-
-_LATEX = r"""CASE WHEN p_size % 4 = 0 THEN ' ' WHEN p_size % 4 = 1 THEN 'E = {' || p_size WHEN p_size % 4 = 2 THEN 'E \approx ' || p_size ELSE 'E' END"""
-
-
-@query(f"""WITH p AS (SELECT p_partkey, p_size % 4 AS k, CASE WHEN p_size > 40 THEN '' ELSE 'E = ' || p_size END AS text, {_LATEX} AS latex FROM part)
-    SELECT p_partkey, array_to_string(list_filter([CASE WHEN trim(latex) = '' THEN 'missing_latex' END, CASE WHEN text = '' THEN 'missing_text' END,
-        CASE WHEN text <> '' AND k IN (0, 3) THEN 'relation_lost' END, CASE WHEN k = 1 THEN 'unbalanced_braces' END], lambda x: x IS NOT NULL), ',') AS issues FROM p""")
-def formula_faults(spark, d):
-    """Where formulas' texts and their LaTeX don't fit."""
-    s, n = F.col("p_size"), F.col("p_size").cast("string")
-    latex = F.when(s % 4 == 0, " ").when(s % 4 == 1, F.concat(F.lit("E = {"), n)).when(s % 4 == 2, F.concat(F.lit(r"E \approx "), n)).otherwise("E")
-    text = F.when(s > 40, "").otherwise(F.concat(F.lit("E = "), n))
-    return table(spark, d, "part").select("p_partkey", F.array_join(rv.formula_issues(text, latex), ",").alias("issues"))
+    status = F.when(F.col("p_retailprice") < 1000, "uncovered").otherwise("rejected")
+    category = F.when(F.col("p_type") == "LARGE", "edge").otherwise("introduction")
+    source = F.replace("p_name", F.lit("widget"), F.lit("Overview"))
+    return table(spark, d, "part").select("p_partkey", rv.discard_eligible(status, _role(), F.col("p_size") / 50, category, source).alias("may_go"))
 
 
 _ISSUES = "CASE WHEN p_size < 5 THEN ['too_short'] WHEN p_size < 10 THEN ['generic', 'control_character'] WHEN p_size < 12 THEN ['ellipsis', 'generic'] ELSE [] END"
@@ -560,10 +563,13 @@ def valid_items(spark, d):
     return rv.split_valid(items, "issues")[0].select("p_partkey", "p_name")
 
 
-@query("SELECT p_partkey, p_size < 5 OR p_size BETWEEN 10 AND 11 AS may_discard FROM part")
+@query("SELECT p_partkey, p_size < 40 AND p_size % 3 <> 0 AS may_discard FROM part")
 def discardable_nodes(spark, d):
     """Nodes whose issues allow to drop them."""
-    return table(spark, d, "part").select("p_partkey", rv.may_discard(_issues()).alias("may_discard"))
+    s = F.col("p_size")
+    last = F.when(s % 3 == 0, "n:source_missing").when(s % 3 == 1, "n:label_too_long").otherwise("n:confidence_below_threshold")
+    issues = F.when(s >= 40, _empty()).otherwise(F.array(F.lit("n:evidence_not_specific"), last))
+    return table(spark, d, "part").select("p_partkey", rv.may_discard(issues).alias("may_discard"))
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS rank FROM lineitem)
@@ -729,14 +735,16 @@ def repaired_definitions(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.repaired_definition(text).alias("definition"))
 
 
-@query("""WITH o AS (SELECT o_custkey, list(DISTINCT o_orderkey) AS own FROM orders GROUP BY 1), c AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'F' AS abstract, list_distinct([o_orderkey, o_orderkey + 1, o_orderkey + 2]) AS u FROM orders)
-    SELECT o_custkey, o_orderkey, CAST(len(list_intersect(u, own)) AS INTEGER) AS n_support FROM c JOIN o USING (o_custkey) WHERE len(list_intersect(u, own)) >= CASE WHEN abstract THEN 2 ELSE 1 END""")
+@query("""WITH c AS (SELECT o_orderkey, o_orderstatus = 'F' AS stated, o_orderpriority < '3' AS optional, c_acctbal > 2000 AS own, c_nationkey < 10 AS second FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT o_orderkey FROM c WHERE CASE WHEN stated THEN own ELSE NOT optional OR (own AND second) END""")
 def verified_candidates(spark, d):
-    """Candidates with enough support in their branch."""
-    o, k = table(spark, d, "orders"), F.col("o_orderkey")
-    own = o.groupBy("o_custkey").agg(F.collect_set("o_orderkey").alias("own"))
-    c = o.select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").alias("abstract"), F.array(k, k + 1, k + 2).alias("u")).join(own, "o_custkey")
-    return cv.supported(c, "u", "own").select("o_custkey", "o_orderkey", "n_support")
+    """Candidates that a branch may keep: evidence or support in its valid units."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal", "c_nationkey")
+    o = table(spark, d, "orders").join(c, "o_custkey")
+    one, two = F.when(F.col("c_acctbal") > 2000, F.lit(1)).otherwise(F.lit(8)), F.when(F.col("c_nationkey") < 10, F.lit(2)).otherwise(F.lit(9))
+    origin = F.when(F.col("o_orderstatus") == "F", "explicit").otherwise("abstractive")
+    nodes = o.select("o_orderkey", origin.alias("origin"), F.array(one).alias("evidence"), F.array(one, two).alias("support"), (F.col("o_orderpriority") < "3").alias("optional"), F.array(F.lit(1), F.lit(2)).alias("valid"))
+    return cv.verified(nodes, "valid").select("o_orderkey")
 
 
 _BAND = "SELECT p_brand || p_name AS page, p_partkey AS id, p_type, p_size, CAST(80 + p_size AS DOUBLE) AS top FROM part"

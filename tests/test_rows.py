@@ -32,12 +32,13 @@ def strings(*values):
 def test_text_rules(spark):
     assert one(spark, tx.without_page_markers(F.lit("a\r\n 12 \n\n第 3 页\nb "))) == "a\nb"
     assert one(spark, tx.is_low_quality(F.lit("a"))) and not one(spark, tx.is_low_quality(F.lit("plain text ")))
-    actions = [(("empty",), ("x",), "reject_entire_node"), (("generic",), (), "reextract_candidate"), (("ellipsis",), ("x",), "repair_label_and_trim_definition_keep_claim"), (("ellipsis",), (), "repair_label_keep_claim"), ((), ("x",), "trim_definition_keep_claim"), ((), (), "accept")]
-    for label, definition, action in actions:
-        assert one(spark, tx.field_action(strings(*label), strings(*definition))) == action
+    act = lambda label, definition, mends, trims, stated: one(spark, tx.field_action(strings(*label), strings(*definition), F.lit(mends), F.lit(trims), F.lit(stated)))
+    assert act("i", "d", False, True, True) == "reject_entire_node" and act("i", "d", False, True, False) == "reextract_candidate" == act("i", "d", True, False, True) == act("", "d", True, False, True)
+    assert act("i", "d", True, True, True) == "repair_label_and_trim_definition_keep_claim" and act("i", "d", True, False, False) == "repair_label_keep_claim"
+    assert act("", "d", False, True, True) == "trim_definition_keep_claim" and act("", "d", False, False, False) == "accept" == act("", "", False, False, True)
     assert one(spark, tx.short_label(F.lit("## Heat flow: and more\nnext"), F.lit("other"))) == "Heat flow"
     assert one(spark, tx.short_label(F.lit("x" * 40), F.lit("other"))) == "other"
-    for text, specific in (("ab", False), ("abcdef", True), ("力学 学", True), ("a = b", True), ("=", False)):
+    for text, specific in (("ab", False), ("abcdef", True), ("力学 学", True), ("a = b", True), ("=", False), ("基本概念", False), ("a->b", True), ("ab+c", True), ("ab+", False), ("x = ", False)):
         assert one(spark, tx.is_specific(F.lit(text))) is specific, text
     cover = lambda anchors, a, b: one(spark, tx.anchor_coverage(strings(*anchors), F.lit(a), F.lit(b)))
     assert cover(["heat"], "heat flow", "heat") == 1.0 and cover(["heat"], "heat flow", "heat sink") == 0.5 and cover([], "", "x") == 0.0
@@ -72,7 +73,7 @@ def test_graph_and_tree_rules(spark):
     assert ("c", "r", 1) in found and not any("o" in (c, p) or c == p for c, p, _ in found)
     assert rows(gr.top_per(spark.createDataFrame([("k", 1.0, "b"), ("k", 2.0, "a"), ("k", 2.0, "c"), ("l", 0.0, "d")], "k string, s double, v string"), ["k"], [F.desc("s"), F.col("v")], 1), "k", "v") == [("k", "a"), ("l", "d")]
     for issues, support, evidence, ok in ([], ["u"], [], True), ([], [], ["e"], True), (["x"], ["u"], [], False), ([], [], [], False):
-        assert one(spark, tr.is_eligible(strings(*issues), strings(*support), strings(*evidence))) is ok
+        assert one(spark, tr.is_eligible(strings(*issues), F.lit(False), strings(*support), strings(*evidence))) is ok
     t = spark.createDataFrame([("r", None, 0), ("b", "r", 1), ("a", "r", 0), ("c", "a", 0), ("d", "a", 1)], "id string, parent string, pos int")
     assert [x.id for x in tr.preorder(t).orderBy("path").collect()] == ["r", "a", "c", "d", "b"]
     assert rows(tr.collapse(t, 3)) == [("a", 1, 2), ("b", 1, 0), ("r", 0, 0)]
@@ -89,8 +90,10 @@ def test_coverage_rules(spark):
     assert [one(spark, cv.planning_weight(F.lit(x).cast("int"))) for x in (None, 0, 1, 5)] == [2, 1, 1, 5]
     units = spark.createDataFrame([(1, "uncovered", 0.9), (2, "uncovered", 0.5), (3, "rejected", 0.9), (4, "uncovered", 0.9)], "id int, status string, importance double")
     assert dict(rows(cv.audit(units, spark.createDataFrame([(4,)], "id int")), "id", "status")) == {1: "uncovered", 2: "deferred", 3: "rejected", 4: "covered"}
-    plans = spark.createDataFrame([("x", 5), ("x", 2), ("y", 1), ("z", None), ("a", 1)], "plan string, at int")
-    assert rows(cv.plan_places(plans), "place", "plan") == [(1, "a"), (2, "y"), (3, "x"), (4, "z")]
+    plans = spark.createDataFrame([("x", 3, 5, None), ("x", 3, None, 1), ("y", 1, 6, None), ("z", 0, None, None), ("a", 2, None, 1), ("b", 1, None, 1)], "plan string, n int, page int, slide int")
+    assert rows(cv.plan_places(plans), "place", "plan") == [(1, "x"), (2, "y"), (3, "b"), (4, "a"), (5, "z")]
+    v = spark.createDataFrame([(1, "explicit", [1], [], False), (2, "explicit", [9], [1, 2], False), (3, "abstractive", [], [1], True), (4, "abstractive", [], [1, 2], True), (5, "structural", [], [1], False)], "id int, origin string, evidence array<int>, support array<int>, optional boolean")
+    assert rows(cv.verified(v.withColumn("valid", F.array(F.lit(1), F.lit(2))), "valid"), "id") == [(1,), (4,), (5,)]
     many = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"))
     assert all(r.n == r.v + 1 for r in storage.numbered(many, [F.col("v")], "n").collect())
 
