@@ -747,7 +747,7 @@ def verified_candidates(spark, d):
     return cv.verified(nodes, "valid").select("o_orderkey")
 
 
-_BAND = "SELECT p_brand || p_name AS page, p_partkey AS id, p_type, p_size, CAST(80 + p_size AS DOUBLE) AS top FROM part"
+_BAND = "SELECT p_brand || '/' || (p_partkey // 1000) AS page, p_partkey AS id, p_type, p_size, CAST(80 + p_size AS DOUBLE) AS top FROM part"
 
 
 @query(f"""WITH p AS ({_BAND}), l AS (SELECT page, id AS line FROM p WHERE p_type = 'ECONOMY'), t AS (SELECT DISTINCT page, p_size, p_type, top FROM p WHERE p_type <> 'ECONOMY'),
@@ -757,7 +757,7 @@ _BAND = "SELECT p_brand || p_name AS page, p_partkey AS id, p_type, p_size, CAST
 def rule_fractions(spark, d):
     """Numerators and denominators at the rules of pages."""
     s = F.col("p_size").cast("double")
-    p = table(spark, d, "part").withColumns({"page": F.concat("p_brand", "p_name"), "line": F.col("p_partkey"), "text": F.col("p_type")})
+    p = table(spark, d, "part").withColumns({"page": F.concat("p_brand", F.lit("/"), F.floor(F.col("p_partkey") / 1000).cast("string")), "line": F.col("p_partkey"), "text": F.col("p_type")})
     rules = p.where("p_type = 'ECONOMY'").select("page", "line", F.lit(0.0).alias("left"), F.lit(100.0).alias("right"), F.lit(100.0).alias("y"))
     tokens = p.where("p_type <> 'ECONOMY'").select("page", s.alias("left"), (s + 5).alias("right"), (s + 80).alias("top"), (s + 88).alias("bottom"), "text")
     return ly.fractions(rules, tokens)
@@ -769,7 +769,7 @@ def rule_fractions(spark, d):
 def formula_scripts(spark, d):
     """Super- and subscripts beside the bases of formulas."""
     s = F.col("p_size")
-    p = table(spark, d, "part").withColumn("page", F.concat("p_brand", "p_name"))
+    p = table(spark, d, "part").withColumn("page", F.concat("p_brand", F.lit("/"), F.floor(F.col("p_partkey") / 1000).cast("string")))
     bases = p.where("p_type = 'ECONOMY'").select("page", F.col("p_partkey").alias("id"), *[F.lit(v).alias(n) for n, v in (("left", 0.0), ("right", 10.0), ("top", 100.0), ("bottom", 120.0))])
     tokens = p.where("p_type <> 'ECONOMY'").select("page", F.col("p_type").alias("text"), (10 + s / 10).alias("left"), (80.0 + s).alias("top"), (90.0 + s).alias("bottom"))
     return ly.scripts(tokens, bases)

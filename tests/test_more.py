@@ -100,7 +100,7 @@ def test_coverage(spark):
     b = spark.createDataFrame([(1, "short"), (2, "long enough text")], "page int, t string")
     assert rows(cv.signal_pages(b, "page", "t")) == [(2,)]
     u = spark.createDataFrame([("d", "visual", 1, None, 0, "v"), ("d", "text", None, 1, 1, "t"), ("d", "text", None, None, 2, "n")], "d string, kind string, page int, slide int, idx int, id string")
-    assert [r.id for r in cv.in_source_order(u, "d").orderBy("place").collect()] == ["t", "v", "n"]
+    assert [r.id for r in cv.in_source_order(u, "d").orderBy("place").collect()] == ["v", "t", "n"]
     m = spark.createDataFrame([("p", 0, 5, None), ("q", 1, 2, None), ("x", 2, None, None)], "plan string, n int, page int, slide int")
     assert [r.plan for r in cv.plan_places(m).orderBy("place").collect()] == ["q", "p", "x"]
     o = spark.createDataFrame([("n1", "u1", 1), ("n1", "u2", 0), ("n2", "u2", 0)], "node string, unit string, place int")
