@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
+
 
 def nearest_rank(c: str, p: float) -> Column:
     """sorted[ceil(p * n)], rounded to 3; 0 for nothing."""
@@ -66,10 +68,20 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 
 
 def audit_formulas(expected: DataFrame, observed: DataFrame, page: str = "page") -> DataFrame:
-    """Per expected formula (page, id, formula) the most similar observed one of its page; containment is exact."""
-    j = expected.join(observed.select(page, F.col("formula").alias("seen")), page, "left").withColumn("seen", F.coalesce("seen", F.lit("")))
-    r = F.when(F.contains("seen", "formula"), 1.0).otherwise(F.round(sequence_ratio(F.col("formula"), F.col("seen")), 4))
-    return j.withColumn("ratio", r).groupBy(page, "id").agg(F.max("ratio").alias("ratio"), F.max_by("seen", F.struct("ratio", "seen")).alias("best"))
+    """Per expected formula (page, id, formula) the most similar observed one of its page; containment is exact. Formulas
+    repeat within a page and from page to page, so distinct ones meet and each pair of texts is compared once."""
+    e = expected.select(page, "formula").distinct()
+    j = e.join(observed.select(page, F.col("formula").alias("seen")).distinct(), page, "left").withColumn("seen", F.coalesce("seen", F.lit("")))
+    # a null formula counts as an empty one in the ratio and holds in nothing
+    text = F.coalesce("formula", F.lit(""))
+    # few bytes but long work: dealt by number, or they would be put together in one task
+    pairs = j.select(text.alias("_t"), "seen").distinct().repartition(int(expected.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = stored(pairs.withColumn("_r", F.round(sequence_ratio(F.col("_t"), F.col("seen")), 4)), "formula-ratios")
+    r = F.when(F.contains("seen", "formula"), 1.0).otherwise(F.col("_r"))
+    j = j.withColumn("_t", text).join(pairs, ["_t", "seen"]).withColumn("ratio", r)
+    best = j.groupBy(F.col(page).alias("_p"), F.col("formula").alias("_f")).agg(F.max(F.struct("ratio", "seen")).alias("b"))
+    found = expected.join(best, F.col(page).eqNullSafe(F.col("_p")) & F.col("formula").eqNullSafe(F.col("_f")))
+    return found.groupBy(page, "id").agg(F.max("b").alias("b")).select(page, "id", F.col("b.ratio").alias("ratio"), F.col("b.seen").alias("best"))
 
 
 def extraction_metrics(rows: DataFrame, by: list[str], key: str, inherited: Column) -> DataFrame:
