@@ -78,11 +78,18 @@ def role_fit(parent: Column, child: Column, parent_origin: Column, parent_is_roo
 
 def suggest_parents(nodes: DataFrame, least: float = 0.28, quota: int = 4) -> DataFrame:
     """Up to `quota` parents per child of nodes (node_id, branch_id, name, definition, role, origin, is_root,
-    confidence). Only branch topics and structural nodes of the child's own branch are tried, by an equi-join."""
-    p = nodes.where("(role = 'branch_topic' or origin in ('abstractive', 'structural')) and branch_id is not null")
-    p = p.select(*[F.col(c).alias(f"p_{c}") for c in ("node_id", "branch_id", "name", "role", "origin", "is_root", "confidence")], tx.bigrams(tx.normalized_key(F.col("name"))).alias("p_b"))
-    c = nodes.where("not is_root and role <> 'branch_topic'").withColumn("b", tx.bigrams(tx.normalized_key(F.col("name"))))
-    j = c.join(p, (F.col("branch_id") == F.col("p_branch_id")) & (F.col("node_id") != F.col("p_node_id")))
+    confidence). Only branch topics and structural nodes of the child's own branch are tried, by an equi-join.
+
+    Nodes that agree in all that a score reads have the same scores. So only kinds of children meet kinds of parents, of
+    each of which the first quota + 1 ids can be chosen: a child leaves out itself at most."""
+    of_parent, of_child = ["name", "role", "origin", "is_root", "confidence"], ["name", "definition", "role", "confidence"]
+    p = nodes.where("(role = 'branch_topic' or origin in ('abstractive', 'structural')) and branch_id is not null and node_id is not null")
+    p = top_per(p.select("node_id", "branch_id", *of_parent), ["branch_id", *of_parent], [F.col("node_id")], quota + 1)
+    p = p.groupBy("branch_id", *of_parent).agg(F.array_sort(F.collect_list("node_id")).alias("p_ids"))
+    p = p.select("p_ids", *[F.col(c).alias(f"p_{c}") for c in ("branch_id", *of_parent)], tx.bigrams(tx.normalized_key(F.col("name"))).alias("p_b"))
+    children = nodes.where("not is_root and role <> 'branch_topic' and branch_id is not null")
+    kinds = children.select("branch_id", *of_child).distinct().withColumn("b", tx.bigrams(tx.normalized_key(F.col("name"))))
+    j = kinds.join(p, F.col("branch_id") == F.col("p_branch_id"))
     holds = F.lower(F.concat_ws(" ", "name", "definition")).contains(F.lower("p_name"))
     v = role_fit(F.col("p_role"), F.col("role"), F.col("p_origin"), F.col("p_is_root")) + 0.14
     v = v + F.when(holds, 0.16).otherwise(0.0) + F.when(F.col("p_confidence") >= F.col("confidence"), 0.03).otherwise(0.0)
@@ -90,7 +97,17 @@ def suggest_parents(nodes: DataFrame, least: float = 0.28, quota: int = 4) -> Da
     j = j.withColumn("_v", v).where(F.col("_v") + 0.08 >= least - 1e-4)
     v = F.col("_v") + 0.08 * tx.jaccard(F.col("p_b"), F.col("b"))
     scored = j.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(v, F.lit(0.92))), 4)).where(F.col("score") >= least)
-    return top_per(scored, ["node_id"], [F.desc("score"), F.col("p_node_id")], quota).select(F.col("p_node_id").alias("parent_id"), F.col("node_id").alias("child_id"), "score", F.col("rank"))
+    # the first kinds of parents hold all that can be chosen, as each has an id at least
+    first = top_per(scored.select("branch_id", *of_child, "score", "p_ids"), ["branch_id", *of_child], [F.desc("score"), F.col("p_ids")[0]], quota + 1)
+    met = first.select("branch_id", *of_child, "score", F.explode("p_ids").alias("parent_id"))
+    best = top_per(met, ["branch_id", *of_child], [F.desc("score"), F.col("parent_id")], quota + 1)
+    best = best.groupBy("branch_id", *of_child).agg(F.collect_list(F.struct("score", "parent_id")).alias("_p"))
+    same = F.lit(True)
+    for c in ("branch_id", *of_child):
+        same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    found = children.alias("x").join(best.alias("y"), same).select(F.col("x.node_id").alias("child_id"), F.explode("y._p").alias("_p"))
+    found = found.select("child_id", "_p.*").where("child_id <> parent_id")
+    return top_per(found, ["child_id"], [F.desc("score"), F.col("parent_id")], quota).select("parent_id", "child_id", "score", "rank")
 
 
 def top_per(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
