@@ -82,9 +82,15 @@ def whole_mean(c: str) -> Column:
     return F.when(n == 0, F.lit(None)).when(exact, F.when(total < 0, -whole).otherwise(whole)).otherwise(F.round(F.avg(c)).cast("long"))
 
 
-def request_totals(log: DataFrame, by: list[str], failed: Column, duration: str) -> DataFrame:
-    """Requests per group, failures, mean of the known durations."""
-    return log.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(failed).alias("errors"), whole_mean(duration).alias("mean"))
+def request_totals(log: DataFrame, by: list[str], failed: Column, duration: str, order: list[str] | None = None) -> DataFrame:
+    """Requests per group, failures, mean of the known durations. With `order`, distinct for each row of a group, durations
+    are summed as doubles in that order, which decides a mean of just a half; without, the mean is exact."""
+    mean = whole_mean(duration)
+    if order:
+        until = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        log = log.withColumn("_mean", F.avg(duration).over(until))
+        mean = F.round(F.max_by("_mean", F.struct(*order))).cast("long")
+    return log.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(failed).alias("errors"), mean.alias("mean"))
 
 
 def fresh_over_cached(fresh: DataFrame, cached: DataFrame, key: str) -> DataFrame:

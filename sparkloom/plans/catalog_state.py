@@ -431,9 +431,10 @@ def socket_totals(spark, d):
 
 @query("SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, CAST(round(avg(CASE WHEN event_type <> 'view' THEN value END)) AS BIGINT) AS mean FROM events GROUP BY 1")
 def request_totals(spark, d):
-    """Requests, failures and mean durations."""
-    e = events(spark, d).withColumn("v", F.when(F.col("event_type") != "view", F.col("value")))
-    return cl.request_totals(e, ["user_id"], F.col("event_type") == "error", "v")
+    """Requests, failures and mean durations, summed in the order of the table's rows as the SQL does."""
+    v = F.when(F.col("event_type") != "view", F.col("value"))
+    e = events(spark, d).select("user_id", "event_type", v.alias("v"), "_metadata.file_path", "_metadata.row_index")
+    return cl.request_totals(e, ["user_id"], F.col("event_type") == "error", "v", ["file_path", "row_index"])
 
 
 @query("SELECT o_orderkey, 'fresh' AS origin FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'cached' FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0")
